@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from .packing import op1_packing
+from .pii import op9_pii
 from .sharding import op10_sharding
+from .simhash import op3_simhash
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op10_sharding": op10_sharding}
+    return {
+        "op1_packing": op1_packing,
+        "op3_simhash": op3_simhash,
+        "op9_pii": op9_pii,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict:
