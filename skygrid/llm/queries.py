@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .packing import op1_packing
 from .pii import op9_pii
+from .quality import op7_quality
 from .sharding import op10_sharding
 from .simhash import op3_simhash
 
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_simhash": op3_simhash,
+        "op7_quality": op7_quality,
         "op9_pii": op9_pii,
         "op10_sharding": op10_sharding,
     }
