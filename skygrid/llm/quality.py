@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import docs_of, ship, table
 
@@ -143,7 +144,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = docs.schema.add("quality_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
 
     def run(batches):
         m = shared.value
