@@ -7,11 +7,13 @@ from .pii import op9_pii
 from .quality import op7_quality
 from .sharding import op10_sharding
 from .simhash import op3_simhash
+from .substrings import op2_substrings
 
 
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_substrings": op2_substrings,
         "op3_simhash": op3_simhash,
         "op7_quality": op7_quality,
         "op9_pii": op9_pii,
