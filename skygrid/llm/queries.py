@@ -8,6 +8,7 @@ from .quality import op7_quality
 from .sharding import op10_sharding
 from .simhash import op3_simhash
 from .substrings import op2_substrings
+from .suffixes import op5_suffixes
 
 
 def queries() -> dict:
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_substrings": op2_substrings,
         "op3_simhash": op3_simhash,
+        "op5_suffixes": op5_suffixes,
         "op7_quality": op7_quality,
         "op9_pii": op9_pii,
         "op10_sharding": op10_sharding,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .passages import Shared, anchor_runs, covered, expand, mix, pack_chunks, report_anchors, shared_anchors, squeeze
+from .passages import CHUNK_BYTES, Shared, anchor_runs, covered, expand, mix, pack_chunks, report_anchors, shared_anchors, squeeze
 
 GRAM = 16
 HOT_DOCS = 2000
@@ -365,7 +365,7 @@ def apply_removal(joined: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, REMOVED)
 
 
-def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Cut every byte covered by a ``k``-byte string that also starts in a
     document with a smaller doc_id.
 
@@ -374,8 +374,10 @@ def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS) -> Da
     stay whole; rows that repeat a doc_id do not remove each other; rows without
     doc_id are left out; an empty table gives no rows; extra columns are ignored.
     """
+    if k < GRAM + 1:
+        raise ValueError(f"k must be above {GRAM}")
     spark = docs.sparkSession
-    chunks = pack_chunks(docs)
+    chunks = pack_chunks(docs, chunk_bytes)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(least, chunks.count())
     buckets, shards = n, n
