@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
 from .packing import op1_packing
 from .pii import op9_pii
 from .quality import op7_quality
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_substrings": op2_substrings,
         "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
         "op5_suffixes": op5_suffixes,
         "op7_quality": op7_quality,
         "op9_pii": op9_pii,
