@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, docs_of, materialise, ship, table
 
@@ -219,6 +220,18 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000) -> Dat
     return shards.select("fp", "mask", "key").repartition(n, "mask", "key").mapInArrow(run, "u long, v long")
 
 
+def component_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, component_id) for each distinct fingerprint of ``prints``
+    (doc_id, fp); low is its smallest doc_id."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct.select("fp"), radius))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "low", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row.
 
@@ -229,16 +242,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     ship(docs.sparkSession)
     prints = materialise(fingerprints(docs_of(docs), shingle))
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = component_of(prints, radius).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each near-duplicate group, with all columns of ``docs``: the
+    one of the smallest doc_id (of rows that repeat it with one fingerprint,
+    any one). Rows without doc_id are not compared and stay."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "__simhash"])
+
+    marked = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__simhash", LongType())])))
+    prints = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__simhash").alias("fp"))
+    first = component_of(prints, radius).where("low = component_id").groupBy("component_id").agg(F.min("fp").alias("__simhash"))
+    first = first.withColumnRenamed("component_id", "doc_id")
+    kept = marked.join(first, ["doc_id", "__simhash"], "left_semi").dropDuplicates(["doc_id", "__simhash"])
+    return kept.select(docs.columns).unionByName(marked.where("doc_id is null").select(docs.columns))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
