@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .embeddings import op8_embeddings
 from .packing import op1_packing
 from .pii import op9_pii
 from .quality import op7_quality
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_decontamination": op4_decontamination,
         "op5_suffixes": op5_suffixes,
         "op7_quality": op7_quality,
+        "op8_embeddings": op8_embeddings,
         "op9_pii": op9_pii,
         "op10_sharding": op10_sharding,
     }
