@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .decontamination import op4_decontamination
 from .embeddings import op8_embeddings
 from .packing import op1_packing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_suffixes": op5_suffixes,
+        "op6_licenses": licenses.op6_licenses,
         "op7_quality": op7_quality,
         "op8_embeddings": op8_embeddings,
         "op9_pii": op9_pii,
@@ -28,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_licenses": licenses.oracle()}
