@@ -1,0 +1,3 @@
+from .catalog_streams import CatalogStream, InfiniteStream
+
+__all__ = ["CatalogStream", "InfiniteStream"]
