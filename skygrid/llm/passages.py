@@ -30,11 +30,11 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
@@ -65,7 +65,7 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         def close():
             nonlocal n, ids, texts, size
             lens = np.array([len(t) for t in texts], np.int64)
-            blob = squeeze(np.array(ids, np.int64), lens, np.frombuffer(b"".join(texts), np.uint8))
+            blob = squeeze(np.array(ids, np.int64), lens, np.frombuffer(b"".join(texts), np.uint8), level=3)
             row = pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "payload"])
             n, ids, texts, size = n + 1, [], [], 0
             return row
@@ -236,3 +236,78 @@ def covered(length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     np.add.at(d, first, 1)
     np.add.at(d, last, -1)
     return np.cumsum(d[:-1]) > 0
+
+
+def hash_bytes(b: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b, 7)
+
+
+def place_segments(runs, shared, ids, stop, k: int, buckets: int, shards: int, text_of):
+    """The candidate segments of a chunk.
+
+    ``runs``: (first window, last + 1, anchor) of ``anchor_runs``; ``text_of(s,
+    e)`` gives the symbols s to e as bytes. A segment spans the windows of one
+    shared anchor; hot anchors are cut to single windows, each placed by its own
+    content. Returns for each segment (shard, number among the chunk's distinct
+    segments there, document's position, first window), and by shard the
+    distinct segments with the smallest document of each. Computed alike when
+    segments are sent and when the answers come back.
+    """
+    first, last, h = runs
+    hit, hot = Shared(shared, buckets).find(h)
+    first, last, h, hot = first[hit], last[hit], h[hit], hot[hit]
+    if hot.any():
+        n = (last - first)[hot]
+        w = np.repeat(first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hw = np.array([hash_bytes(text_of(i, i + k)) for i in w.tolist()], np.uint64)
+        first, last, h = np.r_[first[~hot], w], np.r_[last[~hot], w + 1], np.r_[h[~hot], hw]
+    owner = np.searchsorted(stop, first, side="right")
+    shard = (mix(h) % np.uint64(shards)).astype(np.int64)
+    number = np.zeros(len(first), np.int64)
+    seen: dict[tuple, int] = {}
+    by: dict[int, tuple[list, list]] = {}
+    for i, (s, e, g, d) in enumerate(zip(first.tolist(), (last + k - 1).tolist(), shard.tolist(), ids[owner].tolist())):
+        text = text_of(s, e)
+        texts, docs = by.setdefault(g, ([], []))
+        at = number[i] = seen.setdefault((g, text), len(texts))
+        if at == len(texts):
+            texts.append(text)
+            docs.append(d)
+        elif d < docs[at]:
+            docs[at] = d
+    return (shard, number, owner, first), by
+
+
+def answer_runs(windows: np.ndarray, doc: np.ndarray):
+    """Runs of equal answers inside each segment: (runs of each segment, windows
+    of each run, document of each run). ``windows``: windows of each segment;
+    ``doc``: the answer of every window, segment by segment."""
+    seg = np.repeat(np.arange(len(windows)), windows)
+    new = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])])
+    return np.bincount(seg[new], minlength=len(windows)), np.diff(np.r_[new, len(seg)]), doc[new]
+
+
+def removed_mask(length: int, ids, place, answers, k: int) -> np.ndarray:
+    """Mask of the symbols in windows that a smaller document holds. Answers:
+    blobs of (shard), runs of each segment, windows and document of each run."""
+    shard, number, owner, first = place
+    offset = np.zeros(int(shard.max()) + 1, np.int64)
+    base, counts, sizes, docs = 0, [], [], []
+    for blob in answers:
+        g, cnt, size, doc = expand(blob)
+        offset[int(g[0])] = base
+        base += len(cnt)
+        counts.append(cnt.astype(np.int64))
+        sizes.append(size.astype(np.int64))
+        docs.append(doc)
+    cnt, size, doc = np.concatenate(counts), np.concatenate(sizes), np.concatenate(docs)
+    run0 = np.cumsum(cnt) - cnt
+    inside = np.cumsum(size) - size  # windows before a run, over all segments
+    seg = offset[shard] + number
+    c = cnt[seg]
+    idx = np.repeat(run0[seg], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    s = np.repeat(first, c) + inside[idx] - np.repeat(inside[run0[seg]], c)
+    hit = (doc[idx] >= 0) & (doc[idx] < np.repeat(ids[owner], c))
+    return covered(length, s[hit], (s + size[idx] + k - 1)[hit])

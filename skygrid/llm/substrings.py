@@ -22,8 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .passages import CHUNK_BYTES, Shared, anchor_runs, covered, expand, mix, pack_chunks, report_anchors, shared_anchors, squeeze
+from .common import table
+from .passages import (
+    CHUNK_BYTES,
+    anchor_runs,
+    answer_runs,
+    expand,
+    pack_chunks,
+    place_segments,
+    removed_mask,
+    report_anchors,
+    shared_anchors,
+    squeeze,
+)
 
 GRAM = 16
 HOT_DOCS = 2000
@@ -194,52 +205,28 @@ def find_anchors(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     return chunks.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
+def places_of(payload, shared, k: int, buckets: int, shards: int):
+    ids, start, stop, raw = _symbols(payload)
+    runs = anchor_runs(raw.astype(np.uint64) + np.uint64(1), np.repeat(stop, stop - start), k, GRAM)
+    body = raw.tobytes()
+    place, by = place_segments(runs, shared, ids, stop, k, buckets, shards, lambda s, e: body[s:e])
+    return (ids, start, stop, raw), place, by
+
+
 def send_segments(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
-    """Rows (shard, chunk, blob): the chunk's distinct segments for a shard with
-    the smallest document of each; and one row with shard -1: the places of all
-    segments in the chunk (shard, number there, document, start)."""
+    """(shard, chunk, blob): the chunk's distinct segments for a shard with the
+    smallest document of each."""
 
     def run(batches):
         for b in batches:
             for chunk, payload, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not shared:
                     continue
-                ids, start, stop, raw = _symbols(payload)
-                first, last, h = anchor_runs(raw.astype(np.uint64) + np.uint64(1), np.repeat(stop, stop - start), k, GRAM)
-                hit, hot = Shared(shared, buckets).find(h)
-                first, last, h, hot = first[hit], last[hit], h[hit], hot[hit]
-                if hot.any():  # cut to single windows, each placed by its own content
-                    n = (last - first)[hot]
-                    w = np.repeat(first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hw = np.array([hash_bytes(raw[i : i + k].tobytes()) for i in w], np.uint64)
-                    first, last, h = np.r_[first[~hot], w], np.r_[last[~hot], w + 1], np.r_[h[~hot], hw]
-                owner = np.searchsorted(stop, first, side="right")
-                shard = (mix(h) % np.uint64(shards)).astype(np.int64)
-                body = raw.tobytes()
-                seen: dict = {}
-                number = np.zeros(len(first), np.int64)
-                by: list[list] = []
-                slots: dict[int, int] = {}
-                for i, (s, e, g, d) in enumerate(zip(first.tolist(), (last + k - 1).tolist(), shard.tolist(), ids[owner].tolist())):
-                    text = body[s:e]
-                    got = seen.get((g, text))
-                    if got is None:
-                        if g not in slots:
-                            slots[g] = len(by)
-                            by.append([[], []])
-                        mine = by[slots[g]]
-                        got = seen[(g, text)] = len(mine[0])
-                        mine[0].append(text)
-                        mine[1].append(d)
-                    else:
-                        mine = by[slots[g]]
-                        if d < mine[1][got]:
-                            mine[1][got] = d
-                    number[i] = got
-                rows = [(-1, squeeze(shard.astype(np.int32), number.astype(np.int32), owner.astype(np.int32), first))]
-                for g, at in slots.items():
-                    texts, docs = by[at]
-                    rows.append((g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.frombuffer(b"".join(texts), np.uint8))))
+                _, _, by = places_of(payload, shared, k, buckets, shards)
+                rows = [
+                    (g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.frombuffer(b"".join(texts), np.uint8)))
+                    for g, (texts, docs) in by.items()
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                     names=["shard", "chunk", "blob"],
@@ -248,12 +235,6 @@ def send_segments(joined: DataFrame, k: int, buckets: int, shards: int) -> DataF
     return joined.mapInArrow(run, "shard int, chunk long, blob binary")
 
 
-def hash_bytes(b: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(b, 7)
-
-
 def index_shards(segments: DataFrame, k: int) -> DataFrame:
     """(chunk, shard, blob): for every segment a chunk sent, runs of windows
     with one smallest document (segment number, windows, document)."""
@@ -290,21 +271,16 @@ def index_shards(segments: DataFrame, k: int) -> DataFrame:
             text[ends] = 0
             index = FMIndex(text, np.repeat(np.array(least, np.int64), lens + 1), k)
             doc = index.matching(text, starts, ends)
-            # runs of equal answers inside each segment
             w = lens - k + 1
             place = np.repeat(starts, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            seg, val = np.repeat(np.arange(len(lens)), w), doc[place]
-            new = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (val[1:] != val[:-1])])
-            size = np.diff(np.r_[new, len(seg)])
-            rseg, rval = seg[new], val[new]
-            lo = np.searchsorted(rseg, np.arange(len(lens)))
-            hi = np.searchsorted(rseg, np.arange(len(lens)), side="right")
+            runs, size, val = answer_runs(w, doc[place])
+            lo = np.cumsum(runs) - runs
             chunks, blobs = [], []
             for (chunk, _), mine in zip(sent, numbers):
-                cnt = hi[mine] - lo[mine]
+                cnt = runs[mine]
                 idx = np.repeat(lo[mine], cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
                 chunks.append(chunk)
-                blobs.append(squeeze(np.array([shard], np.int64), cnt.astype(np.int16), size[idx].astype(np.int32), rval[idx]))
+                blobs.append(squeeze(np.array([shard], np.int64), cnt.astype(np.int16), size[idx].astype(np.int16), val[idx]))
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
 
     return segments.repartition(n, "shard").mapInArrow(run, "chunk long, blob binary")
@@ -313,40 +289,20 @@ def index_shards(segments: DataFrame, k: int) -> DataFrame:
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def apply_removal(joined: DataFrame, k: int) -> DataFrame:
+def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
     """The surviving bytes and the removed spans of every document."""
     kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
 
     def run(batches):
         for b in batches:
-            for payload, places, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                ids, start, stop, raw = _symbols(payload)
-                gone = np.zeros(len(raw), bool)
-                if places:
-                    shard, number, owner, first = (np.concatenate(c) for c in zip(*map(expand, places)))
-                    offsets, base = {}, 0
-                    cnts, sizes, docs = [], [], []
-                    for blob in answers or []:
-                        g, cnt, size, doc = expand(blob)
-                        offsets[int(g[0])] = base
-                        base += len(cnt)
-                        cnts.append(cnt.astype(np.int64))
-                        sizes.append(size.astype(np.int64))
-                        docs.append(doc)
-                    cnt, size, doc = np.concatenate(cnts), np.concatenate(sizes), np.concatenate(docs)
-                    run0 = np.cumsum(cnt) - cnt
-                    inside = np.cumsum(size) - size  # windows before a run, over all segments
-                    table = np.zeros(int(shard.max()) + 1, np.int64)
-                    for g, o in offsets.items():
-                        table[g] = o
-                    seg = table[shard] + number
-                    c = cnt[seg]
-                    idx = np.repeat(run0[seg], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    rel = inside[idx] - np.repeat(inside[run0[seg]], c)
-                    s = np.repeat(first, c) + rel
-                    hit = (doc[idx] >= 0) & (doc[idx] < np.repeat(ids[owner], c))
-                    gone = covered(len(raw), s[hit], (s + size[idx] + k - 1)[hit])
+            for payload, shared, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if answers:
+                    (ids, start, stop, raw), place, _ = places_of(payload, shared, k, buckets, shards)
+                    gone = removed_mask(len(raw), ids, place, answers, k)
+                else:
+                    ids, start, stop, raw = _symbols(payload)
+                    gone = np.zeros(len(raw), bool)
                 rows = [[] for _ in names]
                 body, n = raw.tobytes(), 0
                 for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
@@ -382,11 +338,11 @@ def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk
     n = max(least, chunks.count())
     buckets, shards = n, n
     shared = shared_anchors(find_anchors(chunks, k, buckets), hot_docs)
-    sent = materialise(send_segments(chunks.join(shared, "chunk", "left"), k, buckets, shards))
-    answers = index_shards(sent.where("shard >= 0"), k).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
-    places = sent.where("shard < 0").groupBy("chunk").agg(F.collect_list("blob").alias("places"))
-    joined = chunks.join(places, "chunk", "left").join(answers, "chunk", "left").select("chunk", "payload", "places", "answers")
-    return apply_removal(joined, k)
+    # one shuffle of the chunks serves both passes over them
+    base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
+    answers = index_shards(send_segments(base, k, buckets, shards), k).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
+    joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
+    return apply_removal(joined, k, buckets, shards)
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

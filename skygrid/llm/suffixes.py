@@ -1,36 +1,44 @@
 """Removal of repeated word windows by a distributed suffix merge sort.
 
-Every chunk sorts the word suffixes at its candidate windows (cut at ``k``
-words), with the smallest document of each, and front-codes the sorted run:
-per suffix the length of the prefix it shares with its predecessor and the rest.
-Runs are cut at common splitters and exchanged; each range is merged by a loser
-tree that carries the known common prefix of every loser with the last winner:
-a longer known prefix decides without looking at text, and equal ones compare
-only what follows. Equal neighbours in the merged order are equal windows; the
-smallest document among them goes back to the chunks.
-
-Candidates are windows whose minimiser (five words) recurs in another document
-(see ``passages``); other windows cannot repeat. Splitters come from a sample of
-about ``SAMPLE_PER_RANGE`` suffixes a range, as for any Spark range sort. A
-chunk sends each distinct suffix once, so copies cost one entry a chunk.
+Candidates are windows of ``k`` words whose minimiser (five words) recurs in
+another document (see ``passages``); other windows cannot repeat. A chunk sends
+them, by minimiser, to shards as sorted suffix runs: the text once, and for each
+suffix (cut at ``k`` words) in sorted order where it starts in the text and how
+long a prefix it shares with its predecessor, so a run is front-coded without
+repeating text. A shard merges its runs with a loser tree that carries the known
+common prefix of every loser with the last winner: a longer known prefix decides
+without looking at text, and equal ones compare only what follows. Equal
+neighbours in the merged order are equal windows; the smallest document among
+them goes back to the chunks.
+
+Scale. A chunk sends each distinct segment once, so copies cost one entry a
+chunk; an anchor found in more than ``hot_docs`` documents is spread window by
+window over all shards. Nothing grows beyond a chunk or a shard.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .passages import CHUNK_BYTES, Shared, anchor_runs, covered, expand, pack_chunks, report_anchors, shared_anchors, squeeze
+from .common import table
+from .passages import (
+    CHUNK_BYTES,
+    anchor_runs,
+    answer_runs,
+    expand,
+    pack_chunks,
+    place_segments,
+    removed_mask,
+    report_anchors,
+    shared_anchors,
+    squeeze,
+)
 
 GRAM = 5
-SAMPLE_PER_RANGE = 64
-MAX_RANGES = 20_000
-KEY_BYTES = 96  # splitters are cut here; equal suffixes still fall in one range
+HOT_DOCS = 2000
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -47,43 +55,59 @@ def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     return n
 
 
-def front_code(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(shared prefix lengths, rest lengths, rests) of a sorted run."""
-    shared, rest, last = [], [], b""
-    for s in run:
-        p = common_prefix(last, s)
-        shared.append(p)
-        rest.append(s[p:])
-        last = s
-    return np.array(shared, np.int32), np.array([len(r) for r in rest], np.int32), b"".join(rest)
+def suffix_run(segments: list[bytes], k: int):
+    """The sorted run of all k-word suffixes of the segments: where each starts
+    in the joined text, its length, the prefix shared with its predecessor; and
+    the number of suffixes of each segment."""
+    starts, lens, windows, base = [], [], [], 0
+    for s in segments:
+        words = s.split(b" ")
+        at, edge = base, [base]
+        for w in words:
+            at += len(w) + 1
+            edge.append(at)
+        n = len(words) - k + 1
+        starts += edge[:n]
+        lens += [e - b - 1 for b, e in zip(edge[:n], edge[k:])]
+        windows.append(n)
+        base += len(s) + 1
+    body = b"\n".join(segments)
+    texts = [body[b : b + n] for b, n in zip(starts, lens)]
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    shared, last = [], b""
+    for i in order:
+        t = texts[i]
+        shared.append(common_prefix(last, t))
+        last = t
+    o = np.array(order, np.int64)
+    return body, np.array(starts, np.int32)[o], np.array(lens, np.int32)[o], np.array(shared, np.int32), o, np.array(windows, np.int64)
 
 
 class Run:
-    """A front-coded sorted run, decoded one suffix at a time."""
+    """A sorted run under merge. ``known``: what the head shares with the last
+    suffix merged, -1 once the run is used up."""
 
-    __slots__ = ("shared", "rest", "body", "docs", "at", "pos", "n", "text", "known", "answer")
+    __slots__ = ("body", "starts", "lens", "shared", "docs", "at", "n", "text", "known", "answer")
 
-    def __init__(self, shared, rest, body, docs):
-        self.shared, self.rest, self.body, self.docs = shared.tolist(), rest.tolist(), body, docs.tolist()
-        self.at, self.pos, self.n, self.text, self.known = -1, 0, len(self.shared), b"", 0
+    def __init__(self, body: bytes, starts, lens, shared, docs):
+        self.body, self.starts, self.lens, self.shared, self.docs = body, starts.tolist(), lens.tolist(), shared.tolist(), docs.tolist()
+        self.at, self.n, self.text, self.known = -1, len(self.starts), b"", 0
         self.answer = [0] * self.n
         self.step()
 
     def step(self):
-        """To the next suffix; ``known``: what it shares with the one before.
-        After the end ``known`` is -1, which loses every comparison."""
-        self.at += 1
-        if self.at == self.n:
+        self.at = at = self.at + 1
+        if at == self.n:
             self.known = -1
             return
-        p, r = self.shared[self.at], self.rest[self.at]
-        self.text = self.text[:p] + self.body[self.pos : self.pos + r]
-        self.pos += r
-        self.known = p
+        s = self.starts[at]
+        self.text = self.body[s : s + self.lens[at]]
+        self.known = self.shared[at]
 
 
 def merge(runs: list[Run]):
-    """Yield (run, shared with the last yielded suffix) in sorted order.
+    """Yield the run whose head is next in sorted order; its ``known`` is what
+    that head shares with the suffix yielded before.
 
     A loser tree: each inner node keeps the loser of its match. All ``known``
     values on the winner's path refer to the last winner, so the longer one is
@@ -180,17 +204,16 @@ def _words(payload):
     return ids, np.r_[0, stop[:-1]].astype(np.int64), stop, words
 
 
-def _runs(payload, k):
-    ids, start, stop, words = _words(payload)
-    ends = np.repeat(stop, stop - start)
-    return ids, stop, words, anchor_runs(word_hashes(words), ends, k, min(GRAM, k))
+def _runs(stop, start, words, k):
+    return anchor_runs(word_hashes(words), np.repeat(stop, stop - start), k, min(GRAM, k))
 
 
 def find_anchors(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for chunk, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, stop, _, (first, _, h) = _runs(payload, k)
+                ids, start, stop, words = _words(payload)
+                first, _, h = _runs(stop, start, words, k)
                 rows = list(report_anchors(h, ids[np.searchsorted(stop, first, side="right")], buckets))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
@@ -200,85 +223,42 @@ def find_anchors(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     return chunks.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
-def sorted_runs(joined: DataFrame, k: int, buckets: int, sample: int) -> DataFrame:
-    """(chunk, run, places, sample): the chunk's front-coded sorted suffixes,
-    the rank of each candidate window's suffix, and a few suffixes by rank."""
+def places_of(payload, shared, k: int, buckets: int, shards: int):
+    ids, start, stop, words = _words(payload)
+    runs = _runs(stop, start, words, k)
+    place, by = place_segments(runs, shared, ids, stop, k, buckets, shards, lambda s, e: b" ".join(words[s:e]))
+    return (ids, start, stop, words), place, by
+
+
+def send_runs(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
+    """(shard, chunk, blob): the chunk's sorted suffix run for a shard."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
             for chunk, payload, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not shared:
                     continue
-                ids, stop, words, (first, last, h) = _runs(payload, k)
-                hit, _ = Shared(shared, buckets).find(h)
-                first, last = first[hit], last[hit]
-                n = last - first
-                w = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                owner = np.searchsorted(stop, w, side="right")
-                least: dict[bytes, int] = {}
-                keys = []
-                for i, d in zip(w.tolist(), ids[owner].tolist()):
-                    s = b" ".join(words[i : i + k])
-                    keys.append(s)
-                    if least.setdefault(s, d) > d:
-                        least[s] = d
-                run = sorted(least)
-                rank = {s: i for i, s in enumerate(run)}
-                pre, rest, body = front_code(run)
-                docs = np.array([least[s] for s in run], np.int64)
-                some = run[:: max(1, len(run) // sample)][: sample + 1]
-                out[0].append(chunk)
-                out[1].append(squeeze(pre, rest, docs, np.frombuffer(body, np.uint8)))
-                out[2].append(squeeze(np.fromiter(map(rank.__getitem__, keys), np.int32, len(keys)), owner.astype(np.int32), w))
-                out[3].append([s[:KEY_BYTES] for s in some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary())))],
-                names=["chunk", "run", "places", "sample"],
-            )
-
-    return joined.mapInArrow(run, "chunk long, run binary, places binary, sample array<binary>")
-
-
-def cut_runs(runs: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """(range, chunk, blob): runs cut at the splitters, front-coded anew at
-    each cut only."""
-    shared_cuts = runs.sparkSession.sparkContext.broadcast(splitters)
-
-    def run(batches):
-        cuts = shared_cuts.value
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pre, rest, docs, body = expand(blob)
-                if not len(pre):
-                    continue
-                # decode to find the cuts
-                texts, last, at, raw = [], b"", 0, body.tobytes()
-                for p, r in zip(pre.tolist(), rest.tolist()):
-                    last = last[:p] + raw[at : at + r]
-                    at += r
-                    texts.append(last)
-                edges = [0, *(bisect_left(texts, c) for c in cuts), len(texts)]
-                where = np.r_[0, np.cumsum(rest)]
+                _, _, by = places_of(payload, shared, k, buckets, shards)
                 rows = []
-                for g, (s, e) in enumerate(zip(edges, edges[1:])):
-                    if e > s:
-                        p, r = pre[s:e].copy(), rest[s:e].copy()
-                        head = texts[s][: p[0]]
-                        r[0] += p[0]
-                        p[0] = 0
-                        part = head + raw[where[s] : where[e]]
-                        rows.append((g, squeeze(p, r, docs[s:e], np.frombuffer(part, np.uint8))))
+                for g, (texts, docs) in by.items():
+                    body, starts, lens, pre, order, windows = suffix_run(texts, k)
+                    small = np.uint16 if len(body) < 65536 else np.int32
+                    blob = squeeze(
+                        starts.astype(small), lens.astype(small), pre.astype(small), order.astype(small),
+                        windows.astype(np.int32), np.array(docs, np.int64), np.frombuffer(body, np.uint8),
+                    )
+                    rows.append((g, blob))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["range", "chunk", "blob"],
+                    names=["shard", "chunk", "blob"],
                 )
 
-    return runs.mapInArrow(run, "range int, chunk long, blob binary")
+    return joined.mapInArrow(run, "shard int, chunk long, blob binary")
 
 
-def merge_ranges(parts: DataFrame) -> DataFrame:
-    """(chunk, range, blob): the smallest document of each sent suffix."""
+def merge_shards(parts: DataFrame) -> DataFrame:
+    """(chunk, blob): for every segment a chunk sent, runs of windows with one
+    smallest document."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -286,38 +266,42 @@ def merge_ranges(parts: DataFrame) -> DataFrame:
         for b in batches:
             for g, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 by.setdefault(g, []).append((chunk, blob))
-        for g, sent in by.items():
-            runs = []
+        while by:
+            g, sent = by.popitem()
+            runs, back = [], []
             for _, blob in sent:
-                pre, rest, docs, body = expand(blob)
-                runs.append(Run(pre, rest, body.tobytes(), docs))
+                starts, lens, pre, order, windows, docs, body = expand(blob)
+                order = order.astype(np.int64)
+                runs.append(Run(body.tobytes(), starts, lens, pre, np.repeat(docs, windows)[order]))
+                back.append((order, windows))
             merge_groups(runs)
-            blobs = [squeeze(np.array(r.answer, np.int64)) for r in runs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in sent], pa.int64()), pa.array([g] * len(sent), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "range", "blob"]
-            )
+            blobs = []
+            for r, (order, windows) in zip(runs, back):
+                doc = np.empty(len(order), np.int64)
+                doc[order] = r.answer
+                cnt, size, val = answer_runs(windows, doc)
+                blobs.append(squeeze(np.array([g], np.int64), cnt.astype(np.int16), size.astype(np.int16), val))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sent], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
 
-    return parts.repartition(n, "range").mapInArrow(run, "chunk long, range int, blob binary")
+    return parts.repartition(n, "shard").mapInArrow(run, "chunk long, blob binary")
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
 
 
-def apply_removal(joined: DataFrame, k: int) -> DataFrame:
+def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
     kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     names = ["doc_id", "n_words", "n_removed", "kept", "spans"]
 
     def run(batches):
         for b in batches:
-            for payload, places, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                ids, start, stop, words = _words(payload)
-                gone = np.zeros(len(words), bool)
-                if places is not None and answers:
-                    rank, owner, w = expand(places)
-                    parts = sorted((a["range"], a["blob"]) for a in answers)
-                    least = np.concatenate([expand(x)[0] for _, x in parts])
-                    hit = least[rank] < ids[owner]
-                    gone = covered(len(words), w[hit], w[hit] + k)
+            for payload, shared, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if answers:
+                    (ids, start, stop, words), place, _ = places_of(payload, shared, k, buckets, shards)
+                    gone = removed_mask(len(words), ids, place, answers, k)
+                else:
+                    ids, start, stop, words = _words(payload)
+                    gone = np.zeros(len(words), bool)
                 rows = [[] for _ in names]
                 for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
                     g = gone[s:e]
@@ -333,7 +317,7 @@ def apply_removal(joined: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, KEPT)
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Cut every word covered by a ``k``-word window whose word sequence also
     starts in a document with a smaller doc_id.
 
@@ -345,18 +329,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, chunk_bytes: int = CHUNK_BYTES)
     """
     spark = docs.sparkSession
     chunks = pack_chunks(docs, chunk_bytes)
-    total = chunks.count()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total)
-    shared = shared_anchors(find_anchors(chunks, k, n), 1 << 62)
-    runs = materialise(sorted_runs(chunks.join(shared, "chunk", "left"), k, n, SAMPLE_PER_RANGE))
-    ranges = min(n, MAX_RANGES)
-    asked = F.pmod(F.xxhash64("chunk"), F.lit(total)) < ranges  # so many chunks give samples that all fit the driver
-    some = sorted(bytes(r["s"]) for r in runs.where(asked).select(F.explode("sample").alias("s")).collect())
-    splitters = sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
-    answers = merge_ranges(cut_runs(runs.select("chunk", "run"), splitters))
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "blob")).alias("answers"))
-    joined = chunks.join(runs.select("chunk", "places"), "chunk", "left").join(answers, "chunk", "left")
-    return apply_removal(joined.select("chunk", "payload", "places", "answers"), k)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    shared = shared_anchors(find_anchors(chunks, k, n), hot_docs)
+    # one shuffle of the chunks serves both passes over them
+    base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
+    answers = merge_shards(send_runs(base, k, n, n)).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
+    joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
+    return apply_removal(joined, k, n, n)
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:
