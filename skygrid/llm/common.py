@@ -61,17 +61,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; for file scans the file bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def parts_for(df: DataFrame, target_bytes: int) -> int:
-    """Partition count that follows the input size, never below the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-input_bytes(df) // target_bytes)))
-
-
 def docs_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table; null texts become empty. Other
     columns, whatever their names, are left out of the plan."""

@@ -252,8 +252,9 @@ def place_segments(runs, shared, ids, stop, k: int, buckets: int, shards: int, t
     shared anchor; hot anchors are cut to single windows, each placed by its own
     content. Returns for each segment (shard, number among the chunk's distinct
     segments there, document's position, first window), and by shard the
-    distinct segments with the smallest document of each. Computed alike when
-    segments are sent and when the answers come back.
+    distinct segments with the smallest document of each and whether others
+    have it too. Computed alike when segments are sent and when the answers come
+    back.
     """
     first, last, h = runs
     hit, hot = Shared(shared, buckets).find(h)
@@ -267,16 +268,18 @@ def place_segments(runs, shared, ids, stop, k: int, buckets: int, shards: int, t
     shard = (mix(h) % np.uint64(shards)).astype(np.int64)
     number = np.zeros(len(first), np.int64)
     seen: dict[tuple, int] = {}
-    by: dict[int, tuple[list, list]] = {}
+    by: dict[int, tuple[list, list, list]] = {}
     for i, (s, e, g, d) in enumerate(zip(first.tolist(), (last + k - 1).tolist(), shard.tolist(), ids[owner].tolist())):
         text = text_of(s, e)
-        texts, docs = by.setdefault(g, ([], []))
+        texts, docs, many = by.setdefault(g, ([], [], []))
         at = number[i] = seen.setdefault((g, text), len(texts))
         if at == len(texts):
             texts.append(text)
             docs.append(d)
-        elif d < docs[at]:
-            docs[at] = d
+            many.append(0)
+        elif d != docs[at]:
+            docs[at] = min(d, docs[at])
+            many[at] = 1
     return (shard, number, owner, first), by
 
 

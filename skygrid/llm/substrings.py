@@ -28,6 +28,7 @@ from .passages import (
     anchor_runs,
     answer_runs,
     expand,
+    gram_hashes,
     pack_chunks,
     place_segments,
     removed_mask,
@@ -80,6 +81,15 @@ class WaveletMatrix:
         return lo, hi
 
 
+def _goals(have: int, k: int) -> list[int]:
+    """Prefix lengths to sort by after ``have``: doubling up to k - 1, then k."""
+    out = []
+    while have < k - 1:
+        have = min(2 * have, k - 1)
+        out.append(have)
+    return [*out, k]
+
+
 class FMIndex:
     """FM-index of segments for patterns of at most ``k`` symbols.
 
@@ -88,60 +98,65 @@ class FMIndex:
     length intact.
     """
 
-    LEVELS = 9
-
     def __init__(self, text: np.ndarray, owner: np.ndarray, k: int):
+        used = np.flatnonzero(np.bincount(text))
+        dense = np.zeros(int(used[-1]) + 1, np.int64)
+        dense[used] = np.arange(len(used))
+        self.text = text = dense[text]  # separators stay 0
+        levels = max(1, int(len(used) - 1).bit_length())
         n = len(text)
         self.k = k
-        t = np.zeros(n + k + 8, np.uint64)
-        t[:n] = text
-        key = np.zeros(n + k, np.uint64)
-        for j in range(7):
-            key = (key << np.uint64(9)) | t[j : j + n + k]
-        rank, have = self._rank(key, n)
-        while have * 2 <= k - 1:
-            rank, have = self._join(rank, have, n), have * 2
-        order, same = self._sort(rank, k - have, n)
-        shift = np.append(rank, np.zeros(k, rank.dtype))
-        self.sa = order
-        near = order[1:], order[:-1]
-        near49 = (rank[near[0]] == rank[near[1]]) & (shift[near[0] + k - 1 - have] == shift[near[1] + k - 1 - have])
-        self.wide_lo, self.wide_hi = self._edges(near49)
-        cut = np.flatnonzero(np.r_[True, ~same])
-        self.group = (np.cumsum(np.r_[True, ~same]) - 1).astype(np.int32)
-        self.least = np.minimum.reduceat(owner[order], cut)
+        order, rank, wide = self._sort(text, k, levels)
+        self.wide_lo, self.wide_hi = self._edges(wide)
+        new = np.r_[True, rank[order][1:] != rank[order][:-1]]
+        self.group = (np.cumsum(new) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
         bwt = text[order - 1]
-        bwt[order == 0] = text[-1]
-        counts = np.bincount(bwt, minlength=1 << self.LEVELS)
-        wm_order = np.zeros(1 << self.LEVELS, np.int64)
-        rev = np.array([int(f"{s:0{self.LEVELS}b}"[::-1], 2) for s in range(1 << self.LEVELS)])
-        seq = np.argsort(rev)
-        wm_order[seq] = np.r_[0, np.cumsum(counts[seq])[:-1]]
-        self.block = wm_order  # where a symbol's block starts after the last level
-        self.less = np.r_[0, np.cumsum(counts)[:-1]]
-        self.tree = WaveletMatrix(bwt.astype(np.int16), self.LEVELS)
+        counts = np.bincount(bwt, minlength=1 << levels)
+        # after the last level symbols stand in the order of their reversed bits
+        seq = np.argsort([int(f"{s:0{levels}b}"[::-1], 2) for s in range(1 << levels)])
+        block = np.zeros(1 << levels, np.int64)
+        block[seq] = np.cumsum(counts[seq]) - counts[seq]
+        self.shift = np.cumsum(counts) - counts - block
+        self.tree = WaveletMatrix(bwt.astype(np.int16), levels)
         self.n = n
 
     @staticmethod
-    def _rank(key, n):
-        _, inv = np.unique(key, return_inverse=True)
-        return inv.astype(np.uint64), 7
-
-    @staticmethod
-    def _pair(rank, shift):
-        other = np.zeros(len(rank), np.uint64)
-        other[: len(rank) - shift] = rank[shift:]
-        return (rank << np.uint64(32)) | other
-
-    def _join(self, rank, shift, n):
-        _, inv = np.unique(self._pair(rank, shift), return_inverse=True)
-        return inv.astype(np.uint64)
-
-    def _sort(self, rank, shift, n):
-        pair = self._pair(rank, shift)[:n]
-        order = np.argsort(pair)
-        s = pair[order]
-        return order, s[1:] == s[:-1]
+    def _sort(text, k, levels):
+        """Suffix order by the first k symbols; the rank (start of its group) of
+        every suffix; and whether neighbours in the order share k - 1 symbols.
+        Prefixes double; only groups of several suffixes are sorted again."""
+        n = len(text)
+        have = min(63 // levels, k - 1)
+        padded = np.append(text, np.zeros(k, np.int64)).astype(np.uint64)
+        key = np.zeros(n, np.uint64)
+        for j in range(have):
+            key = (key << np.uint64(levels)) | padded[j : j + n]
+        order = np.argsort(key)
+        s = key[order]
+        new = np.r_[True, s[1:] != s[:-1]]
+        rank = np.zeros(n + k, np.int64)
+        at = np.arange(n)
+        rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+        wide = None
+        for goal in _goals(have, k):
+            step = goal - have
+            alone = new & np.r_[new[1:], True]
+            places = np.flatnonzero(~alone)  # positions in the order of groups of several
+            members = order[places]
+            pair = (rank[members].astype(np.uint64) << np.uint64(32)) | rank[members + step].astype(np.uint64)
+            o = np.argsort(pair)
+            members, pair = members[o], pair[o]
+            order[places] = members
+            split = np.r_[True, pair[1:] != pair[:-1]]
+            new = new.copy()
+            new[places] = split
+            fresh = np.maximum.accumulate(np.where(split, places, 0))
+            rank[members] = fresh
+            have = goal
+            if goal == k - 1:
+                wide = ~new[1:]
+        return order, rank[:n], wide
 
     @staticmethod
     def _edges(same):
@@ -152,13 +167,14 @@ class FMIndex:
 
     def extend(self, symbol, lo, hi):
         a, b = self.tree.rank(symbol, lo, hi)
-        shift = self.less[symbol] - self.block[symbol]
+        shift = self.shift[symbol]
         return a + shift, b + shift
 
-    def matching(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def matching(self, starts: np.ndarray, ends: np.ndarray):
         """For segments text[start:end] (each >= k long) the smallest owner of
         every window, -1 where a window does not occur; windows of a segment
         are filled at their own places of a text-long array."""
+        text = self.text
         k = self.k
         out = np.full(len(text), -1, np.int64)
         order = np.argsort(starts - ends, kind="stable")  # longest first: those still running are a prefix
@@ -224,8 +240,8 @@ def send_segments(joined: DataFrame, k: int, buckets: int, shards: int) -> DataF
                     continue
                 _, _, by = places_of(payload, shared, k, buckets, shards)
                 rows = [
-                    (g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.frombuffer(b"".join(texts), np.uint8)))
-                    for g, (texts, docs) in by.items()
+                    (g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.array(many, np.uint8), np.frombuffer(b"".join(texts), np.uint8)))
+                    for g, (texts, docs, many) in by.items()
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
@@ -235,6 +251,24 @@ def send_segments(joined: DataFrame, k: int, buckets: int, shards: int) -> DataF
     return joined.mapInArrow(run, "shard int, chunk long, blob binary")
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def repeating(texts, lens, windows, k) -> np.ndarray:
+    """Segments with a window whose hash another place of the shard has as
+    well. The others, met by chance of one anchor only, need no index: their
+    windows occur nowhere else."""
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    h = gram_hashes(raw, k)[_ranges(np.cumsum(lens) - lens, windows)]
+    s = np.sort(h)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return np.zeros(len(texts), bool)
+    hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    return np.logical_or.reduceat(hit, np.cumsum(windows) - windows)
+
+
 def index_shards(segments: DataFrame, k: int) -> DataFrame:
     """(chunk, shard, blob): for every segment a chunk sent, runs of windows
     with one smallest document (segment number, windows, document)."""
@@ -249,31 +283,38 @@ def index_shards(segments: DataFrame, k: int) -> DataFrame:
             known: dict[bytes, int] = {}
             texts: list[bytes] = []
             least: list[int] = []
+            several: list[int] = []
             numbers = []
             for _, blob in sent:
-                lens, docs, raw = expand(blob)
+                lens, docs, many, raw = expand(blob)
                 body, at, mine = raw.tobytes(), 0, []
-                for length, d in zip(lens.tolist(), docs.tolist()):
+                for length, d, m in zip(lens.tolist(), docs.tolist(), many.tolist()):
                     t = body[at : at + length]
                     at += length
                     j = known.setdefault(t, len(texts))
                     if j == len(texts):
                         texts.append(t)
                         least.append(d)
-                    elif d < least[j]:
-                        least[j] = d
+                        several.append(m)
+                    elif d != least[j]:
+                        least[j] = min(d, least[j])
+                        several[j] = 1
                     mine.append(j)
                 numbers.append(np.array(mine, np.int64))
             lens = np.array([len(t) for t in texts], np.int64)
-            ends = np.cumsum(lens + 1) - 1
-            starts = ends - lens
-            text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-            text[ends] = 0
-            index = FMIndex(text, np.repeat(np.array(least, np.int64), lens + 1), k)
-            doc = index.matching(text, starts, ends)
             w = lens - k + 1
-            place = np.repeat(starts, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            runs, size, val = answer_runs(w, doc[place])
+            doc = np.repeat(np.array(least, np.int64), w)  # of windows that no other segment has
+            use = np.flatnonzero(repeating(texts, lens, w, k) | np.array(several, bool))
+            if len(use):
+                some = [texts[j] for j in use]
+                ends = np.cumsum(lens[use] + 1) - 1
+                starts = ends - lens[use]
+                text = np.frombuffer(b"\0".join(some) + b"\0", np.uint8).astype(np.int64) + 1
+                text[ends] = 0
+                index = FMIndex(text, np.repeat(np.array(least, np.int64)[use], lens[use] + 1), k)
+                found = index.matching(starts, ends)
+                doc[_ranges(np.cumsum(w)[use] - w[use], w[use])] = found[_ranges(starts, w[use])]
+            runs, size, val = answer_runs(w, doc)
             lo = np.cumsum(runs) - runs
             chunks, blobs = [], []
             for (chunk, _), mine in zip(sent, numbers):

@@ -240,7 +240,7 @@ def send_runs(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame
                     continue
                 _, _, by = places_of(payload, shared, k, buckets, shards)
                 rows = []
-                for g, (texts, docs) in by.items():
+                for g, (texts, docs, _) in by.items():
                     body, starts, lens, pre, order, windows = suffix_run(texts, k)
                     small = np.uint16 if len(body) < 65536 else np.int32
                     blob = squeeze(
