@@ -350,7 +350,7 @@ class HealpixDataset:
 
     def est_size(self) -> float:
         """Estimated size in KiB, from the plan's statistics."""
-        return float(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1024
+        return float(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1024
 
     def estimate_size(self) -> str:
         text = f"{len(self.columns)} columns, {self.npartitions} partitions, {self.info.total_rows if self.info.total_rows is not None else 'unknown'} rows, about {self.est_size():.1f} KiB"

@@ -138,28 +138,33 @@ def xyz_np(ra, dec) -> np.ndarray:
     return np.stack([np.cos(d) * np.cos(r), np.cos(d) * np.sin(r), np.sin(d)], axis=-1)
 
 
-def margin_cells(order: int, pixel: int, margin_order: int) -> np.ndarray:
-    """Cells of ``margin_order`` that touch the pixel's edge from outside.
+def neighbour_cells(order: int, cells: np.ndarray) -> np.ndarray:
+    """The cells around each cell, eight columns (a cell may repeat).
 
-    Points just beyond the middle and the corners of each inner edge cell are
+    Points just beyond the middles of the four edges and the four corners are
     located; no table of base-cell neighbours is needed.
     """
-    if margin_order <= order:
-        raise ValueError("margin order must be higher than the pixel's order")
-    face, fx, fy = (int(v) for v in face_xy(order, pixel))
-    k = 1 << (margin_order - order)
-    ns = 1 << margin_order
-    i = np.arange(k)
-    cx = np.r_[i, i, np.zeros(k, int), np.full(k, k - 1)] + fx * k
-    cy = np.r_[np.zeros(k, int), np.full(k, k - 1), i, i] + fy * k
-    own = xyz_np(*from_face(np.full(len(cx), face), (cx + 0.5) / ns, (cy + 0.5) / ns))
+    face, ix, iy = face_xy(order, cells)
+    ns = 1 << order
+    own = xyz_np(*from_face(face, (ix + 0.5) / ns, (iy + 0.5) / ns))
     out = []
     for dx, dy in ((0, 0.5), (1, 0.5), (0.5, 0), (0.5, 1), (0, 0), (0, 1), (1, 0), (1, 1)):
-        edge = xyz_np(*from_face(np.full(len(cx), face), (cx + dx) / ns, (cy + dy) / ns))
+        edge = xyz_np(*from_face(face, (ix + dx) / ns, (iy + dy) / ns))
         p = edge + 0.2 * (edge - own)
         p /= np.linalg.norm(p, axis=1, keepdims=True)
-        out.append(ang2pix_np(margin_order, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(p[:, 2]))))
-    cells = np.unique(np.concatenate(out))
+        out.append(ang2pix_np(order, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(p[:, 2]))))
+    return np.stack(out, axis=1)
+
+
+def margin_cells(order: int, pixel: int, margin_order: int) -> np.ndarray:
+    """Cells of ``margin_order`` that touch the pixel's edge from outside."""
+    if margin_order <= order:
+        raise ValueError("margin order must be higher than the pixel's order")
+    k = 1 << (margin_order - order)
+    i = np.arange(k)
+    x, y = np.r_[i, i, np.zeros(k, int), np.full(k, k - 1)], np.r_[np.zeros(k, int), np.full(k, k - 1), i, i]
+    inner = (pixel << (2 * (margin_order - order))) + _spread(x) + (_spread(y) << 1)
+    cells = np.unique(neighbour_cells(margin_order, inner))
     return cells[cells >> (2 * (margin_order - order)) != pixel]
 
 

@@ -447,10 +447,10 @@ def nest_lists(spark, sf):
     return out.select("orderkey", F.array_max(F.transform("items", lambda x: x["qty"])).alias("top"), F.size("items").alias("n"))
 
 
-@query("SELECT c_custkey, round(avg(o_totalprice), 1) AS mean FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, round(avg(o_totalprice), 6) AS mean FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def map_rows_mean(spark, sf):
     out = _nested_orders(spark, sf).map_rows(lambda k, p: (k, float(np.mean(p))), columns=[ID, "o.o_totalprice"], row_container="args", meta={"c_custkey": "long", "mean": "double"})
-    return out.df.select(ID, F.round("mean", 1).alias("mean"))
+    return out.df.select(ID, F.round("mean", 6).alias("mean"))
 
 
 def _asof_sql(direction: str) -> str:

@@ -61,7 +61,7 @@ def from_dataframe(df, *, ra_column=None, dec_column=None, lowest_order=0, highe
     bad = r.isNull() | d.isNull() | F.isnan(r) | F.isnan(d)
     weight = F.count(F.lit(1))
     if partition_rows is None:
-        total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         partition_bytes = partition_bytes or DEFAULT_PARTITION_BYTES
     tally = indexed.groupBy(F.when(~bad, pix_at(F.col(INDEX_COLUMN), highest_order)).alias("pixel")).agg(weight.alias("n")).collect()
     if any(x["pixel"] is None for x in tally):

@@ -51,6 +51,8 @@ def rename(spark, a: str, b: str) -> None:
     fs, p, path = _fs(spark, a)
     target = path(b)
     fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        fs.delete(target, True)
     if not fs.rename(p, target):
         raise OSError(f"cannot move {a} to {b}")
 
