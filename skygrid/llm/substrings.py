@@ -138,7 +138,7 @@ class FMIndex:
         rank = np.zeros(n + k, np.int64)
         at = np.arange(n)
         rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-        wide = None
+        wide = ~new[1:] if have == k - 1 else None
         for goal in _goals(have, k):
             step = goal - have
             alone = new & np.r_[new[1:], True]
