@@ -132,6 +132,9 @@ class HealpixDataset:
             raise ValueError("The number of rows is not known; use count()")
         return self.info.total_rows
 
+    def __bool__(self):
+        return True
+
     def count(self) -> int:
         return self.df.count()
 
