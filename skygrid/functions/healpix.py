@@ -139,20 +139,24 @@ def xyz_np(ra, dec) -> np.ndarray:
 
 
 def neighbour_cells(order: int, cells: np.ndarray) -> np.ndarray:
-    """The cells around each cell, eight columns (a cell may repeat).
+    """The cells that share an edge or a corner with each cell (with repeats,
+    the cell itself included).
 
-    Points just beyond the middles of the four edges and the four corners are
+    Points in twelve directions close around each of the four corners are
     located; no table of base-cell neighbours is needed.
     """
     face, ix, iy = face_xy(order, cells)
     ns = 1 << order
     own = xyz_np(*from_face(face, (ix + 0.5) / ns, (iy + 0.5) / ns))
     out = []
-    for dx, dy in ((0, 0.5), (1, 0.5), (0.5, 0), (0.5, 1), (0, 0), (0, 1), (1, 0), (1, 1)):
-        edge = xyz_np(*from_face(face, (ix + dx) / ns, (iy + dy) / ns))
-        p = edge + 0.2 * (edge - own)
-        p /= np.linalg.norm(p, axis=1, keepdims=True)
-        out.append(ang2pix_np(order, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(p[:, 2]))))
+    for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        corner = xyz_np(*from_face(face, (ix + dx) / ns, (iy + dy) / ns))
+        along = corner - own
+        across = np.cross(corner, along)
+        for angle in (np.arange(12) + 0.37) * np.pi / 6:
+            p = corner + 0.05 * (np.cos(angle) * along + np.sin(angle) * across)
+            p /= np.linalg.norm(p, axis=1, keepdims=True)
+            out.append(ang2pix_np(order, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(p[:, 2]))))
     return np.stack(out, axis=1)
 
 

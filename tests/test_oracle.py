@@ -5,6 +5,7 @@ import warnings
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,10 +23,17 @@ def duck(sf):
     return con
 
 
+def plain(v):
+    if isinstance(v, (list, np.ndarray)):
+        return str([plain(x) for x in v])
+    if v is None or pd.isna(v):
+        return None
+    return round(float(v), 4) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
+
+
 def rows(frame):
     cols = sorted(frame.columns)
-    clean = lambda v: None if v is None or (isinstance(v, float) and np.isnan(v)) else (round(float(v), 4) if isinstance(v, (float, np.floating)) else str(v))
-    return cols, sorted((tuple(map(clean, r)) for r in frame[cols].itertuples(index=False)), key=str)
+    return cols, sorted((tuple(map(plain, r)) for r in frame[cols].itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
