@@ -295,3 +295,18 @@ def _packed(usable: DataFrame) -> DataFrame:
 
 def op8_embeddings(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.n, p.b FROM reach JOIN p ON p.a = reach.m),
+c AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n),
+k AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT c.n AS vec_id, coalesce(k.links, 0)::BIGINT AS n_links, c.component_id, c.n = c.component_id AS kept FROM c LEFT JOIN k ON k.a = c.n
+"""

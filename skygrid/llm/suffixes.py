@@ -341,3 +341,20 @@ def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:
     d = remove_repeats(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s),
+r AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN m USING (s) WHERE m.low < g.doc_id),
+w AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (
+  SELECT w.doc_id, count(*) AS kept, string_agg(w.x, ' ' ORDER BY w.p) AS t
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.p = w.p WHERE r.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.kept, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
