@@ -1,38 +1,20 @@
-"""Shared plumbing: scratch tables, partition sizing, components, code shipping."""
+"""Shared plumbing: scratch tables, components, code shipping."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from ..operators.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors (once per SparkContext)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_skygrid_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="skygrid"), "skygrid_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(_PACKAGE_ROOT):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE_ROOT)))
-    sc.addPyFile(path)
-    sc._skygrid_shipped = True
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one
     only where the setting is absent (tests on one machine)."""
@@ -105,3 +87,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+__all__ = ["checkpoint", "components", "docs_of", "materialise", "scratch_dir", "ship", "table"]
