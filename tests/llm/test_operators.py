@@ -268,6 +268,42 @@ def _groups(of):
     return by.values()
 
 
+def test_near_copies_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab, line = [f"w{i}" for i in range(3000)], " ".join(f"common{i}" for i in range(12))
+    rows = []
+    for i in range(40):
+        base = rng.choices(vocab, k=rng.randint(6, 150))
+        for k in (0, 0, 1, 2, 3, 5):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w) + (" " + line if i % 3 == 0 else "")))
+    rows += [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (7, rows[100][1]), (7, rows[100][1]), (None, "one two")]
+    grams = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for _, t in rows)]
+    live = [i for i, r in enumerate(rows) if r[0] is not None]
+    root = {i: i for i in live}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in live:
+        for b in live:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9:
+                x, y = top(a), top(b)
+                x, y = sorted((x, y), key=lambda i: rows[i][0])
+                root[y] = x
+    want = sorted([str(rows[min((j for j in live if top(j) == i), key=lambda j: rows[j][0])][0]) for i in live if top(i) == i] + ["None"])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == want and 40 < len(want) < len(rows)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_components_on_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in common.components(edges).collect()}
