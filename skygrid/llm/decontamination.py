@@ -17,8 +17,10 @@ and ASCII punctuation.
 Scale. One narrow pass over the documents. The item tables are broadcast in
 blocks of at most ``block_words`` item words (some tens of MB), one pass a
 block, so what is broadcast has a fixed bound however large the benchmark is.
-Windows of which fewer than ``1 - slack`` of the words occur in any item are
-skipped before embedding.
+Windows that no passage at the allowed distance can hold are skipped before
+embedding: a word of no item costs an edit, so around a window inside a passage
+of an item of n words, some n words hold at most as many such words as the item
+may have edits.
 """
 
 from __future__ import annotations
@@ -67,6 +69,7 @@ class SizeClass:
 
     def __init__(self, size: int, words, starts, owner, offset, items, recall: float, edits: float, rng):
         self.size, self.owner, self.offset = size, owner, offset
+        self.spans = self._spans([len(w) for w in items], edits)
         e = cgk_embed(words, starts, size)
         self.width, repeats = self._tune(words, items, recall, edits, rng)
         self.positions = rng.integers(0, 3 * size * 2 // 3, (repeats, self.width))
@@ -76,6 +79,28 @@ class SizeClass:
             order = np.argsort(sig, kind="stable")
             self.tables.append((sig[order], order.astype(np.int32)))
 
+    def _spans(self, lengths, edits):
+        """(words, unknown words at most) of the spans of which one must cover a
+        window: item lengths within a fifth share the least of them."""
+        out = []
+        for n in sorted(set(lengths)):
+            most = int(edits * n + 1e-9)
+            if out and n <= 1.2 * out[-1][0]:
+                out[-1] = (out[-1][0], most)
+            else:
+                out.append((n, most))
+        return out
+
+    def possible(self, known, starts):
+        """Which windows lie in a span that a passage may be; known: running
+        count of known words. Beyond both ends all words are unknown."""
+        found = np.zeros(len(starts), bool)
+        for n, most in self.spans:
+            count = np.r_[np.zeros(n, np.int64), known, np.full(n, known[-1])]
+            fits = np.r_[0, np.cumsum(count[n:] - count[:-n] >= n - most)]  # spans by start, from -n
+            found |= fits[starts + n + 1] > fits[starts + self.size]
+        return found
+
     def signature(self, embedded, r):
         h = np.full(embedded.shape[1], r + 1, np.uint64)
         for p in self.positions[r]:
@@ -85,31 +110,38 @@ class SizeClass:
     def _tune(self, words, items, recall, edits, rng):
         """Widest sample, and its repeats, with which edited items are found.
 
-        Items get the allowed share of random edits; their windows at a random
-        phase of the stride are compared with the item's own windows, and the
-        share of agreeing positions gives the chance of meeting in any window.
+        Items get the allowed share of edits, in each of three ways: scattered
+        with words of the items, scattered with words of no item, and a block
+        of such words in one place. Their windows at a random phase of the
+        stride are compared with the item's own windows, and the share of
+        agreeing positions gives the chance of meeting in any window. Each way
+        must reach ``recall``. ``possible`` passes all of these windows.
         """
-        size, pool, agree = self.size, words[words > 0], []
+        size, pool, agree = self.size, words[words > 0], ([], [], [])
         for i in rng.permutation(len(items))[:60]:
-            w = items[i].tolist()
-            for _ in range(int(edits * len(w))):
-                kind, j = rng.integers(3), int(rng.integers(len(w)))
-                if kind == 0:
-                    w[j] = int(rng.choice(pool))
-                elif kind == 1:
-                    w.insert(j, int(rng.choice(pool)))
-                elif len(w) > 1:
-                    del w[j]
-            phase = int(rng.integers(max(1, size // 4)))
-            at = np.arange(phase, len(w) - size + 1, max(1, size // 4))
-            if not len(at):
-                at = np.zeros(1, np.int64)
-            theirs = cgk_embed(np.array(w + [0] * size, np.int32), at, size)[: 2 * size]
             ours = cgk_embed(np.r_[items[i], np.zeros(size, np.int32)], np.arange(len(items[i]) - size + 1), size)[: 2 * size]
-            agree.append((theirs[:, :, None] == ours[:, None, :]).mean(0).max(1))
+            for way, out in enumerate(agree):
+                w = items[i].tolist()
+                n = int(edits * len(w))
+                if way == 2:
+                    j = int(rng.integers(len(w) - n + 1))
+                    w[j : j + n] = [0] * n
+                for _ in range(n if way < 2 else 0):
+                    kind, j, new = rng.integers(3), int(rng.integers(len(w))), 0 if way else int(rng.choice(pool))
+                    if kind == 0:
+                        w[j] = new
+                    elif kind == 1:
+                        w.insert(j, new)
+                    elif len(w) > 1:
+                        del w[j]
+                at = np.arange(int(rng.integers(max(1, size // 4))), len(w) - size + 1, max(1, size // 4))
+                if not len(at):
+                    at = np.zeros(1, np.int64)
+                theirs = cgk_embed(np.array(w + [0] * size, np.int32), at, size)[: 2 * size]
+                out.append((theirs[:, :, None] == ours[:, None, :]).mean(0).max(1))
         for width, repeats in ((8, 12), (7, 12), (6, 16), (5, 16), (5, 24), (4, 24), (3, 32), (2, 48)):
-            hit = [1 - np.prod((1 - a**width) ** repeats) for a in agree]
-            if np.mean(hit) >= recall:
+            hit = [np.mean([1 - np.prod((1 - a**width) ** repeats) for a in way]) for way in agree]
+            if min(hit) >= recall:
                 break
         return width, repeats
 
@@ -161,9 +193,9 @@ def best_passage(item: list[int], text: list[int]) -> tuple[int, int, int]:
 
 
 class ItemIndex:
-    def __init__(self, rows, similarity: float, recall: float, slack: float, seed: int = 5):
+    def __init__(self, rows, similarity: float, recall: float, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.similarity, self.slack = similarity, slack
+        self.similarity = similarity
         self.ids, self.items, self.vocab = [], [], {}
         for item, text in rows:
             w = words_of(text)
@@ -203,8 +235,7 @@ class ItemIndex:
             n = np.maximum(0, (stop - first - c.size) // step + 1)
             rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts = np.repeat(first, n) + rel * step
-            enough = inside[starts + c.size] - inside[starts] >= (1 - self.slack) * c.size
-            starts = starts[enough]
+            starts = starts[c.possible(inside, starts)]
             near = max(1, c.size // 2)
             for at in range(0, len(starts), 20_000):
                 part = starts[at : at + 20_000]
@@ -259,7 +290,7 @@ def item_blocks(benchmark: DataFrame, block_words: int, **how):
 MATCH = "doc_id long, item_id long, distance int, item_words int, start int, end int, similarity double"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, slack: float = 0.25, block_words: int = 200_000) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
     """One row for each document and item found in it (its nearest passage).
 
     Items below five words are not searched. Null and empty texts hold no item;
@@ -269,7 +300,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     spark = docs.sparkSession
     ship(spark)
     texts, out = docs_of(docs), spark.createDataFrame([], MATCH)
-    for index in item_blocks(benchmark, block_words, similarity=similarity, recall=recall, slack=slack):
+    for index in item_blocks(benchmark, block_words, similarity=similarity, recall=recall):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -288,13 +319,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     return out
 
 
-def flag_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "contaminated", similarity: float = 0.8, recall: float = 0.95, slack: float = 0.25, block_words: int = 200_000) -> DataFrame:
+def flag_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "contaminated", similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
     """``docs`` with all its rows and columns and a flag: holds some item."""
     spark = docs.sparkSession
     ship(spark)
     at, names = docs.columns.index("text"), docs.columns
     out = docs.withColumn(column, F.lit(False))
-    for index in item_blocks(benchmark, block_words, similarity=similarity, recall=recall, slack=slack):
+    for index in item_blocks(benchmark, block_words, similarity=similarity, recall=recall):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

@@ -373,6 +373,27 @@ def test_decontamination(spark, docs, rows):
     assert decontamination.find_items(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [27, 55, 110])
+def test_leaks_with_a_block_of_unknown_words(n):
+    rng = random.Random(n)
+    items = [[f"w{i}x{j}" for j in range(n)] for i in range(100)]
+    index = decontamination.ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)], similarity=0.8, recall=0.95)
+    texts, edits = [], int(0.2 * n + 1e-9)
+    for w in items:
+        j, w = rng.randint(0, n - edits), list(w)
+        w[j : j + edits] = ["unknown"] * edits
+        texts.append("before " * rng.randint(40, 80) + " ".join(w) + " after" * 60)
+    # every window inside the passage passes the filter
+    for t in texts:
+        words = np.array([index.vocab.get(x, 0) for x in decontamination.words_of(t)])
+        first = next(i for i, x in enumerate(decontamination.words_of(t)) if x not in (b"before",))
+        known = np.r_[0, np.cumsum(words > 0)]
+        for c in index.classes:
+            assert c.possible(known, np.arange(first, first + n - c.size + 1)).all()
+    found = [any(m[0] == i for m in got) for i, got in enumerate(index.search(texts))]
+    assert np.mean(found) >= 0.95
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[3][1]
     cases = [(1, "Some words. Released under the MIT License. More"), (2, "x " * 90 + mit.replace("person", "human") + " y" * 50), (3, None), (4, "MIT"), (5, "nothing of this kind here at all"), (6, "Licensed under CC BY-NC 4.0.")]
