@@ -26,6 +26,7 @@ may have edits.
 from __future__ import annotations
 
 import string
+import warnings
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +39,7 @@ from .common import docs_of, ship, table
 from .passages import mix
 
 MIN_WORDS = 5
+MOST_REPEATS = 512
 _DROP = string.punctuation.encode()
 
 
@@ -115,14 +117,15 @@ class SizeClass:
         of such words in one place. Their windows at a random phase of the
         stride are compared with the item's own windows, and the share of
         agreeing positions gives the chance of meeting in any window. Each way
-        must reach ``recall``. ``possible`` passes all of these windows.
+        must reach ``recall``; if none of the widths does, repeats are added, and
+        a warning gives what was reached. ``possible`` passes all of these windows.
         """
         size, pool, agree = self.size, words[words > 0], ([], [], [])
         for i in rng.permutation(len(items))[:60]:
             ours = cgk_embed(np.r_[items[i], np.zeros(size, np.int32)], np.arange(len(items[i]) - size + 1), size)[: 2 * size]
             for way, out in enumerate(agree):
                 w = items[i].tolist()
-                n = int(edits * len(w))
+                n = int(edits * len(w) + 1e-9)  # as many as the verifier admits
                 if way == 2:
                     j = int(rng.integers(len(w) - n + 1))
                     w[j : j + n] = [0] * n
@@ -139,10 +142,15 @@ class SizeClass:
                     at = np.zeros(1, np.int64)
                 theirs = cgk_embed(np.array(w + [0] * size, np.int32), at, size)[: 2 * size]
                 out.append((theirs[:, :, None] == ours[:, None, :]).mean(0).max(1))
-        for width, repeats in ((8, 12), (7, 12), (6, 16), (5, 16), (5, 24), (4, 24), (3, 32), (2, 48)):
+        for width, repeats in ((8, 12), (7, 12), (6, 16), (5, 16), (5, 24), (4, 24), (3, 32), (2, 48), (1, 64)):
             hit = [np.mean([1 - np.prod((1 - a**width) ** repeats) for a in way]) for way in agree]
             if min(hit) >= recall:
                 break
+        while min(hit) < recall and repeats < MOST_REPEATS:
+            repeats += 16
+            hit = [np.mean([1 - np.prod((1 - a**width) ** repeats) for a in way]) for way in agree]
+        if min(hit) < recall:
+            warnings.warn(f"items with windows of {size} words: recall {min(hit):.3f} reached of {recall}", stacklevel=2)
         return width, repeats
 
     def candidates(self, words, starts):
@@ -247,11 +255,15 @@ class ItemIndex:
         for (d, i), shifts in sorted(spots.items()):
             w, text = self.items[i], parts[d]
             most = int((1 - self.similarity) * len(w) + 1e-9)
-            best = None
+            best, held = None, set(w)
             for s in sorted(shifts):
                 lo = max(0, s - most - len(w) // 4)
                 hi = max(lo, s + 2 * len(w) + most)
-                e, a, b = best_passage(w, text[lo:hi].tolist())
+                around = text[lo:hi].tolist()
+                # all but ``most`` words of the item must be there, each in a place of its own
+                if sum(map(set(around).__contains__, w)) < len(w) - most or sum(map(held.__contains__, around)) < len(w) - most:
+                    continue
+                e, a, b = best_passage(w, around)
                 if e <= most and (best is None or e < best[0]):
                     best = (e, a + lo, b + lo)
                     if e == 0:

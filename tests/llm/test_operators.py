@@ -394,6 +394,26 @@ def test_leaks_with_a_block_of_unknown_words(n):
     assert np.mean(found) >= 0.95
 
 
+@pytest.mark.parametrize("n", [5, 10, 15])
+def test_leaks_at_the_allowed_distance(n):
+    rng = random.Random(n)
+    items = [[f"w{i}x{j}" for j in range(n)] for i in range(200)]
+    index = decontamination.ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)], similarity=0.8, recall=0.95)
+    texts = []
+    for w in items:
+        w = list(w)
+        for j in rng.sample(range(n), n // 5):
+            w[j] = "unknown"
+        texts.append("before " * rng.randint(10, 30) + " ".join(w) + " after" * 20)
+    assert np.mean([any(m[0] == i for m in got) for i, got in enumerate(index.search(texts))]) >= 0.95
+
+
+def test_tuning_reports_recall_out_of_reach():
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)]
+    with pytest.warns(UserWarning, match="recall"):
+        decontamination.ItemIndex(rows, similarity=0.8, recall=1.1)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[3][1]
     cases = [(1, "Some words. Released under the MIT License. More"), (2, "x " * 90 + mit.replace("person", "human") + " y" * 50), (3, None), (4, "MIT"), (5, "nothing of this kind here at all"), (6, "Licensed under CC BY-NC 4.0.")]
