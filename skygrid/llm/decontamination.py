@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import docs_of, ship, table
-from .passages import mix
+from .passages import gram_hashes, mix
 
 MIN_WORDS = 5
 MOST_REPEATS = 512
@@ -205,11 +205,19 @@ class ItemIndex:
         rng = np.random.default_rng(seed)
         self.similarity = similarity
         self.ids, self.items, self.vocab = [], [], {}
+        short: dict[int, dict] = {}
         for item, text in rows:
             w = words_of(text)
+            numbers = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w]
             if len(w) >= MIN_WORDS:
                 self.ids.append(item)
-                self.items.append([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w])
+                self.items.append(numbers)
+            elif w:
+                short.setdefault(len(w), {}).setdefault(tuple(numbers), []).append(item)
+        self.short = []  # (words, sorted hashes, items by words) of each length below MIN_WORDS
+        for n, those in sorted(short.items()):
+            hashes = np.concatenate([gram_hashes(np.array(w, np.uint64), n) for w in those])
+            self.short.append((n, np.sort(hashes), those))
         by: dict[int, list] = {}
         for i, w in enumerate(self.items):
             by.setdefault(1 << int(0.6 * len(w)).bit_length() - 1, []).append(i)
@@ -227,7 +235,7 @@ class ItemIndex:
         """For each text (item_id, distance, item words, start, end) of every
         item found: its nearest passage, positions in words of the text."""
         found: list[list] = [[] for _ in texts]
-        if not self.items or not texts:
+        if not (self.items or self.short) or not texts:
             return found
         stop, parts = [], []
         for t in texts:
@@ -237,6 +245,16 @@ class ItemIndex:
         stop = np.cumsum([len(p) for p in parts])
         first = np.r_[0, stop[:-1]]
         inside = np.r_[0, np.cumsum(words > 0)]
+        for n, hashes, those in self.short:  # no edits are allowed: the words as they are
+            h = gram_hashes(words.astype(np.uint64), n)
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+            doc = np.searchsorted(stop, at, side="right")
+            at, doc = at[at + n <= stop[doc]], doc[at + n <= stop[doc]]
+            # the first place of each phrase in each text
+            _, once = np.unique(np.stack([doc.astype(np.uint64), h[at]]), axis=1, return_index=True)
+            for d, a in zip(doc[once].tolist(), at[once].tolist()):
+                a, phrase = a - int(first[d]), tuple(words[a : a + n].tolist())
+                found[d] += [(item, 0, n, a, a + n) for item in those.get(phrase, ())]
         spots: dict[tuple, set] = {}
         for c in self.classes:
             step = max(1, c.size // 4)
@@ -305,7 +323,8 @@ MATCH = "doc_id long, item_id long, distance int, item_words int, start int, end
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
     """One row for each document and item found in it (its nearest passage).
 
-    Items below five words are not searched. Null and empty texts hold no item;
+    Items below five words are found by the same words in a row, without edits.
+    Null and empty texts hold no item;
     rows that repeat a doc_id are searched each on their own; an empty table
     gives no rows; extra columns are ignored.
     """

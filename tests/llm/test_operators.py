@@ -414,6 +414,17 @@ def test_tuning_reports_recall_out_of_reach():
         decontamination.ItemIndex(rows, similarity=0.8, recall=1.1)
 
 
+def test_items_below_five_words(spark):
+    items = [(1, "Tiny, item!"), (2, "solo"), (3, "one two three four"), (4, "tiny item"), (5, " ... "), (6, None), (7, " ".join(f"w{i}" for i in range(20)))]
+    texts = [(10, "a tiny item, then another TINY ITEM"), (11, "solo"), (12, "x one two three four y"), (13, "one two three"), (14, "tiny"), (15, "item solos"), (16, None), (17, items[-1][1])]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10, 1, 0, 2, 1, 3), (10, 4, 0, 2, 1, 3), (11, 2, 0, 1, 0, 1), (12, 3, 0, 4, 1, 5), (17, 7, 0, 20, 0, 20)}
+    for b in (bench, bench.where("item_id < 7")):
+        got = {tuple(r)[:6] for r in decontamination.find_items(docs, b).collect()}
+        assert got == {w for w in want if b is bench or w[1] < 7}
+        assert {r.doc_id for r in decontamination.flag_contaminated(docs, b).where("contaminated").collect()} == {w[0] for w in got}
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[3][1]
     cases = [(1, "Some words. Released under the MIT License. More"), (2, "x " * 90 + mit.replace("person", "human") + " y" * 50), (3, None), (4, "MIT"), (5, "nothing of this kind here at all"), (6, "Licensed under CC BY-NC 4.0.")]
