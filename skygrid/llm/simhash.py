@@ -221,15 +221,16 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000) -> Dat
 
 
 def component_of(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, low, component_id) for each distinct fingerprint of ``prints``
-    (doc_id, fp); low is its smallest doc_id."""
+    """(fp, low, root, component_id) for each distinct fingerprint of ``prints``
+    (doc_id, fp); low is its smallest doc_id, root the smallest fingerprint of
+    its component, which names it even where components share a doc_id."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "low", "component_id")
+    return rooted.join(least, "root").select("fp", "low", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -260,7 +261,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 
     marked = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__simhash", LongType())])))
     prints = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__simhash").alias("fp"))
-    first = component_of(prints, radius).where("low = component_id").groupBy("component_id").agg(F.min("fp").alias("__simhash"))
+    first = component_of(prints, radius).where("low = component_id").groupBy("root", "component_id").agg(F.min("fp").alias("__simhash")).drop("root")
     first = first.withColumnRenamed("component_id", "doc_id")
     kept = marked.join(first, ["doc_id", "__simhash"], "left_semi").dropDuplicates(["doc_id", "__simhash"])
     return kept.select(docs.columns).unionByName(marked.where("doc_id is null").select(docs.columns))

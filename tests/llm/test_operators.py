@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skygrid.llm import common, decontamination, embeddings, licenses, packing, passages, pii, quality, sharding, simhash, substrings, suffixes
+from skygrid.llm import common, decontamination, embeddings, licenses, packing, passages, pii, quality, sharding, shingles, simhash, substrings, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "Ré", "st") for b in ("n", "rt", "s", "lla", "x", "ü")]
@@ -304,6 +304,13 @@ def test_near_copies_against_brute_force(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_keep_one_with_a_repeated_doc_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(7, a), (7, b), (9, b)], "doc_id long, text string")
+    for keep in (simhash.keep_one, shingles.keep_one):
+        assert sorted(map(tuple, keep(docs).collect())) == [(7, a), (7, b)]
+
+
 def test_components_on_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in common.components(edges).collect()}
