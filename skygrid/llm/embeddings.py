@@ -246,9 +246,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, t
     (vec_id, embedding array).
 
     Links are pairs of cosine >= ``cosine`` in double precision. Null and zero
-    vectors, vectors with null or non-finite components, and vectors whose
-    length differs from the most frequent one link with nothing; their component
-    is their own vec_id. Rows that repeat a vec_id count as vectors of their own.
+    vectors and vectors with null or non-finite components link with nothing;
+    their component is their own vec_id. Vectors of different length do not
+    link; each length present is a join of its own. Rows that repeat a vec_id count as vectors of their own.
     An empty table gives no rows; extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -258,11 +258,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, t
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("e").isNotNull() & ~F.exists("e", bad) & F.exists("e", lambda x: x != 0)
     base = base.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    sizes = base.where("ok").groupBy(F.size("e").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    if not sizes:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = sizes[0]["n"]
-    raw = _packed(base.where(F.col("ok") & (F.size("e") == dims)))
+    out = base.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sizes = base.where("ok").select(F.size("e").alias("n")).distinct().orderBy("n").collect()  # lengths, a short list
+    for size in sizes:
+        out = out.unionByName(_of_length(base.where(F.col("ok") & (F.size("e") == size["n"])), size["n"], cosine, blocks, tile, component))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _of_length(usable: DataFrame, dims: int, cosine: float, blocks: int, tile: int, component: str) -> DataFrame:
+    """(vec_id, n_links, component_id) of usable vectors of one length."""
+    raw = _packed(usable)
     stored = materialise(raw)
     distinct = materialise(stored.groupBy("x").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).select("low", "x", "copies"))
     rows = distinct.count()
@@ -277,9 +282,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, t
     counts = found.where("kind = 1").groupBy("u").agg(F.sum("v").alias("others"))
     named = distinct.join(roots.withColumnRenamed("node", "low"), "low", "left").join(counts.withColumnRenamed("u", "low"), "low", "left")
     named = named.select("x", F.coalesce("root", "low").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    good = stored.join(named, "x").select("vec_id", "n_links", "component_id")
-    rest = base.where(~F.col("ok") | (F.size("e") != dims)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return stored.join(named, "x").select("vec_id", "n_links", "component_id")
 
 
 def _packed(usable: DataFrame) -> DataFrame:

@@ -336,6 +336,18 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    vecs = [rng.normal(size=d).tolist() for d in (16,) * 6 + (8,) * 3 + (2,)]
+    vecs += [vecs[6], vecs[6], vecs[0], vecs[9], vecs[9] + [0.0] * 6]
+    docs = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    link = np.array([[i != j and len(a) == len(b) and cos(a, b) >= 0.95 for j, b in enumerate(vecs)] for i, a in enumerate(vecs)])
+    label = brute_components(range(len(vecs)), lambda a, b: link[a, b])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(docs).collect()}
+    assert got == {i: (link[i].sum(), label[i], label[i] == i) for i in range(len(vecs))} and got[10][0] == 2
+
+
 # ---- decontamination, licences, personal data -------------------------------------------
 
 
