@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +18,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one
-    only where the setting is absent (tests on one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder under the shared one that ``spark.checkpoint.dir``
+    names. Where the setting is absent a local master (tests on one machine)
+    gets a temporary folder; a cluster has none that all can see, so it fails."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(sc, "_skygrid_scratch", None)
         if where is None:
             where = sc._skygrid_scratch = tempfile.mkdtemp(prefix="skygrid-scratch")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
-    return where
+    mine = f"{where.rstrip('/')}/skygrid-{sc.applicationId}"
+    if getattr(sc, "_skygrid_tables", None) is None:
+        sc._skygrid_tables = [[]]
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), [mine])
+    return mine
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def _remove(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialise`` writes inside are deleted at the end: use it
+    around work whose result has been written elsewhere by then. All others go
+    when the driver's Python ends."""
+    scratch_dir(spark)
+    sc = spark.sparkContext
+    sc._skygrid_tables.append([])
+    try:
+        yield
+    finally:
+        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), sc._skygrid_tables.pop())
+
+
+def materialise(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later passes
-    see the very same rows even if an executor is lost meanwhile."""
+    see the very same rows even if an executor is lost meanwhile. ``outer``: the
+    table outlives the innermost ``scratch``."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/skygrid-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    tables = spark.sparkContext._skygrid_tables
+    tables[max(0, len(tables) - 1 - outer)].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -89,4 +129,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-__all__ = ["checkpoint", "components", "docs_of", "materialise", "scratch_dir", "ship", "table"]
+__all__ = ["checkpoint", "components", "docs_of", "free_name", "materialise", "scratch", "scratch_dir", "ship", "table"]

@@ -185,8 +185,11 @@ class Packed:
 def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None) -> Packed:
     """Pack all documents into windows of at most ``window`` ids.
 
-    Null text counts as empty and gives the end id alone; an empty table gives
-    no rows; repeated rows are packed once each; extra columns are ignored.
+    Null text counts as empty and gives the end id alone; a text longer than a
+    window is cut into full windows and a rest; pieces of equal length are alike
+    to the packing and take places in the order of tasks and rows; an empty table
+    gives no rows; repeated rows and rows without doc_id are packed once each;
+    extra columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -205,7 +208,7 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None) ->
         order = np.lexsort((rows[:, 1], rows[:, 0]))
         rows, key = rows[order], (key + rows[:, 1])[order]
         for b in batches:
-            col = {n: b.column(i).to_numpy() for i, n in enumerate(b.schema.names)}
+            col = {n: b.column(n).to_numpy() for n in ("length", "rank", "before")}
             nth = col["before"] + col["rank"]
             r = rows[np.searchsorted(key, col["length"] * (1 << 45) - (1 << 45) * (window + 1) + nth, side="right") - 1]
             q = nth - r[:, 1]

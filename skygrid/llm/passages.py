@@ -7,14 +7,20 @@ in another document can repeat, and equal windows have equal minimisers. This
 module finds these windows; it decides nothing: what is removed follows from
 the index (or the sorted suffixes) that the operators build from them.
 
-Texts travel as compressed chunks of a few megabytes, written once to the
-shared folder. A chunk reports each anchor once, so copies of a document or a
-line that everyone shares cost one entry a chunk; a 32-bit rest of the hash in
-enough buckets keeps wrong matches rare, and those only cost time.
+Texts travel as compressed chunks, written once to the shared folder. A chunk
+reports each anchor once, so copies of a document or a line that everyone shares
+cost one entry a chunk; a 32-bit rest of the hash in enough buckets keeps wrong
+matches rare, and those only cost time.
+
+Scale. There are as many buckets and shards as chunks, and each has a task of its
+own that takes them one by one. A chunk sends one packet to each, so chunks have a
+few megabytes up to some 100 GB of text and then grow with the root of the corpus
+(100 MB at 100 TB): a packet never falls below ``BLOB_BYTES`` of text.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import docs_of, materialise, ship
 
 CHUNK_BYTES = 4_000_000
+BLOB_BYTES = 100
 TILE = 1 << 21
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15
@@ -51,10 +58,18 @@ def expand(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunk_size(docs: DataFrame) -> int:
+    """Bytes of text to a chunk."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(CHUNK_BYTES, math.isqrt(BLOB_BYTES * total))
+
+
+def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
     """(chunk, payload) rows: doc_ids, lengths and bytes of whole texts; a
     chunk closes once it holds ``chunk_bytes``. Written to the shared folder."""
     ship(docs.sparkSession)
+    if chunk_bytes is None:
+        chunk_bytes = chunk_size(docs)
 
     def run(batches):
         from pyspark import TaskContext
@@ -111,7 +126,6 @@ def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
 def window_minima(h: np.ndarray, span: int) -> np.ndarray:
     """Position of the smallest hash (leftmost of equals) in each ``span``
     neighbouring hashes; len(h) - span + 1 results."""
-    bits = np.uint64(23)
     low = np.uint64((1 << 23) - 1)
     cur = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     have = 1
@@ -120,7 +134,6 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
         have *= 2
     if have < span:
         cur = np.minimum(cur[: len(h) - span + 1], cur[span - have : span - have + len(h) - span + 1])
-    del bits
     return (cur & low).astype(np.int64)
 
 
@@ -176,17 +189,32 @@ def report_anchors(hashes: np.ndarray, owners: np.ndarray, buckets: int):
             yield int(b[s]), squeeze(rest[s:e], count[s:e])
 
 
-def shared_anchors(reports: DataFrame, hot_docs: int) -> DataFrame:
+def by_number(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """Rows dealt to ``n`` tasks by a number, those of one number together."""
+    return rows.repartition(n, column).sortWithinPartitions(column)
+
+
+def numbers(batches):
+    """(number, rows without it) of batches that ``by_number`` dealt; the rows of
+    one number are in memory at a time."""
+    held, last = [], None
+    for b in batches:
+        for number, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and number != last:
+                yield last, held
+                held = []
+            last = number
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def shared_anchors(reports: DataFrame, hot_docs: int, buckets: int) -> DataFrame:
     """(chunk, shared): for each chunk its anchors that occur in two documents
     or more, as keys with a mark for those in more than ``hot_docs``."""
-    n = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for bucket, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(bucket, []).append((chunk, blob))
-        for bucket, rows in by.items():
+        for bucket, rows in numbers(batches):
             parts = [expand(blob) for _, blob in rows]
             rest = np.concatenate([p[0] for p in parts])
             docs = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -204,7 +232,7 @@ def shared_anchors(reports: DataFrame, hot_docs: int) -> DataFrame:
                 at += len(p[0])
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
 
-    found = reports.repartition(n, "bucket").mapInArrow(run, "chunk long, blob binary")
+    found = by_number(reports, "bucket", buckets).mapInArrow(run, "chunk long, blob binary")
     # a chunk's own anchors only: bounded by the chunk
     return found.groupBy("chunk").agg(F.collect_list("blob").alias("shared"))
 

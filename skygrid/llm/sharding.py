@@ -6,21 +6,24 @@ bins live in a height-balanced search tree keyed by remaining capacity. For a
 fixed number of shards the smallest capacity that needs no more bins is found
 by bisection.
 
-Scale. What reaches the driver is bounded by parameters, not by the corpus:
-groups above ``1/fine`` of one shard travel alone (at most ``shards * fine`` of
-them), all smaller groups are first gathered by hash into ``parcels`` items.
-A group larger than a whole shard cannot stay whole in equal shards; it is cut
-by document hash into ``pieces`` parts, each of which is packed as a group.
+Scale. Best fit depends on sizes alone, so the driver packs the histogram of
+group sizes, never the groups: n different sizes sum to n^2 / 2 bytes at least,
+so there are at most the root of twice the corpus in bytes, and in practice as
+many as there are lengths of text. A group finds its bin from its size and its
+number among the groups of that size.
 """
 
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, ship, table
 
 
 class CapacityTree:
@@ -76,53 +79,101 @@ class CapacityTree:
         return t
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each item (items in any order). None if an item exceeds the
-    capacity or more than ``most`` bins would be opened."""
-    tree, out, bins = CapacityTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
-            return None
-        room = tree.tightest(sizes[i])
-        if room is None:
-            if most is not None and bins == most:
-                return None
-            room, bins = (capacity, bins), bins + 1
-        out[i] = room[1]
-        tree.insert((room[0] - sizes[i], room[1]))
-    return out
-
-
-def equal_bins(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit-decreasing into at most ``bins`` bins at the least capacity
-    that bisection finds."""
+def best_fit_decreasing(sizes, counts, capacity: int, most: int | None = None) -> tuple[list[list[int]], int] | None:
+    """Pack ``counts[i]`` items of ``sizes[i]`` (sizes descending, all different).
+
+    Returns runs [size, items, bin] in the order of placement, and the number of
+    bins; None if an item exceeds the capacity or more than ``most`` bins would
+    be opened. The tightest bin stays the tightest after it took an item, so it
+    takes items of one size in bulk: the packing is that of one at a time.
+    """
+    if len(sizes) and sizes[0] > capacity:
+        return None
+    tree, runs, bins = CapacityTree(), [], 0
+    for size, left in zip(sizes, counts):
+        while left:
+            room = tree.tightest(size)
+            if room is None:
+                if bins == most:
+                    return None
+                room, bins = (capacity, bins), bins + 1
+            n = min(left, room[0] // size)
+            runs.append([size, n, room[1]])
+            tree.insert((room[0] - n * size, room[1]))
+            left -= n
+    return runs, bins
+
+
+def equal_bins(sizes: list[int], counts: list[int], bins: int) -> list[list[int]]:
+    """Runs [size, items, bin] over at most ``bins`` bins. While the largest item
+    exceeds an equal share of what is left it gets a bin of its own; the rest is
+    packed best-fit-decreasing at the least capacity that bisection finds."""
+    sizes, counts, runs = list(sizes), list(counts), []
+    total, used = sum(s * c for s, c in zip(sizes, counts)), 0
+    while sizes and bins - used > 1 and sizes[0] * (bins - used) > total:
+        runs.append([sizes[0], 1, used])
+        used, total = used + 1, total - sizes[0]
+        counts[0] -= 1
+        if not counts[0]:
+            sizes, counts = sizes[1:], counts[1:]
     if not sizes:
-        return []
-    low = max(max(sizes), -(-sum(sizes) // bins))
-    got = best_fit_decreasing(sizes, low, bins)
-    high = low
-    step = max(1, low // 10_000)
+        return runs
+    bins -= used
+    low = max(sizes[0], -(-total // bins))
+    got = best_fit_decreasing(sizes, counts, low, bins)
+    high, step = low, max(1, low // 10_000)
     while got is None:
         high, step = high + step, step * 2
-        got = best_fit_decreasing(sizes, high, bins)
+        got = best_fit_decreasing(sizes, counts, high, bins)
     while high - low > max(1, low // 100_000):
         mid = (low + high) // 2
-        if (trial := best_fit_decreasing(sizes, mid, bins)) is None:
+        if (trial := best_fit_decreasing(sizes, counts, mid, bins)) is None:
             low = mid
         else:
             high, got = mid, trial
-    return got
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, fine: int = 1000, parcels: int = 4096, pieces: int = 64) -> DataFrame:
-    """Shards of near equal bytes, equal texts together.
+    return runs + [[s, n, b + used] for s, n, b in got[0]]
+
+
+def ranges(runs: list[list[int]]) -> np.ndarray:
+    """Rows (size, first ordinal, bin), sorted: a group of ``size`` bytes and a
+    number among the groups of that size belongs to the last row not after it.
+    Neighbours with one bin merge, so rows follow the changes of bin, not sizes."""
+    taken: dict[int, int] = {}
+    rows = []
+    for size, n, b in runs:
+        rows.append((size, taken.get(size, 0), b))
+        taken[size] = rows[-1][1] + n
+    rows = np.array(sorted(rows), np.int64).reshape(-1, 3)
+    return rows[np.r_[True, rows[1:, 2] != rows[:-1, 2]][: len(rows)]]
+
+
+def numbered(rows: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """``rows`` (stored) with a number, gapless from 0 within each ``key``. No
+    key's rows are sorted in one task: they are ranked within slices by hash of
+    ``order``, then the slices' running totals are added."""
+    slices = max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    counts = rows.groupBy(key, "slice").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order)) - 1
+    ranked = rows.withColumn("rank", rank).join(starts, [key, "slice"])
+    return ranked.withColumn(name, (F.col("first") + F.col("rank")).cast("long")).drop("slice", "rank", "first")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, fine: int = 1000) -> DataFrame:
+    """Shards of near equal bytes; documents of equal text are never parted.
 
     Returns doc_id, size (UTF-8 bytes + 1; null text counts as none),
     text_crc32, shard, slot (gapless from 0 in each shard). Null texts group
-    with empty ones. An empty table gives no rows; repeated rows are kept, each
-    with its own slot; extra columns are ignored.
+    with empty ones. A group larger than an equal share fills a shard alone and
+    makes it the larger one, however long its text or however many its copies;
+    the others stay equal. Groups of equal size are told apart by their texts'
+    hash. An empty table gives no rows; repeated rows and null doc_ids are kept,
+    each with its own slot; extra columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     base = materialise(
         docs.select(
@@ -132,50 +183,27 @@ def shard_documents(docs: DataFrame, shards: int = 8, fine: int = 1000, parcels:
             F.md5(raw).alias("grp"),
         )
     )
-    total = base.agg(F.sum("size")).first()[0] or 0
-    groups = base.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    limit, share = total / (shards * fine), -(-total // shards)
-    big = groups.where(F.col("bytes") > F.lit(limit)).collect()  # at most shards * fine rows
-    split = [r["grp"] for r in big if r["bytes"] > share]  # fewer than ``shards``
-    parcel = F.pmod(F.xxhash64("grp"), F.lit(parcels))
-    piece = F.pmod(F.xxhash64("doc_id"), F.lit(pieces))
-    small = (
-        groups.where(F.col("bytes") <= F.lit(limit)).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes")).collect()
-    )
-    cut = base.where(F.col("grp").isin(split)).groupBy("grp", piece.alias("piece")).agg(F.sum("size").alias("bytes")).collect() if split else []
-    items = sorted(
-        [(f"g{r['grp']}", r["bytes"]) for r in big if r["bytes"] <= share]
-        + [(f"p{r['parcel']}", r["bytes"]) for r in small]
-        + [(f"s{r['grp']}:{r['piece']}", r["bytes"]) for r in cut]
-    )
-    where = equal_bins([b for _, b in items], shards)
-    plan = spark.createDataFrame([(k, s) for (k, _), s in zip(items, where)], "item string, shard int")
-    heavy = spark.createDataFrame([(r["grp"], r["bytes"] > share) for r in big], "grp string, cut boolean")
-    # both tables are bounded by the parameters above
-    tagged = base.join(F.broadcast(heavy), "grp", "left")
-    item = (
-        F.when(F.col("cut").isNull(), F.concat(F.lit("p"), parcel.cast("string")))
-        .when(F.col("cut"), F.concat(F.lit("s"), F.col("grp"), F.lit(":"), piece.cast("string")))
-        .otherwise(F.concat(F.lit("g"), F.col("grp")))
-    )
-    placed = tagged.withColumn("item", item).join(F.broadcast(plan), "item").select("doc_id", "size", "text_crc32", "shard")
-    return with_slots(placed)
-
-
-def with_slots(placed: DataFrame) -> DataFrame:
-    """Number the rows of each shard from 0 without sorting a shard in one
-    task: rank within hash slices, then add the slices' running totals."""
-    slices = max(32, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = materialise(placed.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")))
-    counts = cut.groupBy("shard", "slice").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32")) - 1
-    return (
-        cut.withColumn("rank", rank)
-        .join(starts, ["shard", "slice"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"))
-    )
+    groups = materialise(base.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")))
+    # distinct sizes: their sum is at most all bytes, so their number at most the root of twice that
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toArrow()
+    plan = ranges(equal_bins(sizes["bytes"].to_pylist(), sizes["n"].to_pylist(), shards))
+    shared = spark.sparkContext.broadcast(plan)  # a row where the shard changes, at most shards for each size
+
+    def place(batches):
+        key = [tuple(r) for r in shared.value[:, :2].tolist()]
+        for b in batches:
+            here = zip(b.column(1).to_pylist(), b.column(3).to_pylist())
+            at = np.array([bisect_right(key, k) - 1 for k in here], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shared.value[at, 2].astype(np.int32))], names=["grp", "copies", "shard"])
+
+    where = materialise(numbered(groups, "bytes", ["grp"], "nth").select("grp", "bytes", "copies", "nth").mapInArrow(place, "grp string, copies long, shard int"))
+    limit = (groups.agg(F.sum("copies")).first()[0] or 0) // fine
+    # groups of more than 1/fine of all rows: at most ``fine`` of them, so they may be broadcast; no other is hot
+    heavy = F.broadcast(where.where(F.col("copies") > limit).select("grp", "shard"))
+    tagged = base.join(heavy, "grp", "left")
+    light = tagged.where("shard is null").drop("shard").join(where.where(F.col("copies") <= limit).select("grp", "shard"), "grp")
+    placed = materialise(tagged.where("shard is not null").unionByName(light))
+    return numbered(placed, "shard", ["doc_id", "grp"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

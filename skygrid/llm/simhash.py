@@ -1,24 +1,24 @@
 """SimHash near-duplicate groups with BK-trees.
 
 Fingerprints within ``radius`` bits link. Equal fingerprints are first reduced
-to one row, so a group of copies of any size is one vertex. The rest is split
-into shards by pigeonhole: of ``b`` blocks of bits, two fingerprints that differ
-in at most ``radius`` bits agree on some ``b - radius``, so they meet in the
-shard keyed by these. Each shard builds a BK-tree, whose children hang on
-edges labelled with the Hamming distance to their parent, and a search follows
-only the edges within the radius of the query's own distance.
-
-Scale. ``b`` follows the number of distinct fingerprints, so that shards stay
-small; a shard above ``shard_rows`` is split again by pigeonhole on the bits it
-has not used yet, until it is small enough or no bits are left. Trees are
-placed by shard key rather than broadcast, because all trees together grow
-with the corpus. A shard reports a spanning forest of its links, never all
-pairs.
+to one row, so a group of copies of any size is one vertex. A shard of them is
+held in a BK-tree: every fingerprint is a node, children hang on edges labelled
+with the Hamming distance to their parent, at most one to a label, and a search
+follows only the edges within the radius of the query's own distance.
+
+Scale. One tree over everything would be visited in a fixed share by every
+query. So beyond ``shard_rows`` fingerprints the shards are dealt by pigeonhole:
+of radius + 1 blocks of bits, two fingerprints that differ in at most ``radius``
+bits agree on one, so they meet in a shard keyed by the first bits of that
+block, as many as bring shards down to ``shard_rows``. A shard that is still
+larger takes the rest of its block, then further blocks. Trees stay where their
+shard is: to broadcast them, the driver would have to gather the fingerprints of
+all documents. A shard reports a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, docs_of, materialise, ship, table
+from .common import components, docs_of, free_name, materialise, ship, table
 
-LEAF = 48
+SHARD_ROWS = 16_384
 _ALL = (1 << 64) - 1
 
 
@@ -65,46 +65,47 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 class BKTree:
-    """BK-tree over distinct fingerprints; subtrees of at most LEAF entries are
-    kept as flat blocks. Searches take many queries at once."""
+    """BK-tree over distinct fingerprints. Nodes are numbered level by level, so
+    the children of a node are neighbours, in the order of their edges; ``first``
+    gives for (node, edge) the first child on that edge or a longer one."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        self.root = self._build(np.arange(len(values)))
-
-    def _build(self, members):
-        if len(members) <= LEAF:
-            return members
-        pivot, rest = members[0], members[1:]
-        d = np.bitwise_count(self.values[rest] ^ self.values[pivot])
-        order = np.argsort(d, kind="stable")
-        rest, d = rest[order], d[order]
-        cuts = np.flatnonzero(np.diff(d)) + 1
-        groups = np.split(rest, cuts)
-        return pivot, [(int(d[c]), self._build(g)) for c, g in zip([0, *cuts], groups)]
+        n = len(values)
+        self.values, self.visited = values, 0
+        self.member = np.zeros(n, np.int64)  # value of each node
+        children = np.zeros((n, 67), np.int32)
+        base = np.zeros(n, np.int32)
+        rest, under, made = np.arange(1, n), np.zeros(max(0, n - 1), np.int64), min(n, 1)
+        while len(rest):
+            edge = np.bitwise_count(values[rest] ^ values[self.member[under]]).astype(np.int64)
+            order = np.lexsort((edge, under))
+            rest, under, edge = rest[order], under[order], edge[order]
+            new = np.r_[True, (under[1:] != under[:-1]) | (edge[1:] != edge[:-1])]
+            node = made + np.cumsum(new) - 1
+            self.member[node[new]] = rest[new]
+            children[under[new], edge[new] + 1] += 1
+            parent = under[new]
+            top = np.r_[True, parent[1:] != parent[:-1]]
+            base[parent[top]] = node[new][top]
+            rest, under, made = rest[~new], node[~new], made + int(new.sum())
+        self.first = np.cumsum(children, axis=1, dtype=np.int32) + base[:, None]
 
     def search(self, queries: np.ndarray, radius: int):
-        """Yield (query positions, member positions) within the radius."""
-        stack = [(self.root, np.arange(len(queries)))]
-        while stack:
-            node, who = stack.pop()
-            if isinstance(node, tuple):
-                pivot, edges = node
-                d = np.bitwise_count(queries[who] ^ self.values[pivot]).astype(np.int64)
-                hit = who[d <= radius]
-                if len(hit):
-                    yield hit, np.full(len(hit), pivot)
-                for edge, child in edges:
-                    follow = who[np.abs(d - edge) <= radius]
-                    if len(follow):
-                        stack.append((child, follow))
-            else:
-                for at in range(0, len(who), 4096):
-                    part = who[at : at + 4096]
-                    near = np.bitwise_count(queries[part, None] ^ self.values[None, node]) <= radius
-                    q, m = np.nonzero(near)
-                    if len(q):
-                        yield part[q], node[m]
+        """Yield (query positions, value positions) within the radius. Many
+        queries walk down together: a front of (query, node) pairs."""
+        who = np.arange(len(queries) if len(self.values) else 0)
+        node = np.zeros(len(who), np.int64)
+        while len(who):
+            self.visited += len(who)
+            at = self.member[node]
+            d = np.bitwise_count(queries[who] ^ self.values[at]).astype(np.int64)
+            hit = d <= radius
+            if hit.any():
+                yield who[hit], at[hit]
+            lo = self.first[node, np.maximum(d - radius, 0)].astype(np.int64)
+            n = self.first[node, np.minimum(d + radius + 1, 66)] - lo
+            who = np.repeat(who, n)
+            node = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(who))
 
 
 class Labels:
@@ -130,61 +131,59 @@ class Labels:
             self.of = parent[self.of]
 
 
-def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, representative) that connect what the radius connects."""
-    n = len(values)
-    labels = Labels(n)
-    if n <= LEAF:
-        a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius, 1))
-        if not len(a):
-            return values[:0], values[:0]
-        labels.link(a, b)
-    else:
-        tree = BKTree(values)
-        for at in range(0, n, 8192):
-            for q, m in tree.search(values[at : at + 8192], radius):
-                labels.link(q + at, m)
-    odd = labels.of != np.arange(n)
-    return values[odd], values[labels.of[odd]]
+def forest(values: np.ndarray, radius: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (value, representative) that connect what the radius connects, and
+    the number of tree nodes visited."""
+    labels, tree = Labels(len(values)), BKTree(values)
+    for at in range(0, len(values), batch):
+        for q, m in tree.search(values[at : at + batch], radius):
+            labels.link(q + at, m)
+    odd = labels.of != np.arange(len(values))
+    return values[odd], values[labels.of[odd]], tree.visited
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def masks_for(n: int, radius: int, per_key: int = 64) -> list[int]:
-    """Bit masks, one of which any two fingerprints within ``radius`` agree on.
-    More blocks make longer keys: about n / 2^bits fingerprints share one."""
-    for b in range(radius + 1, radius + 5):
-        edges = [64 * i // b for i in range(b + 1)]
-        blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-        bits = 64 * (b - radius) // b
-        if n >> bits <= per_key or b == radius + 4:
-            return [sum(c) for c in combinations(blocks, b - radius)]
-    raise AssertionError
+def masks_for(n: int, radius: int, shard_rows: int = SHARD_ROWS) -> list[int]:
+    """Bit masks, one of which any two fingerprints within ``radius`` agree on:
+    of each of radius + 1 blocks the first bits, so that about ``shard_rows`` of
+    ``n`` fingerprints share a key. One empty mask if all fit a shard."""
+    bits = max(0, -(-n // shard_rows) - 1).bit_length()
+    if not bits:
+        return [0]
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [((1 << min(bits, hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
 
 
 def refine(mask: int, radius: int) -> list[int]:
-    """``mask`` with each of radius + 1 parts of the bits it leaves out."""
+    """Finer masks for the fingerprints of one key: the whole of a block begun,
+    else ``mask`` with each of radius + 1 parts of the bits it leaves out."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    for lo, hi in zip(edges, edges[1:]):
+        block = ((1 << (hi - lo)) - 1) << lo
+        if mask & block == mask and 0 < mask < block:
+            return [block]
     free = [i for i in range(64) if not mask >> i & 1]
     parts = [free[k :: radius + 1] for k in range(radius + 1)]
     return [mask | sum(1 << i for i in p) for p in parts]
 
 
-def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints (column fp)."""
+def links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, visits=None) -> DataFrame:
+    """Spanning links (u, v) between distinct fingerprints (column fp).
+    ``visits``: an accumulator of the tree nodes that searches visit."""
     spark = distinct.sparkSession
-    masks = masks_for(distinct.count(), radius)
+    masks = masks_for(distinct.count(), radius, shard_rows)
     keyed = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     done = None
-    for _ in range(4):
-        hot = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("mask", "key")
+    while True:  # each round uses up bits of the key, at most 64
+        hot = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows).select("mask", "key")
         here = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks, not keys: a fixed number
-        here = [m for m in here if m != -1]
         if not here:
             break
-        hot = hot.where(F.col("mask").isin(here)).withColumn("hot", F.lit(True))
+        hot = hot.withColumn("hot", F.lit(True))
         tagged = keyed.join(hot, ["mask", "key"], "left")
         calm = tagged.where("hot is null").select("fp", "mask", "key")
         done = calm if done is None else done.unionByName(calm)
@@ -195,37 +194,43 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000) -> Dat
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        # a partition holds whole shards, three numbers a row
-        cols = [[], [], []]
-        for b in batches:
-            for c, i in zip(cols, range(3)):
-                c.append(b.column(i).to_numpy())
-        if not cols[0]:
-            return
-        fp, mask, key = (np.concatenate(c) for c in cols)
-        order = np.lexsort((fp, key, mask))
-        fp, mask, key = fp[order].view(np.uint64), mask[order], key[order]
+        for fp in keyed_groups(batches):
+            if len(fp) > 1:
+                u, v, seen = forest(np.sort(fp.view(np.uint64)), radius)
+                if visits is not None:
+                    visits.add(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    dealt = shards.select("fp", "mask", "key").repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def keyed_groups(batches):
+    """The values of each key of batches (value, mask, key) sorted by key: one
+    shard in memory at a time."""
+    held, last = [], None
+    for b in batches:
+        fp, mask, key = (b.column(i).to_numpy() for i in range(3))
+        if not len(fp):
+            continue
         cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(fp)]
-        wide = ends - starts > 1
-        us, vs = [], []
-        for s, e in zip(starts[wide], ends[wide]):
-            u, v = forest(fp[s:e], radius)
-            us.append(u)
-            vs.append(v)
-        if us:
-            u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return shards.select("fp", "mask", "key").repartition(n, "mask", "key").mapInArrow(run, "u long, v long")
-
-
-def component_of(prints: DataFrame, radius: int) -> DataFrame:
+        for s, e in zip([0, *cuts], [*cuts, len(fp)]):
+            name = mask[s], key[s]
+            if held and name != last:
+                yield np.concatenate(held)
+                held = []
+            last = name
+            held.append(fp[s:e])
+    if held:
+        yield np.concatenate(held)
+
+
+def component_of(prints: DataFrame, radius: int, visits=None) -> DataFrame:
     """(fp, low, root, component_id) for each distinct fingerprint of ``prints``
     (doc_id, fp); low is its smallest doc_id, root the smallest fingerprint of
     its component, which names it even where components share a doc_id."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select("fp"), radius, visits=visits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
@@ -233,37 +238,41 @@ def component_of(prints: DataFrame, radius: int) -> DataFrame:
     return rooted.join(least, "root").select("fp", "low", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, visits=None) -> DataFrame:
     """(doc_id, fp, component_id) for every row.
 
     component_id is the smallest doc_id reachable over links of at most
     ``radius`` differing bits. Null and empty texts have fingerprint zero and
-    link as any other; rows that repeat a doc_id share its number; an empty
-    table gives no rows; extra columns are ignored.
+    link as any other; a bit set in exactly half the shingles is 0; a text of any
+    length is read whole; rows that repeat a doc_id share its number, and rows
+    without doc_id take part with a null one, which is their component_id where
+    no other doc_id is reachable; an empty table gives no rows; extra columns,
+    whatever their names, are ignored.
     """
     ship(docs.sparkSession)
     prints = materialise(fingerprints(docs_of(docs), shingle))
-    named = component_of(prints, radius).select("fp", "component_id")
+    named = component_of(prints, radius, visits).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``: the
     one of the smallest doc_id (of rows that repeat it with one fingerprint,
-    any one). Rows without doc_id are not compared and stay."""
+    any one). Null and empty texts are one group. Rows without doc_id are not
+    compared and stay; an empty table gives no rows."""
     ship(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, mark = docs.columns.index("text"), free_name(docs, "simhash")
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "__simhash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, mark])
 
-    marked = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__simhash", LongType())])))
-    prints = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__simhash").alias("fp"))
-    first = component_of(prints, radius).where("low = component_id").groupBy("root", "component_id").agg(F.min("fp").alias("__simhash")).drop("root")
+    marked = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType())])))
+    prints = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp"))
+    first = component_of(prints, radius).where("low = component_id").groupBy("root", "component_id").agg(F.min("fp").alias(mark)).drop("root")
     first = first.withColumnRenamed("component_id", "doc_id")
-    kept = marked.join(first, ["doc_id", "__simhash"], "left_semi").dropDuplicates(["doc_id", "__simhash"])
+    kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return kept.select(docs.columns).unionByName(marked.where("doc_id is null").select(docs.columns))
 
 

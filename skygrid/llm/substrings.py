@@ -1,18 +1,21 @@
 """Exact removal of repeated byte strings with sharded FM-indexes.
 
 Windows of ``k`` bytes whose minimiser recurs in another document go, as short
-segments, to the shard their minimiser names, so all places of one string meet
-in one shard. A shard builds an FM-index of its distinct segments: suffixes
-sorted up to ``k`` symbols, the Burrows-Wheeler transform in a bit-packed
-wavelet matrix with rank blocks. Segments stream through it by backward search
-that computes matching statistics cut at ``k``: each step prepends a symbol and
-then shortens the match to k - 1 by the interval that shares k - 1 symbols. The
-interval of a full match gives the smallest document that holds the window;
-windows held by a smaller document are reported as intervals to remove.
-
-Scale. A chunk sends each distinct segment once, so copies meet as one row a
+stretches, to the shard their minimiser names, so all places of one string meet
+in one shard. A shard indexes the stretches that hold the first place of a
+repeating string: the Burrows-Wheeler transform of their suffixes, sorted up to
+``k`` symbols, in a bit-packed wavelet matrix with rank blocks, beside one byte a
+symbol for common prefixes. The stretches of all other documents, which are no
+part of the indexed text, are streamed through it from right to left by backward
+search: each step prepends a symbol, and where that leaves no interval, falls
+back to the parent interval, so the match always is the longest prefix of what
+follows that the index holds (matching statistics, cut at ``k``). Where it reaches
+``k``, the window is one the index knows, and its document joins the owners of
+that interval; the smallest of them decides what is removed.
+
+Scale. A chunk sends each distinct stretch once, so copies meet as one row a
 chunk; an anchor found in more than ``hot_docs`` documents is spread window by
-window over all shards. Nothing grows beyond a chunk or a shard.
+window over all shards. Nothing grows beyond a chunk or a shard (see ``passages``).
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import docs_of, table
 from .passages import (
-    CHUNK_BYTES,
     anchor_runs,
     answer_runs,
+    by_number,
     expand,
     gram_hashes,
+    numbers,
     pack_chunks,
     place_segments,
     removed_mask,
@@ -81,36 +85,64 @@ class WaveletMatrix:
         return lo, hi
 
 
-def _goals(have: int, k: int) -> list[int]:
-    """Prefix lengths to sort by after ``have``: doubling up to k - 1, then k."""
-    out = []
-    while have < k - 1:
-        have = min(2 * have, k - 1)
-        out.append(have)
-    return [*out, k]
+class Minima:
+    """Smallest values of blocks of blocks of a byte array that ends in zero:
+    nearest places left or right with less than a bound, many at once."""
+
+    WIDE = 16
+
+    def __init__(self, values: np.ndarray):
+        self.levels = []
+        while True:
+            whole = np.zeros(-(-len(values) // self.WIDE) * self.WIDE, np.uint8)
+            whole[: len(values)] = values
+            self.levels.append(whole)
+            if len(whole) == self.WIDE:
+                break
+            values = whole.reshape(-1, self.WIDE).min(1)
+        self.step = np.arange(self.WIDE)
+
+    def seek(self, pos: np.ndarray, bound: np.ndarray, back: bool, level: int = 0) -> np.ndarray:
+        """Last place up to (``back``), or first from, each position with a value
+        below the bound; there must be one."""
+        base = pos // self.WIDE * self.WIDE
+        low = self.levels[level][base[:, None] + self.step] < bound[:, None]
+        side = self.step <= (pos - base)[:, None] if back else self.step >= (pos - base)[:, None]
+        out, none = self._pick(base, low & side, back)
+        if none.any():
+            up = self.seek(base[none] // self.WIDE + (-1 if back else 1), bound[none], back, level + 1) * self.WIDE
+            out[none], _ = self._pick(up, self.levels[level][up[:, None] + self.step] < bound[none][:, None], back)
+        return out
+
+    def _pick(self, base, low, back):
+        at = self.WIDE - 1 - low[:, ::-1].argmax(1) if back else low.argmax(1)
+        return base + at, ~low.any(1)
 
 
 class FMIndex:
-    """FM-index of segments for patterns of at most ``k`` symbols.
+    """FM-index of texts for patterns of at most ``k`` symbols.
 
-    Symbols are bytes + 1; 0 separates segments. Suffixes are sorted by their
-    first ``k`` symbols, which leaves every interval of a pattern up to that
-    length intact.
+    Symbols are bytes + 1; 0 separates texts. Suffixes are sorted by their first
+    ``k`` symbols, which leaves every interval of a pattern up to that length
+    intact. Kept are the wavelet matrix (about 1.5 bytes a byte), common prefixes
+    of neighbours (one byte), and a mark where a new k-string begins; ``home``,
+    the k-string that starts at each symbol, serves to build from and may go.
     """
 
-    def __init__(self, text: np.ndarray, owner: np.ndarray, k: int):
-        used = np.flatnonzero(np.bincount(text))
-        dense = np.zeros(int(used[-1]) + 1, np.int64)
-        dense[used] = np.arange(len(used))
-        self.text = text = dense[text]  # separators stay 0
+    def __init__(self, text: np.ndarray, k: int):
+        used = np.union1d([0], text)
+        self.dense = np.full(257, -1, np.int64)
+        self.dense[used] = np.arange(len(used))
+        text = self.dense[text]  # separators stay 0
         levels = max(1, int(len(used) - 1).bit_length())
-        n = len(text)
-        self.k = k
-        order, rank, wide = self._sort(text, k, levels)
-        self.wide_lo, self.wide_hi = self._edges(wide)
-        new = np.r_[True, rank[order][1:] != rank[order][:-1]]
-        self.group = (np.cumsum(new) - 1).astype(np.int32)
-        self.least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
+        self.n, self.k = len(text), k
+        order, new, common = self._sort(text, k, levels)
+        self.prefix = Minima(np.append(common, 0))
+        self.common = self.prefix.levels[0]
+        self.begins = BitVector(new)
+        self.groups = int(new.sum())  # k-strings, those cut short by the end included
+        self.home = np.empty(self.n, np.int32)
+        self.home[order] = np.cumsum(new) - 1
         bwt = text[order - 1]
         counts = np.bincount(bwt, minlength=1 << levels)
         # after the last level symbols stand in the order of their reversed bits
@@ -119,28 +151,26 @@ class FMIndex:
         block[seq] = np.cumsum(counts[seq]) - counts[seq]
         self.shift = np.cumsum(counts) - counts - block
         self.tree = WaveletMatrix(bwt.astype(np.int16), levels)
-        self.n = n
 
     @staticmethod
     def _sort(text, k, levels):
-        """Suffix order by the first k symbols; the rank (start of its group) of
-        every suffix; and whether neighbours in the order share k - 1 symbols.
+        """Suffix order by the first k symbols, where a new k-string begins in
+        it, and the common prefix, cut at k, of every suffix with the one before.
         Prefixes double; only groups of several suffixes are sorted again."""
         n = len(text)
-        have = min(63 // levels, k - 1)
-        padded = np.append(text, np.zeros(k, np.int64)).astype(np.uint64)
+        have = min(63 // levels, k)
+        padded = np.append(text, np.zeros(k + 8, np.int64)).astype(np.uint8)
         key = np.zeros(n, np.uint64)
         for j in range(have):
             key = (key << np.uint64(levels)) | padded[j : j + n]
         order = np.argsort(key)
         s = key[order]
         new = np.r_[True, s[1:] != s[:-1]]
+        known = np.zeros(n, np.uint8)  # common prefix of neighbours, at least
         rank = np.zeros(n + k, np.int64)
-        at = np.arange(n)
-        rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-        wide = ~new[1:] if have == k - 1 else None
-        for goal in _goals(have, k):
-            step = goal - have
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        while have < k:
+            step = min(have, k - have)
             alone = new & np.r_[new[1:], True]
             places = np.flatnonzero(~alone)  # positions in the order of groups of several
             members = order[places]
@@ -149,54 +179,92 @@ class FMIndex:
             members, pair = members[o], pair[o]
             order[places] = members
             split = np.r_[True, pair[1:] != pair[:-1]]
+            fresh = split & ~new[places]
+            known[places[fresh]] = have
             new = new.copy()
             new[places] = split
-            fresh = np.maximum.accumulate(np.where(split, places, 0))
-            rank[members] = fresh
-            have = goal
-            if goal == k - 1:
-                wide = ~new[1:]
-        return order, rank[:n], wide
-
-    @staticmethod
-    def _edges(same):
-        start = np.flatnonzero(np.r_[True, ~same])
-        end = np.r_[start[1:], len(same) + 1]
-        size = end - start
-        return np.repeat(start, size).astype(np.int32), np.repeat(end, size).astype(np.int32)
+            rank[members] = np.maximum.accumulate(np.where(split, places, 0))
+            have += step
+        common = np.full(n, k, np.uint8)
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        at = np.flatnonzero(new)[1:]
+        depth = known[at].astype(np.int64)
+        while len(at):
+            a = np.ascontiguousarray(eight[order[at - 1] + depth]).view(np.uint64)[:, 0]
+            b = np.ascontiguousarray(eight[order[at] + depth]).view(np.uint64)[:, 0]
+            x = a ^ b
+            same = np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64) >> 3  # equal bytes, 8 if all
+            depth += np.where(x == 0, 8, same)
+            go = (x == 0) & (depth < k)
+            common[at[~go]] = np.minimum(depth[~go], k)
+            at, depth = at[go], depth[go]
+        common[0] = 0
+        return order, new, common
 
     def extend(self, symbol, lo, hi):
         a, b = self.tree.rank(symbol, lo, hi)
         shift = self.shift[symbol]
         return a + shift, b + shift
 
-    def matching(self, starts: np.ndarray, ends: np.ndarray):
-        """For segments text[start:end] (each >= k long) the smallest owner of
-        every window, -1 where a window does not occur; windows of a segment
-        are filled at their own places of a text-long array."""
-        text = self.text
+    def parent(self, lo, hi, depth=None):
+        """The interval of the longest shorter prefix that holds more suffixes (or
+        of ``depth`` symbols), and its depth."""
+        if depth is None:
+            depth = np.maximum(self.common[lo], self.common[hi])
+        some = depth > 0
+        a, b = np.zeros_like(lo), np.full_like(hi, self.n)
+        if some.any():
+            bound = depth[some]
+            a[some] = self.prefix.seek(lo[some], bound, True)
+            b[some] = self.prefix.seek(hi[some], bound, False)
+        return a, b, depth.astype(np.int64)
+
+    def matching(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Stream texts (symbols text[start:end]) through the index. Yields
+        (which text, position, k-string) wherever the match reaches ``k``: that
+        k-string of the index starts there. A text whose match can no longer
+        reach ``k`` before its start is left."""
         k = self.k
-        out = np.full(len(text), -1, np.int64)
-        order = np.argsort(starts - ends, kind="stable")  # longest first: those still running are a prefix
-        starts, at = starts[order], ends[order].copy()
+        symbols = self.dense[text]
+        who = np.flatnonzero(ends - starts >= k)
+        starts, at = starts[who], ends[who].copy()
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
-        have = np.zeros(len(at), np.int64)  # matching statistic, cut at k
-        live = len(at)
-        while live:
-            p = at[:live] - 1
-            a, b, m = lo[:live], hi[:live], have[:live]
-            full = m == k  # shorten by one symbol on the right before the next is prepended
-            if full.any():
-                a, b = np.where(full, self.wide_lo[np.minimum(a, self.n - 1)], a), np.where(full, self.wide_hi[np.minimum(a, self.n - 1)], b)
-                m = np.where(full, k - 1, m)
-            a, b = self.extend(text[p], a, b)
-            lost = a >= b  # no such string: start over to the left of this symbol
-            a, b, m = np.where(lost, 0, a), np.where(lost, self.n, b), np.where(lost, 0, m + 1)
-            lo[:live], hi[:live], have[:live], at[:live] = a, b, m, p
-            hit = m == k
-            out[p[hit]] = self.least[self.group[a[hit]]]
-            live = int(np.searchsorted(starts[:live] - p, 0, side="left")) if live else 0
-        return out
+        have = np.zeros(len(at), np.int64)  # matching statistic of the position, cut at k
+        while len(who):
+            at -= 1
+            c = symbols[at]
+            full = np.flatnonzero(have == k)
+            if len(full):
+                wide = full[(self.common[lo[full]] >= k - 1) | (self.common[hi[full]] >= k - 1)]
+                have[full] = k - 1
+                if len(wide):
+                    lo[wide], hi[wide], _ = self.parent(lo[wide], hi[wide], np.full(len(wide), k - 1))
+            a, b = self.extend(np.maximum(c, 0), lo, hi)
+            ok = (a < b) & (c > 0)
+            lost = np.flatnonzero(~ok)
+            lo, hi = np.where(ok, a, lo), np.where(ok, b, hi)
+            have += ok
+            while len(lost):
+                lost = lost[have[lost] > 0]  # no prefix is left to prepend to: the match is empty
+                known = lost[c[lost] > 0]
+                none = lost[c[lost] <= 0]
+                lo[none], hi[none], have[none] = 0, self.n, 0
+                if not len(known):
+                    break
+                lo[known], hi[known], have[known] = self.parent(lo[known], hi[known])
+                # a match that cannot reach k any more needs no more steps
+                known = known[have[known] + 1 + at[known] - starts[known] >= k]
+                a, b = self.extend(c[known], lo[known], hi[known])
+                ok = a < b
+                lo[known[ok]], hi[known[ok]] = a[ok], b[ok]
+                have[known[ok]] += 1
+                lost = known[~ok]
+            hit = np.flatnonzero(have == k)
+            if len(hit):
+                yield who[hit], at[hit], self.begins.ones(lo[hit] + 1) - 1
+            live = (at > starts) & (have + at - starts >= k)
+            if not live.all():
+                who, starts, at, lo, hi, have = (x[live] for x in (who, starts, at, lo, hi, have))
 
 
 def _symbols(payload):
@@ -255,79 +323,97 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def repeating(texts, lens, windows, k) -> np.ndarray:
-    """Segments with a window whose hash another place of the shard has as
-    well. The others, met by chance of one anchor only, need no index: their
-    windows occur nowhere else."""
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-    h = gram_hashes(raw, k)[_ranges(np.cumsum(lens) - lens, windows)]
-    s = np.sort(h)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(len(texts), bool)
-    hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-    return np.logical_or.reduceat(hit, np.cumsum(windows) - windows)
-
-
-def index_shards(segments: DataFrame, k: int) -> DataFrame:
+def split_stretches(raw: np.ndarray, lens, windows, k) -> tuple[np.ndarray, np.ndarray]:
+    """(to index, to stream): masks of the stretches of a shard. Of the stretches
+    that share a window's hash, the first is indexed, the others are streamed.
+    Those that share none, met by chance of one anchor only, need neither."""
+    h = gram_hashes(raw.astype(np.uint64) + np.uint64(1), k)[_ranges(np.cumsum(lens) - lens, windows)]
+    owner = np.repeat(np.arange(len(lens)), windows)
+    order = np.argsort(h, kind="stable")  # equal hashes in the order of stretches
+    s, who = h[order], owner[order]
+    new = np.r_[True, s[1:] != s[:-1]]
+    several = ~(new & np.r_[new[1:], True])
+    index, use = np.zeros(len(lens), bool), np.zeros(len(lens), bool)
+    index[who[new & several]] = True
+    use[who[several]] = True
+    return index, use & ~index
+
+
+def least_owners(raw: np.ndarray, lens: np.ndarray, least: np.ndarray, several: np.ndarray, k: int) -> np.ndarray:
+    """The smallest document that holds it, for every window of the distinct
+    stretches of a shard, one after another. ``least``: the smallest document of
+    each stretch; ``several``: others have it too."""
+    windows = lens - k + 1
+    doc = np.repeat(least, windows)  # of windows that no other stretch has
+    index, stream = split_stretches(raw, lens, windows, k)
+    index |= several  # indexed for its first document, streamed for the others
+    if not index.any():
+        return doc
+    base, first = np.cumsum(lens) - lens, np.cumsum(windows) - windows
+    use = np.flatnonzero(index)
+    ends = np.cumsum(lens[use] + 1) - 1
+    text = np.zeros(int(ends[-1]) + 1, np.int64)
+    text[_ranges(ends - lens[use], lens[use])] = raw[_ranges(base[use], lens[use])].astype(np.int64) + 1
+    fm = FMIndex(text, k)
+    owner = np.full(fm.groups, np.iinfo(np.int64).max)
+    mine = fm.home[_ranges(ends - lens[use], windows[use])]
+    np.minimum.at(owner, mine, np.repeat(least[use], windows[use]))
+    guests = np.flatnonzero(stream | several)
+    found = np.full(len(doc), -1)
+    for who, at, group in fm.matching(raw.astype(np.int64) + 1, base[guests], base[guests] + lens[guests]):
+        g = guests[who]
+        np.minimum.at(owner, group, least[g])
+        found[first[g] + at - base[g]] = group
+    found[_ranges(first[use], windows[use])] = mine
+    hit = found >= 0
+    doc[hit] = owner[found[hit]]
+    return doc
+
+
+def index_shards(segments: DataFrame, k: int, shards: int) -> DataFrame:
     """(chunk, shard, blob): for every segment a chunk sent, runs of windows
     with one smallest document (segment number, windows, document)."""
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for shard, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(shard, []).append((chunk, blob))
-        for shard, sent in by.items():
+        for shard, sent in numbers(batches):
             known: dict[bytes, int] = {}
-            texts: list[bytes] = []
             least: list[int] = []
             several: list[int] = []
-            numbers = []
+            which = []
             for _, blob in sent:
                 lens, docs, many, raw = expand(blob)
                 body, at, mine = raw.tobytes(), 0, []
                 for length, d, m in zip(lens.tolist(), docs.tolist(), many.tolist()):
                     t = body[at : at + length]
                     at += length
-                    j = known.setdefault(t, len(texts))
-                    if j == len(texts):
-                        texts.append(t)
+                    j = known.setdefault(t, len(least))
+                    if j == len(least):
                         least.append(d)
                         several.append(m)
                     elif d != least[j]:
                         least[j] = min(d, least[j])
                         several[j] = 1
                     mine.append(j)
-                numbers.append(np.array(mine, np.int64))
-            lens = np.array([len(t) for t in texts], np.int64)
-            w = lens - k + 1
-            doc = np.repeat(np.array(least, np.int64), w)  # of windows that no other segment has
-            use = np.flatnonzero(repeating(texts, lens, w, k) | np.array(several, bool))
-            if len(use):
-                some = [texts[j] for j in use]
-                ends = np.cumsum(lens[use] + 1) - 1
-                starts = ends - lens[use]
-                text = np.frombuffer(b"\0".join(some) + b"\0", np.uint8).astype(np.int64) + 1
-                text[ends] = 0
-                index = FMIndex(text, np.repeat(np.array(least, np.int64)[use], lens[use] + 1), k)
-                found = index.matching(starts, ends)
-                doc[_ranges(np.cumsum(w)[use] - w[use], w[use])] = found[_ranges(starts, w[use])]
-            runs, size, val = answer_runs(w, doc)
+                which.append(np.array(mine, np.int64))
+            lens = np.array([len(t) for t in known], np.int64)
+            raw = np.frombuffer(b"".join(known), np.uint8)
+            del known
+            doc = least_owners(raw, lens, np.array(least, np.int64), np.array(several, bool), k)
+            runs, size, val = answer_runs(lens - k + 1, doc)
             lo = np.cumsum(runs) - runs
             chunks, blobs = [], []
-            for (chunk, _), mine in zip(sent, numbers):
+            for (chunk, _), mine in zip(sent, which):
                 cnt = runs[mine]
                 idx = np.repeat(lo[mine], cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
                 chunks.append(chunk)
                 blobs.append(squeeze(np.array([shard], np.int64), cnt.astype(np.int16), size[idx].astype(np.int16), val[idx]))
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
 
-    return segments.repartition(n, "shard").mapInArrow(run, "chunk long, blob binary")
+    return by_number(segments, "shard", shards).mapInArrow(run, "chunk long, blob binary")
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+SPANS = "array<struct<start:long,end:long>>"
+REMOVED = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans {SPANS}"
 
 
 def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
@@ -362,28 +448,32 @@ def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataF
     return joined.mapInArrow(run, REMOVED)
 
 
-def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk_bytes: int | None = None) -> DataFrame:
     """Cut every byte covered by a ``k``-byte string that also starts in a
     document with a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (bytes that remain),
     spans (removed ranges). Null text counts as empty; texts below ``k`` bytes
-    stay whole; rows that repeat a doc_id do not remove each other; rows without
-    doc_id are left out; an empty table gives no rows; extra columns are ignored.
+    stay whole, long ones are read whole; rows that repeat a doc_id do not remove
+    each other; rows without doc_id have no place in the order of documents, they
+    stay whole and remove nothing; an empty table gives no rows; extra columns
+    are ignored.
     """
-    if k < GRAM + 1:
-        raise ValueError(f"k must be above {GRAM}")
+    if not GRAM < k < 256:
+        raise ValueError(f"k must be above {GRAM} and below 256")
     spark = docs.sparkSession
     chunks = pack_chunks(docs, chunk_bytes)
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, chunks.count())
-    buckets, shards = n, n
-    shared = shared_anchors(find_anchors(chunks, k, buckets), hot_docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = index_shards(send_segments(base, k, buckets, shards), k).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
+    answers = index_shards(send_segments(base, k, n, n), k, n).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
-    return apply_removal(joined, k, buckets, shards)
+    raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    whole = docs_of(docs).where("doc_id is null").select(
+        "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"), F.array().cast(SPANS).alias("spans")
+    )
+    return apply_removal(joined, k, n, n).unionByName(whole)
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

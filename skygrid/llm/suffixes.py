@@ -11,6 +11,9 @@ without looking at text, and equal ones compare only what follows. Equal
 neighbours in the merged order are equal windows; the smallest document among
 them goes back to the chunks.
 
+Runs are dealt by minimiser, not by ranges of the sorted order: equal windows
+still meet, in one shard, and no order over all shards is needed or made.
+
 Scale. A chunk sends each distinct segment once, so copies cost one entry a
 chunk; an anchor found in more than ``hot_docs`` documents is spread window by
 window over all shards. Nothing grows beyond a chunk or a shard.
@@ -23,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import docs_of, table
 from .passages import (
-    CHUNK_BYTES,
     anchor_runs,
     answer_runs,
+    by_number,
     expand,
+    numbers,
     pack_chunks,
     place_segments,
     removed_mask,
@@ -256,18 +260,12 @@ def send_runs(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame
     return joined.mapInArrow(run, "shard int, chunk long, blob binary")
 
 
-def merge_shards(parts: DataFrame) -> DataFrame:
+def merge_shards(parts: DataFrame, shards: int) -> DataFrame:
     """(chunk, blob): for every segment a chunk sent, runs of windows with one
     smallest document."""
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for g, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(g, []).append((chunk, blob))
-        while by:
-            g, sent = by.popitem()
+        for g, sent in numbers(batches):
             runs, back = [], []
             for _, blob in sent:
                 starts, lens, pre, order, windows, docs, body = expand(blob)
@@ -283,10 +281,11 @@ def merge_shards(parts: DataFrame) -> DataFrame:
                 blobs.append(squeeze(np.array([g], np.int64), cnt.astype(np.int16), size.astype(np.int16), val))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sent], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
 
-    return parts.repartition(n, "shard").mapInArrow(run, "chunk long, blob binary")
+    return by_number(parts, "shard", shards).mapInArrow(run, "chunk long, blob binary")
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+SPANS = "array<struct<start:long,end:long>>"
+KEPT = f"doc_id long, n_words long, n_removed long, kept string, spans {SPANS}"
 
 
 def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
@@ -317,25 +316,30 @@ def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataF
     return joined.mapInArrow(run, KEPT)
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk_bytes: int | None = None) -> DataFrame:
     """Cut every word covered by a ``k``-word window whose word sequence also
     starts in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept (the remaining words, joined by a
     space), spans (removed ranges of words). Null text has no words; texts below
-    ``k`` words stay whole; rows that repeat a doc_id do not remove each other;
-    rows without doc_id are left out; an empty table gives no rows; extra columns
-    are ignored.
+    ``k`` words stay whole, long ones are read whole; rows that repeat a doc_id do
+    not remove each other; rows without doc_id have no place in the order of
+    documents, they stay whole and remove nothing; an empty table gives no rows;
+    extra columns are ignored.
     """
     spark = docs.sparkSession
     chunks = pack_chunks(docs, chunk_bytes)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
-    shared = shared_anchors(find_anchors(chunks, k, n), hot_docs)
+    shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = merge_shards(send_runs(base, k, n, n)).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
+    answers = merge_shards(send_runs(base, k, n, n), n).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
-    return apply_removal(joined, k, n, n)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    whole = docs_of(docs).where("doc_id is null").select(
+        "doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept"), F.array().cast(SPANS).alias("spans")
+    )
+    return apply_removal(joined, k, n, n).unionByName(whole)
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -122,6 +122,26 @@ def test_packing_round_trip(docs, rows, nothing):
     assert packing.pack(nothing).pieces.count() == 0
 
 
+def test_packing_of_added_tokens_and_repeats(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+
+    from skygrid.llm.tokens import Encoder
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", " <|endoftext|>\n", "", "plain"]
+    for t in texts:
+        assert Encoder()(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert 50256 in Encoder()(texts[0]) and 50256 not in Encoder(plain=True)(texts[0])
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[0]), (2, None), (3, "x" * 5000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64).pieces.toPandas()
+    ids = np.array([*tok.encode(texts[0], add_special_tokens=False).ids, 0], "<u4")
+    same = got[got.ids_crc32 == zlib.crc32(ids.tobytes())]
+    assert len(same) == 3 and same.doc_id.isna().sum() == 1 and not same.duplicated(["sequence_id", "offset"]).any()
+    assert got[got.doc_id == 2].length.tolist() == [1]
+
+
 # ---- substrings and word windows ----------------------------------------------------
 
 
@@ -170,26 +190,62 @@ def test_passages_edge_tables(spark, nothing):
         assert mod.remove_repeats(nothing).count() == 0
         t = " ".join(WORDS)
         twice = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id long, text string")
-        assert sorted((r.doc_id, r.n_removed) for r in mod.remove_repeats(twice).collect()) == [(1, 0), (1, 0), (2, 0)]
-
-
-def test_fm_index_counts():
-    rng = np.random.default_rng(3)
-    k, segs = 8, [rng.integers(0, 3, rng.integers(8, 30)).astype(np.uint8).tobytes() for _ in range(40)]
-    segs = list(dict.fromkeys(segs))
-    lens = np.array([len(s) for s in segs])
-    ends = np.cumsum(lens + 1) - 1
-    t = np.frombuffer(b"\xff".join(segs) + b"\xff", np.uint8).astype(np.int64) + 1
-    t[ends] = 0
-    owner = np.repeat(rng.permutation(len(segs)), lens + 1)
-    out = substrings.FMIndex(t, owner, k).matching(ends - lens, ends)
-    least = {}
-    for j, s in enumerate(segs):
-        for i in range(len(s) - k + 1):
-            least[s[i : i + k]] = min(least.get(s[i : i + k], 10**9), owner[ends[j] - 1])
-    for j, s in enumerate(segs):
-        for i in range(len(s) - k + 1):
-            assert out[ends[j] - lens[j] + i] == least[s[i : i + k]]
+        assert sorted((str(r.doc_id), r.n_removed) for r in mod.remove_repeats(twice).collect()) == [("1", 0), ("1", 0), ("2", 0), ("None", 0)]
+        nulls = mod.remove_repeats(spark.createDataFrame([(None, f" {t}\t{t} "), (None, None)], "doc_id long, text string")).collect()
+        assert sorted(bytes(r.kept, "utf-8") if isinstance(r.kept, str) else bytes(r.kept) for r in nulls) == [b"", f"{t} {t}".encode() if mod is suffixes else f" {t}\t{t} ".encode()]
+
+
+def symbols(text: bytes):
+    return np.frombuffer(text, np.uint8).astype(np.int64) + 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("k", [4, 8, 11])
+def test_matching_of_texts_outside_the_index(seed, k):
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, 3, rng.integers(1, 30)).astype(np.uint8).tobytes() for _ in range(40)]
+    index = substrings.FMIndex(np.concatenate([np.r_[symbols(t), 0] for t in texts]), k)
+    whole = b"\xff".join(texts) + b"\xff"
+    queries = [rng.integers(0, 4, rng.integers(1, 30)).astype(np.uint8).tobytes() for _ in range(60)]
+    queries += [texts[3] + b"\x07" + texts[4], texts[5][:5] + texts[6]]
+    assert not any(q in whole for q in queries[-2:])
+    lens = np.array([len(q) for q in queries])
+    ends = np.cumsum(lens)
+    got = {(w, int(a)): g for who, at, group in index.matching(symbols(b"".join(queries)), ends - lens, ends) for w, a, g in zip(who.tolist(), at, group.tolist())}
+    first = {whole[i : i + k]: index.home[i] for i in range(len(whole) - k + 1)}
+    want = {(w, int(e - n) + i): first[q[i : i + k]] for w, (q, n, e) in enumerate(zip(queries, lens, ends)) for i in range(len(q) - k + 1) if q[i : i + k] in first}
+    assert got == want and (want or k == 11)
+
+
+def test_index_is_compact():
+    rng = np.random.default_rng(1)
+    text = np.append(rng.integers(98, 123, 400_000), 0)
+    text[200_000:300_000] = text[:100_000]
+    fm = substrings.FMIndex(text, 50)
+    held = sum(x.nbytes for _, b in fm.tree.levels for x in (b.words, b.before)) + sum(x.nbytes for x in fm.prefix.levels) + fm.begins.words.nbytes + fm.begins.before.nbytes
+    assert held < 4 * len(text)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_least_owners(seed):
+    rng = np.random.default_rng(seed)
+    k, texts = 6, list(dict.fromkeys(rng.integers(97, 99, rng.integers(6, 14)).astype(np.uint8).tobytes() for _ in range(60)))
+    least, several = rng.integers(0, 40, len(texts)), rng.random(len(texts)) < 0.2
+    lens = np.array([len(t) for t in texts])
+    got = substrings.least_owners(np.frombuffer(b"".join(texts), np.uint8), lens, least, several, k)
+    low = {}
+    for t, d in zip(texts, least.tolist()):
+        for i in range(len(t) - k + 1):
+            low[t[i : i + k]] = min(d, low.get(t[i : i + k], d))
+    assert got.tolist() == [low[t[i : i + k]] for t in texts for i in range(len(t) - k + 1)]
+    index, stream = substrings.split_stretches(np.frombuffer(b"".join(texts), np.uint8), lens, lens - k + 1, k)
+    assert index.any() and stream.any() and not (index & stream).any()
+
+
+def test_chunks_grow_with_the_root_of_the_corpus(spark):
+    assert passages.chunk_size(spark.createDataFrame([("abc",), (None,)], "text string")) == passages.CHUNK_BYTES
+    big = spark.range(3).select(F.lit("x" * 1000).alias("text"))
+    assert passages.chunk_size(big.crossJoin(spark.range(10**6))) == passages.CHUNK_BYTES
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -230,9 +286,19 @@ def brute_components(values, linked):
     return label
 
 
-def test_simhash(docs, rows, nothing):
+def plain_fingerprint(t, size=3):
+    """The contract's fingerprint, one bit at a time."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    grams = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, docs, rows, nothing):
     got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
-    fps = {r[0]: simhash.fingerprint(text(r)) for r in rows}
+    fps = {r[0]: plain_fingerprint(text(r)) for r in rows}
     assert {d: f % (1 << 64) for d, (f, _) in got.items()} == fps and fps[4] == fps[5] == fps[6] == 0
     ids = sorted(fps)
     label = brute_components([fps[i] for i in ids], lambda a, b: bin(a ^ b).count("1") <= 3)
@@ -240,6 +306,29 @@ def test_simhash(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in got.values()}
+    some = spark.createDataFrame([(5, "A b c d"), (5, "a B c d"), (3, "a b C d"), (None, "a b c d"), (None, "other"), (9, "zz yy xx")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(some).collect()) == [("3", "3"), ("5", "3"), ("5", "3"), ("9", "9"), ("None", "3"), ("None", "None")]
+    clash = some.withColumn("simhash", F.lit("kept")).withColumn("_simhash", F.lit(1)).withColumn("key", F.lit(2))
+    assert simhash.keep_one(clash).columns == clash.columns and simhash.keep_one(clash).where("simhash = 'kept'").count() == 4
+
+
+def test_links_come_from_the_trees(spark):
+    visits = spark.sparkContext.accumulator(0)
+    table = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    long = table.where(F.length("text") > 4000).select(F.col("doc_id") + 10**6, F.concat("text", F.lit(" more")))
+    got = simhash.near_duplicates(table.union(long), visits=visits).collect()
+    fps = np.array(sorted({r.fp for r in got}), np.int64).view(np.uint64)
+    assert len(fps) < visits.value < len(fps) ** 2 / 3  # every fingerprint walks the tree, and leaves most of it out
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    label = np.arange(len(fps))
+    while (low := np.where(near, label[None], len(fps)).min(1)).tolist() != label.tolist():
+        label = low
+    at = {int(f): i for i, f in enumerate(fps)}
+    least = {}
+    for r in got:
+        k = label[at[r.fp % (1 << 64)]]
+        least[k] = min(least.get(k, r.doc_id), r.doc_id)
+    assert all(r.component_id == least[label[at[r.fp % (1 << 64)]]] for r in got) and len(least) < len(fps)
 
 
 def test_bk_tree_and_shards(spark):
@@ -247,17 +336,19 @@ def test_bk_tree_and_shards(spark):
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (60, 12), dtype=np.uint64)
     values = np.unique(np.r_[base, (base[:, None] ^ flips).ravel(), base[:30] ^ flips[:30, 0] ^ flips[:30, 1] ^ flips[:30, 2]])
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 3
     tree = simhash.BKTree(values)
     got = {(q, m) for a, b in tree.search(values, 3) for q, m in zip(a.tolist(), b.tolist())}
-    near = np.bitwise_count(values[:, None] ^ values[None]) <= 3
     assert got == set(zip(*(x.tolist() for x in np.nonzero(near))))
+    assert sorted(tree.member.tolist()) == list(range(len(values)))
+    for n in (0, 1, 2):
+        assert sum(len(a) for a, _ in simhash.BKTree(values[:n]).search(values[:3], 64)) == 3 * n
     frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    for cap in (20_000, 5):  # with and without splitting of shards
-        edges = simhash.links(frame, 3, cap)
-        roots = {r.node: r.root for r in common.components(edges).collect()}
-        label = brute_components(values.tolist(), lambda a, b: bin(a ^ b).count("1") <= 3)
-        signed = values.view(np.int64).tolist()
-        group = lambda f: sorted(sorted(x) for x in _groups(f))
+    label = brute_components(values.tolist(), lambda a, b: bin(a ^ b).count("1") <= 3)
+    signed = values.view(np.int64).tolist()
+    group = lambda f: sorted(sorted(x) for x in _groups(f))
+    for cap in (20_000, 40, 2):  # one shard, keyed shards, shards split again and again
+        roots = {r.node: r.root for r in common.components(simhash.links(frame, 3, cap)).collect()}
         assert group({v: roots.get(v, v) for v in signed}) == group({v: label[i] for i, v in enumerate(signed)})
 
 
@@ -489,15 +580,24 @@ def test_pii(spark):
 # ---- sharding, quality -------------------------------------------------------------------
 
 
-def test_best_fit_tree():
-    rng = random.Random(5)
-    sizes = [rng.randint(1, 100) for _ in range(300)]
-    got = sharding.best_fit_decreasing(sizes, 100)
-    load = {}
-    for s, b in zip(sizes, got):
-        load[b] = load.get(b, 0) + s
-    assert max(load.values()) <= 100 and sorted(100 - v for v in load.values()) == naive_bfd(sizes, 100)
-    assert sharding.best_fit_decreasing([5], 4) is None and sharding.equal_bins([], 3) == []
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_in_bulk(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randint(1, 100), 7, 33]) for _ in range(300)]
+    known = sorted(set(sizes), reverse=True)
+    runs, bins = sharding.best_fit_decreasing(known, [sizes.count(s) for s in known], 100)
+    load, seen = {}, {}
+    for s, n, b in runs:
+        load[b] = load.get(b, 0) + s * n
+        seen[s] = seen.get(s, 0) + n
+    assert max(load.values()) <= 100 and seen == {s: sizes.count(s) for s in known}
+    assert sorted(100 - v for v in load.values()) == naive_bfd(sizes, 100) and bins == len(load)
+    assert sharding.best_fit_decreasing([5], [1], 4) is None and sharding.equal_bins([], [], 3) == []
+    table = sharding.ranges(runs)
+    for s, n, b in runs:  # the ranges give back the bins of all ordinals
+        k = sum(m for t, m, _ in runs[: [id(r) for r in runs].index(id(next(r for r in runs if r == [s, n, b])))] if t == s)
+        row = max(r for r in map(tuple, table.tolist()) if r[:2] <= (s, k))
+        assert row[2] == b
 
 
 def test_sharding(spark, docs, rows, nothing):
@@ -508,13 +608,34 @@ def test_sharding(spark, docs, rows, nothing):
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
     where = dict(zip(got.doc_id, got.shard))
-    assert where[7] == where[8]
-    hot = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string")
-    loads = sharding.shard_documents(hot).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
-    assert len(loads) == 8 and loads.max() < 1.35 * loads.min()  # one text has two thirds of all rows
+    assert where[7] == where[8] and where[4] == where[5]
+    # against brute force: the same loads as one-at-a-time best fit of whole groups at some capacity
+    groups = {}
+    for r in rows:
+        groups[text(r)] = groups.get(text(r), 0) + size[r[0]]
+    left, free = sorted(groups.values(), reverse=True), 4
+    loads = sorted(got.groupby("shard")["size"].sum())
+    while left[0] * free > sum(left):
+        loads.remove(left.pop(0))
+        free -= 1
+    assert len(loads) == free and [max(loads) - x for x in sorted(loads, reverse=True)] == naive_bfd(left, max(loads))
+    assert max(loads) - sum(left) / free <= left[0]
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def test_groups_are_never_parted(spark):
+    long = "one long text " * 4000
+    rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(900)] + [(1000, long), (1001, "text 3"), (1001, "text 3"), (None, "text 6"), (None, None)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), fine=10).toPandas()
+    assert len(got) == len(rows)
+    assert (got.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    for _, s in got.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+    loads = got.groupby("shard")["size"].sum().sort_values()
+    assert loads.iloc[-1] == len(long) + 1 and loads.iloc[-2] == 600 * 10 and len(loads) == 8  # each alone in its shard
+    assert loads.iloc[:6].max() - loads.iloc[:6].min() <= 10
+
+
 def test_quality(spark, sf, docs, nothing):
     table, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     model = quality.train(table, labels)
