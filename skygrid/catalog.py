@@ -10,6 +10,7 @@ import inspect
 import logging
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from .operators.search import (
 )
 from .plans.expr import is_nested, translate
 from .plans.info import CatalogInfo
-from .plans.moc import Moc
+from .plans.moc import Moc, in_set
 from .plans.pixels import HealpixPixel, PixelTree, partition_of, sort_pixels
 
 log = logging.getLogger(__name__)
@@ -71,11 +72,32 @@ class PartitionIndexer:
         return self.catalog.npartitions
 
 
+class Stored:
+    """How a dataset came from its files: what opens those of given pixels, and
+    the functions applied since. A search opens the files again, those it needs."""
+
+    def __init__(self, opened, steps=()):
+        self.opened, self.steps = opened, tuple(steps)
+
+    def then(self, fn) -> Stored:
+        return Stored(self.opened, (*self.steps, fn))
+
+    def frame(self, pixels) -> DataFrame:
+        df = self.opened(pixels)
+        for fn in self.steps:
+            df = fn(df)
+        return df
+
+    def only(self, pixels) -> Stored:
+        kept = set(pixels)
+        return Stored(lambda asked: self.opened([p for p in asked if p in kept]), self.steps)
+
+
 class HealpixDataset:
     """Base of all datasets: ``df``, ``info``, pixels and coverage."""
 
-    def __init__(self, df: DataFrame, info: CatalogInfo, pixels, moc: Moc | None = None, original_schema: StructType | None = None, stats_preserved: bool = True):
-        self.df, self.info = df, info
+    def __init__(self, df: DataFrame, info: CatalogInfo, pixels, moc: Moc | None = None, original_schema: StructType | None = None, stats_preserved: bool = True, stored: Stored | None = None):
+        self.df, self.info, self.stored = df, info, stored
         self.tree = PixelTree(pixels)
         self.moc = moc
         self.original_schema = original_schema or df.schema
@@ -151,7 +173,7 @@ class HealpixDataset:
     def _partition(self):
         return partition_of(self.df, self.index_column, self.tree.pixels, self.info.healpix_order)
 
-    def _with(self, df=None, *, pixels=None, info=None, moc="same", modified=True, **extra):
+    def _with(self, df=None, *, pixels=None, info=None, moc="same", modified=True, stored=None, **extra):
         info = info or self.info
         if modified:
             info = info.copy(total_rows=None)
@@ -162,13 +184,28 @@ class HealpixDataset:
             self.moc if moc == "same" else moc,
             original_schema=self.original_schema,
             stats_preserved=self.stats_preserved and not modified,
+            stored=self.stored if df is None else stored,
             **extra,
         )
         return out
 
     def _each(self, fn, **kw):
         """Apply a DataFrame function to this dataset (and to a margin)."""
-        return self._with(fn(self.df), **kw)
+        return self._with(fn(self.df), stored=self.stored and self.stored.then(fn), **kw)
+
+    def _at_pixels(self, pixels):
+        """This dataset with its rows in some of its pixels: their files where it
+        was opened from files, else a condition on the index."""
+        if len(pixels) == len(self.tree):
+            return self
+        if self.stored is not None:
+            return self._with(self.stored.frame(pixels), pixels=pixels, stored=self.stored.only(pixels))
+        return self._with(self._inside(self.df, pixels), pixels=pixels)
+
+    def _inside(self, df, pixels):
+        if self.index_column not in df.columns:
+            return df
+        return df.where(Moc.from_pixels(pixels).contains(self.index_column, self.info.healpix_order))
 
     def _check_columns(self, names):
         for n in names:
@@ -247,26 +284,24 @@ class HealpixDataset:
         pixels = search.select_pixels(self.tree.pixels)
         cover = search.coverage()
         info = self.info
+        few = cover.simplified(100) if cover is not None else None
 
         def run(d):
-            out = d
-            if self.index_column in d.columns and len(pixels) < len(self.tree):
-                out = out.where(Moc.from_pixels(pixels).contains(q(self.index_column), info.healpix_order))
-            if search.fine:
-                if cover is not None and self.index_column in d.columns:
-                    out = out.where(cover.simplified(100).contains(q(self.index_column), info.healpix_order))
-                condition = search.condition(info)
-                if condition is not None:
-                    out = out.where(condition)
-                elif type(search).search_points is not AbstractSearch.search_points:
-                    out = udf_ops.filter_frames(out, lambda f: search.search_points(f, info))
-            return out
+            if few is not None and self.index_column in d.columns:
+                d = d.where(few.contains(self.index_column, info.healpix_order))
+            condition = search.condition(info)
+            if condition is not None:
+                d = d.where(condition)
+            elif type(search).search_points is not AbstractSearch.search_points:
+                d = udf_ops.filter_frames(d, lambda f: search.search_points(f, info))
+            return d
 
         moc = self.moc
         if cover is not None:
             base = self.moc or Moc.from_pixels(self.tree.pixels)
             moc = base.intersection(cover if search.fine else Moc.from_pixels(pixels))
-        return self._each(run, pixels=pixels, moc=moc)
+        cut = self._at_pixels(pixels)
+        return cut._each(run, moc=moc) if search.fine else cut._with(moc=moc)
 
     def cone_search(self, ra, dec, radius_arcsec, fine=True):
         return self.search(ConeSearch(ra, dec, radius_arcsec, fine))
@@ -288,8 +323,7 @@ class HealpixDataset:
 
     # -- partitions ----------------------------------------------------------
     def _only_pixels(self, pixels):
-        moc = Moc.from_pixels(pixels)
-        return self._each(lambda d: d.where(moc.contains(q(self.index_column), self.info.healpix_order)), pixels=pixels)
+        return self._at_pixels(sort_pixels(pixels))
 
     def get_partition(self, order: int, pixel: int):
         p = HealpixPixel(order, pixel)
@@ -348,8 +382,9 @@ class HealpixDataset:
 
     def coverage_moc(self, max_order: int = 10) -> Moc:
         """Coverage of the rows themselves; at most 12 * 4^order cells."""
-        cells = self.df.select(pix_at(q(self.index_column), max_order, self.info.healpix_order).alias("c")).distinct().collect()
-        return Moc.from_pixels((max_order, r["c"]) for r in cells)
+        cell = pix_at(q(self.index_column), max_order, self.info.healpix_order)
+        cells = self.df.select(cell.alias("c")).where("c is not null").distinct().toArrow()["c"].to_numpy()  # 8 bytes a cell
+        return Moc.from_cells(max_order, np.sort(cells))
 
     def est_size(self) -> float:
         """Estimated size in KiB, from the plan's statistics."""
@@ -368,12 +403,23 @@ class HealpixDataset:
     def compute(self) -> pd.DataFrame:
         return self.df.orderBy(*self._order_keys()).toPandas()
 
+    def _from_end(self, n: int, last: bool) -> pd.DataFrame:
+        """The first (or last) rows by index. Files are visited from that end, a
+        pixel at first, then twice as many each time."""
+        pixels = self.tree.pixels[::-1] if last else self.tree.pixels
+        count = 1 if self.stored is not None and self.index_column in self.df.columns else len(pixels)
+        while True:
+            part = self if count >= len(pixels) else self._only_pixels(pixels[:count])
+            got = part.df.orderBy(*[k.desc() if last else k for k in self._order_keys()]).limit(n).toPandas()
+            if len(got) == n or count >= len(pixels):
+                return got
+            count *= 2
+
     def head(self, n: int = 5) -> pd.DataFrame:
-        return self.df.orderBy(*self._order_keys()).limit(n).toPandas()
+        return self._from_end(n, False)
 
     def tail(self, n: int = 5) -> pd.DataFrame:
-        last = self.df.orderBy(*[k.desc() for k in self._order_keys()]).limit(n)
-        return last.toPandas().iloc[::-1].reset_index(drop=True)
+        return self._from_end(n, True).iloc[::-1].reset_index(drop=True)
 
     def sample(self, partition_id: int, n: int = 5, seed: int | None = None) -> pd.DataFrame:
         if not 0 <= partition_id < self.npartitions:
@@ -494,6 +540,23 @@ def _sub_struct(base: str, subs) -> Column:
 class MarginCatalog(HealpixDataset):
     """Rows keyed by the receiving pixel in ``__norder`` and ``__npix``."""
 
+    def _cut(self, pixels):
+        """The rows that lie in the margin of these pixels; pixels of the empty
+        sky, which only a margin has, go as well."""
+        if self.stored is not None:
+            mine = [p for p in pixels if p in set(self.tree.pixels)]
+            return self._with(self.stored.frame(mine), pixels=mine, stored=self.stored.only(mine))
+        return self._with(self._inside(self.df, pixels), pixels=[p for p in self.tree.pixels if p in set(pixels)])
+
+    def _inside(self, df, pixels):
+        by: dict[int, list[int]] = {}
+        for o, p in pixels:
+            by.setdefault(o, []).append(p)
+        keep = F.lit(False)
+        for o, ps in by.items():
+            keep = keep | ((F.col("__norder") == o) & in_set("__npix", ps))
+        return df.where(keep)
+
     def write_catalog(self, path: str, error_if_empty: bool = False, **kw):
         return super().write_catalog(path, error_if_empty=error_if_empty, **kw)
 
@@ -512,8 +575,8 @@ class MapCatalog(HealpixDataset):
 class Catalog(HealpixDataset):
     """A point catalog with an optional margin and optional id indexes."""
 
-    def __init__(self, df, info, pixels, moc=None, original_schema=None, stats_preserved=True, margin: MarginCatalog | None = None, indexes: dict | None = None):
-        super().__init__(df, info, pixels, moc, original_schema, stats_preserved)
+    def __init__(self, df, info, pixels, moc=None, original_schema=None, stats_preserved=True, margin: MarginCatalog | None = None, indexes: dict | None = None, stored: Stored | None = None):
+        super().__init__(df, info, pixels, moc, original_schema, stats_preserved, stored)
         self.margin, self.indexes = margin, indexes or {}
 
     def _with(self, df=None, *, margin="same", **kw):
@@ -526,8 +589,24 @@ class Catalog(HealpixDataset):
             lost = [c for c in MARGIN_KEYS if c not in rows.columns]
             info = kw.get("info")
             new = margin.info if info is None else margin.info.copy(ra_column=info.ra_column, dec_column=info.dec_column)
-            margin = None if lost else margin._with(rows, info=new)
-        return self._with(fn(self.df), margin=margin, **kw)
+            margin = None if lost else margin._with(rows, info=new, stored=margin.stored and margin.stored.then(fn))
+        return self._with(fn(self.df), margin=margin, stored=self.stored and self.stored.then(fn), **kw)
+
+    def _at_pixels(self, pixels):
+        """The margin keeps what these pixels receive from the others."""
+        out = super()._at_pixels(pixels)
+        if self.margin is not None and out is not self:
+            out.margin = self.margin._cut(pixels)
+        return out
+
+    def build_index(self, column: str) -> DataFrame:
+        """An index catalog of this catalog: (value, Norder, Npix) of its rows."""
+        self._check_columns([column])
+        norder, npix = self._partition()
+        base, _, sub = column.partition(".")
+        value = q(column) if column in self.df.columns else F.explode(q(base)[sub])
+        placed = self.df.withColumns({"Norder": norder, "Npix": npix}).select(value.alias(sub or base), "Norder", "Npix")
+        return placed.where(q(sub or base).isNotNull()).distinct()
 
     def rename_catalog(self, name):
         out = super().rename_catalog(name)
@@ -536,20 +615,21 @@ class Catalog(HealpixDataset):
         return out
 
     def id_search(self, values: dict, index_catalogs: dict | None = None, fine: bool = True):
+        """Rows by value, in the partitions that an index catalog of each field
+        names (of the collection, or given; ``build_index`` makes one)."""
         known = {**self.indexes, **(index_catalogs or {})}
         missing = [k for k in values if k not in known]
-        if missing and (index_catalogs is not None or self.indexes):
+        if missing:
             raise TypeError(f"no index catalog for {missing}")
         search = IndexSearch(values, known, fine)
         pixels = set(self.tree.pixels)
         for name, vals in search.values.items():
-            if name in known:
-                idx = known[name]
-                col = name.split(".")[-1] if name not in idx.columns else name
-                hit = idx.where(q(col).isin(vals)).select("Norder", "Npix").distinct().collect()
-                pixels &= {HealpixPixel(r["Norder"], r["Npix"]) for r in hit}
+            idx = known[name]
+            col = name.split(".")[-1] if name not in idx.columns else name
+            hit = idx.where(q(col).isin(vals)).select("Norder", "Npix").distinct().collect()  # at most all partitions
+            pixels &= {HealpixPixel(r["Norder"], r["Npix"]) for r in hit}
         log.info("id search reads %d partitions", len(pixels))
-        cut = self._only_pixels(sort_pixels(pixels)) if known else self
+        cut = self._only_pixels(pixels)
         return cut._each(lambda d: d.where(search.condition(self.info))) if fine else cut
 
     # -- joins ---------------------------------------------------------------

@@ -95,40 +95,55 @@ def join_nested(lcat, rcat, left_on: str, right_on: str, nested: str, how: str)
     return lcat.df.join(grouped, q(left_on) == F.col("__key"), how).drop("__key")
 
 
+SPLITS = 3  # orders below a partition's own: 64 cells to a partition
+
+
 def merge_asof(lcat, rcat, direction: str, names: Names, scope: str) -> DataFrame:
     """Nearest earlier, later or nearest right row by index.
 
-    One window over the union of both sides, partitioned by the right
-    catalog's partition: each left row takes the last right row before it (and
-    the first after it), so no range of pairs is formed.
+    One window over the union of both sides, within cells of the right catalog's
+    partitions: each left row takes the last right row before it (read downwards,
+    the first after it), so no range of pairs is formed and both ways cost one
+    running pass. A partition is no unit of work: what a cell's first rows need
+    from the cells before it comes from a table of each cell's outermost right
+    rows, 64 to a partition.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError("direction must be backward, forward or nearest")
-    h = lcat.index_column
-    a, b = renamed(lcat, names.left), renamed(rcat, names.right)
-    rh = f"__right_{rcat.index_column}"
-    part = (lambda df, i: right_partition(df, i, rcat)) if scope == "partition" else (lambda df, i: F.shiftright(q(i), 50).cast("string"))
     if scope != "partition":
         raise ValueError("merge_asof is defined within the right catalog's partitions")
-    left = a.select(part(a, h).alias("__p"), q(h).alias("__h"), F.struct(*[q(c) for c in a.columns]).alias("__l"))
-    right = b.select(part(b, rh).alias("__p"), q(rh).alias("__h"), F.struct(*[q(c) for c in b.columns]).alias("__r"))
-    both = left.where("__p is not null").unionByName(right.where("__p is not null"), allowMissingColumns=True)
-    rest = [f"__r.`{c}`" for c in b.columns if b.schema[c].dataType.typeName() not in ("map",)]
+    h, rh = lcat.index_column, f"__right_{rcat.index_column}"
+    a, b = renamed(lcat, names.left), renamed(rcat, names.right)
+
+    def side(df, index, keep):
+        norder, npix = partition_of(df, index, rcat.tree.pixels, rcat.info.healpix_order)
+        top = rcat.info.healpix_order
+        cell = F.expr(f"shiftright(`{index}`, 2 * ({top} - least(__o + {SPLITS}, {top})))")
+        df = df.withColumns({"__o": norder, "__n": npix}).where("__o is not null")
+        return df.select("__o", "__n", cell.alias("__c"), q(index).alias("__h"), F.struct(*[q(c) for c in keep]).alias("__l" if index == h else "__r"))
+
+    both = side(a, h, a.columns).unionByName(side(b, rh, b.columns), allowMissingColumns=True)
+    rest = [F.col(f"__r.`{c}`") for c in b.columns if b.schema[c].dataType.typeName() not in ("map",)]
+    key, place = ["__o", "__n", "__c"], F.when(F.col("__r").isNotNull(), F.struct("__h", *rest))
+    cells = both.groupBy(*key).agg(F.max_by("__r", place).alias("__last"), F.min_by("__r", place).alias("__first"))
     is_left = F.col("__l").isNotNull().cast("int")
-    order = Window.partitionBy("__p").orderBy("__h", is_left, *rest)
-    later = Window.partitionBy("__p").orderBy("__h", is_left.desc(), *rest)
-    back = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("__r", ignorenulls=True).over(later.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both
-    if direction != "forward":
-        found = found.withColumn("__b", back)
-    if direction != "backward":
-        found = found.withColumn("__f", ahead)
+    found, picks = both, {}
+    # downwards all sort keys turn but the side: a right row at the same place counts both ways
+    ways = {"__b": ("backward", "__last", lambda c: F.asc(c) if isinstance(c, str) else c.asc()), "__f": ("forward", "__first", lambda c: F.desc(c) if isinstance(c, str) else c.desc())}
+    for name, (way, edge, turn) in ways.items():
+        if direction in (way, "nearest"):
+            before = Window.partitionBy("__o", "__n").orderBy(turn("__c")).rowsBetween(Window.unboundedPreceding, -1)
+            cells = cells.withColumn(f"{name}0", F.last(edge, ignorenulls=True).over(before))
+            order = Window.partitionBy(*key).orderBy(turn("__h"), is_left, *[turn(c) for c in rest])
+            picks[name] = F.coalesce(F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col(f"{name}0"))
+    found = both.join(cells.drop("__last", "__first"), key)
+    for name, pick in picks.items():
+        found = found.withColumn(name, pick)
     if direction == "nearest":
         nearer = F.col("__b").isNull() | (F.col("__f").isNotNull() & (F.col(f"__f.`{rh}`") - F.col("__h") < F.col("__h") - F.col(f"__b.`{rh}`")))
         found = found.withColumn("__m", F.when(nearer, F.col("__f")).otherwise(F.col("__b")))
     else:
-        found = found.withColumn("__m", F.col("__b" if direction == "backward" else "__f"))
+        found = found.withColumn("__m", F.col(next(iter(picks))))
     found = found.where("__l is not null")
     return found.select(*[F.col(f"__l.`{c}`").alias(c) for c in a.columns], *[F.col(f"__m.`{c}`").alias(c) for c in b.columns if c != rh])
 

@@ -149,7 +149,9 @@ class MOCSearch(AbstractSearch):
         return self.moc
 
     def condition(self, info):
-        return self.moc.contains(F.col(f"`{info.healpix_column}`"), info.healpix_order)
+        if info.healpix_column is None:
+            raise ValueError("a search by coverage needs the index column")
+        return self.moc.contains(info.healpix_column, info.healpix_order)
 
 
 class PixelSearch(AbstractSearch):
@@ -171,7 +173,7 @@ class PixelSearch(AbstractSearch):
         return Moc.from_pixels(self.pixels)
 
     def condition(self, info):
-        return self.coverage().contains(F.col(f"`{info.healpix_column}`"), info.healpix_order)
+        return self.coverage().contains(info.healpix_column, info.healpix_order)
 
 
 class OrderSearch(AbstractSearch):

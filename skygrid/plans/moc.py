@@ -11,6 +11,12 @@ from ..functions.healpix import ORDER, pix2ang_np, pixel_range, xyz_np
 MAX_RANGES = 200  # more are merged over the smallest gaps when used as a predicate
 
 
+def in_set(expression: str, values) -> Column:
+    """Whether a BIGINT expression has one of the values. Given as text: one
+    parse, where a column object for each value takes a call each."""
+    return F.expr(f"{expression} IN ({','.join(f'{v}L' for v in values)})")
+
+
 class Moc:
     def __init__(self, ranges=()):
         r = sorted((int(a), int(b)) for a, b in ranges if a < b)
@@ -22,6 +28,16 @@ class Moc:
                 merged.append([a, b])
         self.ranges = [tuple(x) for x in merged]
 
+    @classmethod
+    def from_cells(cls, order: int, cells: np.ndarray) -> "Moc":
+        """Of sorted distinct cells of one order."""
+        cells = np.asarray(cells, np.int64)
+        new = np.flatnonzero(np.diff(cells) != 1) + 1
+        shift, at = 2 * (ORDER - order), np.r_[0, new][: len(cells)]
+        out = cls()
+        out.ranges = list(zip((cells[at] << shift).tolist(), (cells[np.r_[new, len(cells)][: len(at)] - 1] + 1 << shift).tolist()))
+        return out
+
     @classmethod
     def from_pixels(cls, pixels) -> "Moc":
         return cls(pixel_range(o, p) for o, p in pixels)
@@ -67,21 +83,38 @@ class Moc:
     def sky_fraction(self) -> float:
         return sum(b - a for a, b in self.ranges) / (12 << (2 * ORDER))
 
-    def contains(self, index: Column, index_order: int = ORDER) -> Column:
-        """Exact membership; many ranges go through a sorted array lookup."""
-        s = 2 * (ORDER - index_order)
+    def cells(self, top: int = ORDER) -> dict[int, list[int]]:
+        """The fewest pixels of orders up to ``top`` that make up the ranges
+        (their ends rounded outwards there), by order."""
+        s, out = 2 * (ORDER - top), {}
+        for a, b in self.ranges:
+            a, b = a >> s, -(-b >> s)
+            while a < b:
+                up = min(top, (a & -a).bit_length() - 1 >> 1 if a else top, (b - a).bit_length() - 1 >> 1)
+                out.setdefault(top - up, []).append(a >> 2 * up)
+                a += 1 << 2 * up
+        return out
+
+    def contains(self, index: str, index_order: int = ORDER) -> Column:
+        """Exact membership of an index column. A few ranges are comparisons; many
+        are sets of pixels, one lookup for each order in use, behind the few ranges
+        that cover them (which reach the scan)."""
+        s, column = 2 * (ORDER - index_order), F.col(f"`{index}`")
         if not self.ranges:
             return F.lit(False)
         if len(self.ranges) <= MAX_RANGES:
             out = None
             for a, b in self.ranges:
                 lo, hi = a >> s, -(-b >> s)
-                c = (index >= lo) & (index < hi)
+                c = (column >= lo) & (column < hi)
                 out = c if out is None else out | c
             return out
         coarse = self.simplified(MAX_RANGES // 4).contains(index, index_order)
-        edges = F.array(*[F.struct(F.lit(a >> s).alias("a"), F.lit(-(-b >> s)).alias("b")) for a, b in self.ranges])
-        return coarse & F.exists(edges, lambda r: (index >= r["a"]) & (index < r["b"]))
+        fine = None
+        for order, pixels in sorted(self.cells(index_order).items()):
+            c = in_set(f"shiftright(`{index}`, {2 * (index_order - order)})", pixels)
+            fine = c if fine is None else fine | c
+        return coarse & fine
 
     def simplified(self, most: int) -> "Moc":
         """At most ``most`` ranges covering these, closing the smallest gaps."""

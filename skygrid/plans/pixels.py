@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.healpix import ORDER, pix_at, pixel_range
+from .moc import in_set
 
 
 class HealpixPixel(NamedTuple):
@@ -74,7 +75,7 @@ def partition_of(df: DataFrame, index: str, pixels, index_order: int = ORDER) ->
     col = F.col(f"`{index}`")
     norder, npix = F.lit(None).cast("int"), F.lit(None).cast("long")
     for o, ps in sorted(by.items(), reverse=True):
-        inside = pix_at(col, o, index_order).isin(ps)
+        inside = in_set(f"shiftright(`{index}`, {2 * (index_order - o)})", ps)
         norder = F.when(inside, F.lit(o)).otherwise(norder)
         npix = F.when(inside, pix_at(col, o, index_order)).otherwise(npix)
     return norder, npix

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ..catalog import AssociationCatalog, Catalog, MapCatalog, MarginCatalog
+from ..catalog import AssociationCatalog, Catalog, MapCatalog, MarginCatalog, Stored
 from ..operators.search import AbstractSearch
 from ..plans.info import CatalogInfo
 from ..plans.moc import Moc
@@ -53,18 +53,12 @@ def read_hats(path: str, search_filter=None, columns=None, margin_cache=None, er
     if isinstance(cat, Catalog):
         cat.indexes = indexes
         if margin_path:
-            m = _dataset(spark, margin_path, None, columns if columns != "all" else None, filters, False, path_generator, base=cat)
+            m = _dataset(spark, margin_path, None, columns if columns != "all" else None, filters, False, path_generator, pixels_of=cat.tree.pixels if search_filter is not None else None)
             _same_columns(cat, m)
+            if search_filter is not None and search_filter.fine:
+                condition = search_filter.condition(m.info)
+                m = m._each(lambda d: d.where(condition)) if condition is not None else m
             cat.margin = m
-            if search_filter is not None:
-                cat = _with_margin(cat, search_filter)
-    return cat
-
-
-def _with_margin(cat, search):
-    m = cat.margin
-    condition = search.condition(m.info) if search.fine else None
-    cat.margin = m._with(m.df.where(condition)) if condition is not None else m
     return cat
 
 
@@ -101,7 +95,8 @@ def _pixels(spark, path) -> list[HealpixPixel]:
     return sort_pixels((int(r.split(",")[o]), int(r.split(",")[p])) for r in rows[1:] if r)
 
 
-def _dataset(spark, path, search, columns, filters, error_empty, path_generator, base=None):
+def _dataset(spark, path, search, columns, filters, error_empty, path_generator, pixels_of=None):
+    """``pixels_of``: of a margin, only the files of these pixels."""
     props = _properties(spark, path)
     info = _info(props)
     kind = info.catalog_type
@@ -109,40 +104,50 @@ def _dataset(spark, path, search, columns, filters, error_empty, path_generator,
         raise NotImplementedError(f"Cannot load dataset of type {kind}")
     pixels = _pixels(spark, path) if layout.exists(spark, f"{path}/{layout.PARTITION_INFO}") else []
     wanted = search.select_pixels(pixels) if search is not None else pixels
+    if pixels_of is not None:
+        wanted = [p for p in pixels if p in set(pixels_of)]
     if search is not None and not wanted and error_empty:
         raise ValueError("The selected sky region has no coverage")
     suffix = props.get("hats_npix_suffix", ".parquet")
     make = path_generator or (lambda root, p, s: f"{root}/dataset/{layout.pixel_file(*p, s)}")
     schema_file = next((f"{path}/dataset/{n}" for n in ("_common_metadata", "_metadata") if layout.exists(spark, f"{path}/dataset/{n}")), None)
-    if wanted:
-        reader = spark.read.option("recursiveFileLookup", "true")
-        df = reader.parquet(*[make(path, p, suffix) for p in wanted])
-    elif schema_file or pixels:
-        full = spark.read.option("recursiveFileLookup", "true").parquet(schema_file or make(path, pixels[0], suffix))
-        df = spark.createDataFrame([], full.schema)
-    else:
-        raise ValueError(f"The catalog at {path} has no schema metadata")
-    df = nest_structs(df)
     keys = kind == "margin"
-    if keys and "Norder" in df.columns:
-        df = df.withColumnRenamed("Norder", "__norder").withColumnRenamed("Npix", "__npix").drop("Dir")
-    elif keys:
-        place = F.regexp_extract_all(F.input_file_name(), F.lit(r"(?:Norder|Npix)=(\d+)"), F.lit(1))
-        df = df.withColumns({"__norder": place[0].cast("int"), "__npix": place[1].cast("long")})
-    elif kind != "association":
-        df = df.drop(*layout.PARTITION_COLUMNS)
-    schema = df.schema
-    if filters is not None:
-        df = df.where(dnf(filters))
-    index = info.healpix_column if info.healpix_column in df.columns else None
+    if not schema_file and not pixels:
+        raise ValueError(f"The catalog at {path} has no schema metadata")
+    # the schema comes from one file; with it given, no other is opened to plan a read
+    schema_of = spark.read.option("recursiveFileLookup", "true").parquet(schema_file or make(path, pixels[0], suffix)).schema
+
+    def load(some) -> DataFrame:
+        if not some:
+            raw = spark.createDataFrame([], schema_of)
+        else:
+            raw = spark.read.schema(schema_of).option("recursiveFileLookup", "true").parquet(*[make(path, p, suffix) for p in some])
+        df = nest_structs(raw)
+        if keys and "Norder" in df.columns:
+            return df.withColumnRenamed("Norder", "__norder").withColumnRenamed("Npix", "__npix").drop("Dir")
+        if keys:
+            place = F.regexp_extract_all(F.input_file_name(), F.lit(r"(?:Norder|Npix)=(\d+)"), F.lit(1))
+            return df.withColumns({"__norder": place[0].cast("int"), "__npix": place[1].cast("long")})
+        return df if kind == "association" else df.drop(*layout.PARTITION_COLUMNS)
+
+    empty = load([])
+    schema = empty.schema
+    index = info.healpix_column if info.healpix_column in empty.columns else None
     if index is None:
         info = info.copy(healpix_column=None)
-    chosen = resolve_columns(df, columns, info)
-    if chosen is not None:
-        df = project(df, [*([index] if index else []), *chosen, *(["__norder", "__npix"] if keys else [])])
+    chosen = resolve_columns(empty, columns, info)
+
+    def opened(some) -> DataFrame:
+        df = load(some)
+        if filters is not None:
+            df = df.where(dnf(filters))
+        if chosen is not None:
+            df = project(df, [*([index] if index else []), *chosen, *(["__norder", "__npix"] if keys else [])])
+        return df
+
     moc = Moc.from_pixels(wanted)
     cls = {"margin": MarginCatalog, "association": AssociationCatalog, "map": MapCatalog}.get(kind, Catalog)
-    cat = cls(df, info, wanted, moc, original_schema=schema)
+    cat = cls(opened(wanted), info, wanted, moc, original_schema=schema, stored=Stored(opened))
     if search is not None or filters is not None:
         cat.info = cat.info.copy(total_rows=None)
     return cat.search(search) if search is not None else cat

@@ -1,5 +1,7 @@
 """Behaviour beyond the registered queries: validation, metadata, round trips."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -186,6 +188,104 @@ def test_round_trip(cat, tmp_path, frame):
         cat.query("mag > 1000").write_catalog(str(tmp_path / "d"))
 
 
+@pytest.fixture(scope="module")
+def stored(cat, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "c")
+    cat.write_catalog(path, should_write_skymap=False)
+    return skygrid.open_catalog(path)
+
+
+def files(df):
+    return sorted(re.search(r"Norder=(\d+)/Dir=\d+/Npix=(\d+)", f).groups() for f in df.inputFiles())
+
+
+def names(pixels):
+    return sorted((str(o), str(p)) for o, p in pixels)
+
+
+def test_searches_after_opening_read_only_their_files(stored, cat):
+    searches = {
+        "cone": lambda c: c.cone_search(50, 30, 3600 * 20), "box": lambda c: c.box_search((10, 50), (0, 40)), "coarse": lambda c: c.cone_search(50, 30, 3600 * 20, fine=False),
+        "pixels": lambda c: c.pixel_search([(3, 5), (2, 100)]), "partition": lambda c: c.get_partition(*c.get_healpix_pixels()[3]), "slice": lambda c: c.partitions[2:5],
+        "steps": lambda c: c.query("mag > 19")[["id", "ra", "dec", "mag"]].rename({"mag": "m"}).cone_search(50, 30, 3600 * 20).query("m < 22"),
+        "twice": lambda c: c.cone_search(50, 30, 3600 * 30).box_search((30, 60), (10, 50)), "polygon": lambda c: c.polygon_search([(40, 20), (60, 20), (50, 40)]),
+    }
+    for name, search in searches.items():
+        got, want = search(stored), search(cat)
+        assert files(got.df) == names(got.get_healpix_pixels()) and len(got.get_healpix_pixels()) < stored.npartitions, name
+        assert got.get_healpix_pixels() == want.get_healpix_pixels()
+        assert sorted(r.id for r in got.df.collect()) == sorted(r.id for r in want.df.collect()), name
+        key = lambda m: sorted((r["__norder"], r["__npix"], r.id) for r in m.df.collect())
+        assert key(got.margin) == key(want.margin), name
+        assert set(files(got.margin.df)) <= set(names(got.get_healpix_pixels())), name
+
+
+def test_margin_of_a_partition_is_what_it_receives(cat):
+    p = max(cat.get_healpix_pixels(), key=lambda p: cat.margin.df.where((F.col("__norder") == p.order) & (F.col("__npix") == p.pixel)).count())
+    margin = cat.get_partition(*p).margin
+    rows = margin.df.collect()
+    assert rows and all((r["__norder"], r["__npix"]) == p for r in rows)
+    lo, hi = hp.pixel_range(*p)
+    assert not any(lo <= r["_healpix_29"] < hi for r in rows)
+
+
+def test_head_visits_the_first_files(stored, cat):
+    assert stored.head(3).id.tolist() == cat.head(3).id.tolist() and stored.tail(3).id.tolist() == cat.tail(3).id.tolist()
+    assert len(stored.query("mag > 22").head(1000)) == cat.query("mag > 22").count()
+
+
+def test_id_search_needs_an_index(cat, frame):
+    with pytest.raises(TypeError, match="no index"):
+        cat.id_search({"id": 3})
+    found = cat.id_search({"id": [3, 5]}, {"id": cat.build_index("id")})
+    assert sorted(r.id for r in found.df.collect()) == [3, 5] and found.npartitions <= 2
+
+
+def test_membership_in_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    for n, order in ((50, 29), (10_000, 29), (3_000, 13)):
+        step = 2 * (29 - order)
+        edges = np.sort(rng.choice(1 << 40, 2 * n, replace=False)) << 20 >> step
+        moc = Moc((int(a) << step, int(b) << step) for a, b in edges.reshape(-1, 2) if a < b)
+        inside = sum(((b - 1) - ((a - 1))) for a, b in moc.ranges)
+        assert sum((1 << 2 * (29 - o)) * len(p) for o, p in moc.cells().items()) == inside
+        values = np.r_[edges, edges - 1, edges + 1, rng.integers(0, 12 << (2 * order), 3000)]
+        frame = spark.createDataFrame(pd.DataFrame({"i": values}))
+        got = {r.i for r in frame.where(moc.contains("i", order)).collect()}
+        ends = np.array([x for r in moc.ranges for x in r]) >> step
+        assert got == {int(v) for v in values if np.searchsorted(ends, v, side="right") % 2}
+
+
+def test_moc_of_cells():
+    for cells in ([], [3], [3, 4, 5, 9], [0, 2, 3, 47]):
+        assert Moc.from_cells(1, np.array(cells, int)) == Moc.from_pixels((1, c) for c in cells)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_asof_against_brute_force(spark, direction):
+    rng = np.random.default_rng(8)
+    make = lambda n, name, s: skygrid.from_dataframe(pd.DataFrame({"id": np.arange(n), "ra": rng.uniform(40, 80, n), "dec": rng.uniform(-20, 40, n)}), catalog_name=name, margin_threshold=None, lowest_order=s, highest_order=3)
+    left, right = make(300, "l", 0), make(60, "r", 1)
+    got = {r.id_l: r.id_r for r in left.merge_asof(right, direction, suffix_method="all_columns").df.collect()}
+    place = lambda c: sorted((r["_healpix_29"], r.id) for r in c.df.collect())
+    rights, want = place(right), {}
+    for h, i in place(left):
+        home = [p for p in right.get_healpix_pixels() if hp.pixel_range(*p)[0] <= h < hp.pixel_range(*p)[1]]
+        if not home:
+            continue
+        lo, hi = hp.pixel_range(*home[0])
+        here = [(x, j) for x, j in rights if lo <= x < hi and (direction == "nearest" or (x <= h if direction == "backward" else x >= h))]
+        want[i] = min(here, key=lambda t: (abs(t[0] - h), t[0] > h))[1] if here else None
+    assert got == want and sum(v is not None for v in want.values()) > 100
+
+
+def test_asof_reads_no_frame_ahead(spark, cat):
+    """Both ways are running windows: a frame that ends at the last row is
+    evaluated anew for each row."""
+    plan = cat.merge_asof(cat, "nearest", suffix_method="all_columns").df._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
 def test_association_round_trip(cat, tmp_path):
     links = cat.crossmatch(cat, radius_arcsec=5.0, suffixes=("_a", "_b"), suffix_method="all_columns")
     links.to_association(
