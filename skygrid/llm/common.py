@@ -67,7 +67,17 @@ def materialise(df: DataFrame, outer: bool = False) -> DataFrame:
     tables = spark.sparkContext._skygrid_tables
     tables[max(0, len(tables) - 1 - outer)].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skygrid_table = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``materialise``d frame that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = getattr(df, "_skygrid_table", None)
+    if path is not None:
+        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), [path])
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -83,6 +93,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def all_columns(df: DataFrame) -> list:
+    """The columns of ``df`` as they are, dots and quotes in names included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name (its own lookup fails on dots):
+    ``run`` gets them by position."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def docs_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table; null texts become empty. Other
     columns, whatever their names, are left out of the plan."""
@@ -129,4 +150,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-__all__ = ["checkpoint", "components", "docs_of", "free_name", "materialise", "scratch", "scratch_dir", "ship", "table"]
+__all__ = ["all_columns", "checkpoint", "components", "discard", "docs_of", "free_name", "map_rows", "materialise", "scratch", "scratch_dir", "ship", "table"]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import docs_of, ship, table
+from .common import docs_of, map_rows, ship, table
 from .passages import gram_hashes, mix
 
 MIN_WORDS = 5
@@ -323,10 +323,12 @@ MATCH = "doc_id long, item_id long, distance int, item_words int, start int, end
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
     """One row for each document and item found in it (its nearest passage).
 
-    Items below five words are found by the same words in a row, without edits.
-    Null and empty texts hold no item;
-    rows that repeat a doc_id are searched each on their own; an empty table
-    gives no rows; extra columns are ignored.
+    Items below five words are found by the same words in a row, without edits;
+    items without words are in no document. Of passages at equal distance one is
+    reported. Null and empty texts hold no item; texts are read whole, however
+    long; rows that repeat a doc_id, or have none, are searched each on their own,
+    and so are repeated items; an empty table on either side gives no rows; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -351,10 +353,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 
 
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "contaminated", similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
-    """``docs`` with all its rows and columns and a flag: holds some item."""
+    """``docs`` with all its rows and columns and a flag, which must be a new name:
+    holds some item. Null and empty texts hold none; repeated rows are flagged
+    alike; an empty table stays empty, and no item flags no row."""
     spark = docs.sparkSession
     ship(spark)
-    at, names = docs.columns.index("text"), docs.columns
+    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField(column, BooleanType())])
     out = docs.withColumn(column, F.lit(False))
     for index in item_blocks(benchmark, block_words, similarity=similarity, recall=recall):
         shared = spark.sparkContext.broadcast(index)
@@ -362,14 +366,14 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "cont
         def run(batches, shared=shared):
             idx = shared.value
             for b in batches:
-                old = b.column(len(names)).to_pylist()
+                old = b.column(b.num_columns - 1).to_pylist()
                 new = []
                 for lo, hi in _groups(b.column(at)):
                     got = idx.search([t or "" for t in b.column(at)[lo:hi].to_pylist()])
                     new += [f or bool(ms) for f, ms in zip(old[lo:hi], got)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, pa.bool_())], names=b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, pa.bool_())], names=schema.names)
 
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, BooleanType())]))
+        out = map_rows(out, run, schema)
     return out
 
 

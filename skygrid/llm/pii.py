@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 # Each pattern starts only where a match of its kind can start and never scans
 # a run of its characters twice, so it is linear in the text.
@@ -128,8 +128,10 @@ def with_spans(docs: DataFrame, column: str = "pii_spans") -> DataFrame:
     """``docs`` with an array of (rank, kind, start, end, score) structs, sorted
     by kind and start; offsets are code points, end exclusive.
 
-    Null and empty texts have no spans; every input row gives one row, repeats
-    and extra columns included; an empty table stays empty.
+    Null and empty texts have no spans; texts of any length are read whole, each
+    pattern in time linear in them; spans of different kinds may overlap, and of
+    equal starts the kinds come in their order; every input row gives one row,
+    repeats and extra columns included; an empty table stays empty.
     """
     each = docs.withColumn(column, F.struct(*[_spans(k, p).alias(k) for k, p in PATTERNS.items()]))
     return each.withColumn(column, F.concat(*[F.col(column)[k] for k in KINDS]))
@@ -137,10 +139,12 @@ def with_spans(docs: DataFrame, column: str = "pii_spans") -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with every span replaced by ``[KIND]``;
-    overlapping spans become one mark. Rows without spans keep their text."""
-    found = with_spans(docs, "__pii")
+    overlapping spans become one mark, that of the first. Rows without spans, null
+    and empty texts keep their text; repeated rows and an empty table stay."""
+    mark = free_name(docs, "pii")
+    found = with_spans(docs, mark)
     text = F.col("text")
-    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(F.col(mark), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc, s):
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
@@ -153,7 +157,7 @@ def redact(docs: DataFrame) -> DataFrame:
         step,
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return found.withColumn("text", F.when(F.size("__pii") > 0, built).otherwise(text)).drop("__pii")
+    return found.withColumn("text", F.when(F.size(F.col(mark)) > 0, built).otherwise(text)).drop(mark)
 
 
 def _listed(spans: Column) -> Column:

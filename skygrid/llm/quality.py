@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import docs_of, ship, table
+from .common import docs_of, map_rows, ship, table
 
 PAIRS, TRIPLES, SHAPES = 1024, 2048, 12
 TERMS = PAIRS + TRIPLES + SHAPES
@@ -114,7 +114,9 @@ def fit(x: np.ndarray, y: np.ndarray, dims: int = 64, neighbours: int = 15, powe
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, column: str = "quality") -> Model:
     """Fit on at most ``sample`` labelled rows outside the held-out fold
-    (crc32 of the doc_id as text modulo 5 is 0); null labels are left out."""
+    (crc32 of the doc_id as text modulo 5 is 0); null labels and rows without
+    doc_id are left out. A document labelled twice counts once for each label; of
+    rows that repeat a doc_id any may serve. Without labelled rows every score is 0.5."""
     ship(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -136,15 +138,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, column: str =
     return fit(x, np.array([r["label"] for r in rows], np.float64))
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``quality_score`` (0 to 1) added; every row is
-    kept with all its columns. Null text scores as empty text; an empty table
-    stays empty; the score depends on the text alone."""
+def scores(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """``docs`` with a column of scores (0 to 1) added, which must be a new name;
+    every row is kept with all its columns, repeated rows each. Null text scores
+    as empty text; texts are read whole, however long; neighbours of equal
+    similarity beyond the last place are taken as they come; an empty table stays
+    empty; the score depends on the text alone."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(batches):
         m = shared.value
@@ -155,9 +159,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 part = text[lo : lo + 512]
                 got.append(m.score(np.array([terms(t.as_py() or "") for t in part], np.float32).reshape(-1, TERMS)))
             s = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import components, materialise, ship
+from .common import all_columns, components, free_name, map_rows, materialise, ship
 from .passages import gram_hashes, mix
 
 ROWS = 6  # hashes of a band
@@ -138,26 +138,27 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with all columns of ``docs``: the
     one of the smallest doc_id (of rows that repeat it with one set of shingles,
-    any one). Texts without words are copies of each other. Rows without doc_id
-    are not compared and stay."""
+    any one). Texts without words, null ones too, are copies of each other. Rows
+    without doc_id are not compared and stay; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
     at, bands = docs.columns.index("text"), bands_for(similarity)
+    name, keys = free_name(docs, "set"), free_name(docs, "keys")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType()), StructField(keys, ArrayType(LongType()))])
 
     def prepare(batches):
         for b in (b[k : k + 1000] for b in batches for k in range(0, b.num_rows, 1000)):
             sets = [shingles(t.as_py() or "", shingle) for t in b.column(at)]
             names = np.array([name_of(s) for s in sets], np.uint64)
             full = [s for s in sets if len(s)]
-            keys = band_keys(full, bands) if full else np.zeros((0, bands), np.uint64)
+            drawn = band_keys(full, bands) if full else np.zeros((0, bands), np.uint64)
             ends = np.cumsum([0] + [bands * bool(len(s)) for s in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), lists], names=[*b.schema.names, "__set", "__keys"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(drawn.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), lists], names=schema.names)
 
-    extra = [StructField("__set", LongType()), StructField("__keys", ArrayType(LongType()))]
-    marked = materialise(docs.mapInArrow(prepare, StructType([*docs.schema.fields, *extra])))
-    prints = marked.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    distinct = materialise(prints.groupBy("__set").agg(F.min("doc_id").alias("low"), F.first("__keys").alias("keys")))
+    marked = materialise(map_rows(docs, prepare, schema))
+    prints = marked.where("doc_id is not null").select(F.col(name).alias("node"), F.col("doc_id").cast("long").alias("low"), "text", F.col(keys).alias("keys"))
+    distinct = materialise(prints.groupBy("node").agg(F.min("low").alias("low"), F.first("keys").alias("keys")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def stars(batches):
@@ -172,11 +173,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
         edges = np.unique(np.stack([node[~first], low[~first]]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["u", "v"])
 
-    keyed = distinct.select(F.explode("keys").alias("key"), F.col("__set").alias("node")).repartition(n, "key")
+    keyed = distinct.select(F.explode("keys").alias("key"), "node").repartition(n, "key")
     groups = components(keyed.mapInArrow(stars, "u long, v long"))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own there
-    members = distinct.select("__set", "low").join(groups.withColumnRenamed("node", "__set"), "__set")
-    texts = prints.select("__set", F.col("doc_id").alias("low"), "text").join(members, ["__set", "low"])
+    members = distinct.select("node", "low").join(groups, "node")
+    texts = prints.select("node", "low", "text").join(members, ["node", "low"])
 
     def losers(batches):
         rows = {}
@@ -190,9 +191,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
             for k, (name, (low, _)) in zip(label.tolist(), group.items()):
                 best[k] = min(best.get(k, (low, name)), (low, name))
             out += [name for k, name in zip(label.tolist(), group) if best[k][1] != name]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["__set"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
 
-    gone = texts.select("root", "__set", "low", "text").repartition(n, "root").mapInArrow(losers, "__set long")
-    first = distinct.select("__set", F.col("low").alias("doc_id")).join(materialise(gone), "__set", "left_anti")
-    kept = marked.join(first, ["doc_id", "__set"], "left_semi").dropDuplicates(["doc_id", "__set"])
-    return kept.select(docs.columns).unionByName(marked.where("doc_id is null").select(docs.columns))
+    gone = texts.select("root", "node", "low", "text").repartition(n, "root").mapInArrow(losers, "node long")
+    first = distinct.select("node", "low").join(materialise(gone), "node", "left_anti")
+    first = first.select(F.col("node").alias(name), F.col("low").alias("doc_id"))
+    kept = marked.join(first, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return kept.select(all_columns(docs)).unionByName(marked.where("doc_id is null").select(all_columns(docs)))

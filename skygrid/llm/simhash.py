@@ -11,7 +11,9 @@ query. So beyond ``shard_rows`` fingerprints the shards are dealt by pigeonhole:
 of radius + 1 blocks of bits, two fingerprints that differ in at most ``radius``
 bits agree on one, so they meet in a shard keyed by the first bits of that
 block, as many as bring shards down to ``shard_rows``. A shard that is still
-larger takes the rest of its block, then further blocks. Trees stay where their
+larger takes the rest of its block, then further bits, and what these do not part
+(a great many fingerprints within a few bits) is cut into slices that are searched
+pair by pair. Trees stay where their
 shard is: to broadcast them, the driver would have to gather the fingerprints of
 all documents. A shard reports a spanning forest of its links, never all pairs.
 """
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, docs_of, free_name, materialise, ship, table
+from .common import all_columns, components, docs_of, free_name, map_rows, materialise, ship, table
 
 SHARD_ROWS = 16_384
+ROUNDS = 3
 _ALL = (1 << 64) - 1
 
 
@@ -131,15 +134,17 @@ class Labels:
             self.of = parent[self.of]
 
 
-def forest(values: np.ndarray, radius: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+def forest(values: np.ndarray, radius: int, queries: np.ndarray | None = None, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
     """Links (value, representative) that connect what the radius connects, and
-    the number of tree nodes visited."""
-    labels, tree = Labels(len(values)), BKTree(values)
-    for at in range(0, len(values), batch):
-        for q, m in tree.search(values[at : at + batch], radius):
+    the number of tree nodes visited: a tree of ``values`` searched with ``queries``
+    (others than the values; by default the values themselves)."""
+    tree, every = BKTree(values), values if queries is None else np.r_[values, queries]
+    labels, skip = Labels(len(every)), len(every) - (len(values) if queries is None else len(queries))
+    for at in range(skip, len(every), batch):
+        for q, m in tree.search(every[at : at + batch], radius):
             labels.link(q + at, m)
-    odd = labels.of != np.arange(len(values))
-    return values[odd], values[labels.of[odd]], tree.visited
+    odd = labels.of != np.arange(len(every))
+    return every[odd], every[labels.of[odd]], tree.visited
 
 
 def _signed(x: int) -> int:
@@ -178,7 +183,7 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, vi
     keyed = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     done = None
-    while True:  # each round uses up bits of the key, at most 64
+    for _ in range(ROUNDS):
         hot = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows).select("mask", "key")
         here = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks, not keys: a fixed number
         if not here:
@@ -190,39 +195,47 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, vi
         finer = F.create_map(*[x for m in here for x in (F.lit(m), F.array(*[F.lit(_signed(k)) for k in refine(m & _ALL, radius)]))])
         keyed = tagged.where("hot").select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
         keyed = materialise(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
-    shards = keyed if done is None else done.unionByName(keyed)
+    # what no key parts is cut into slices; each pair of them is a shard, one the tree and one the queries
+    large = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
+    cut = keyed.join(large, ["mask", "key"], "left").withColumn("slices", F.coalesce(F.ceil(F.col("n") / shard_rows), F.lit(1)).cast("int"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cut = cut.select("fp", "mask", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("query"))
+    if done is not None:
+        cut = cut.unionByName(done.select("fp", "mask", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("query")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        for fp in keyed_groups(batches):
+        for fp, query in keyed_groups(batches):
             if len(fp) > 1:
-                u, v, seen = forest(np.sort(fp.view(np.uint64)), radius)
+                fp = fp.view(np.uint64)
+                u, v, seen = forest(np.sort(fp[~query]), radius, fp[query] if query.any() else None)
                 if visits is not None:
                     visits.add(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    dealt = shards.select("fp", "mask", "key").repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(run, "u long, v long")
+    key = ["mask", "key", "a", "b"]
+    return cut.select("fp", *key, "query").repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
 
 def keyed_groups(batches):
-    """The values of each key of batches (value, mask, key) sorted by key: one
-    shard in memory at a time."""
+    """(values, query marks) of each key of batches (value, key columns, mark)
+    sorted by key: one shard in memory at a time."""
     held, last = [], None
     for b in batches:
-        fp, mask, key = (b.column(i).to_numpy() for i in range(3))
-        if not len(fp):
+        if not b.num_rows:
             continue
-        cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
+        fp, *key, query = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns))
+        cuts = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in key])) + 1
         for s, e in zip([0, *cuts], [*cuts, len(fp)]):
-            name = mask[s], key[s]
+            name = [c[s] for c in key]
             if held and name != last:
-                yield np.concatenate(held)
+                yield tuple(map(np.concatenate, zip(*held)))
                 held = []
             last = name
-            held.append(fp[s:e])
+            held.append((fp[s:e], query[s:e]))
     if held:
-        yield np.concatenate(held)
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def component_of(prints: DataFrame, radius: int, visits=None) -> DataFrame:
@@ -262,18 +275,19 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     compared and stay; an empty table gives no rows."""
     ship(docs.sparkSession)
     at, mark = docs.columns.index("text"), free_name(docs, "simhash")
+    schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, mark])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=schema.names)
 
-    marked = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType())])))
+    marked = materialise(map_rows(docs, run, schema))
     prints = marked.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp"))
     first = component_of(prints, radius).where("low = component_id").groupBy("root", "component_id").agg(F.min("fp").alias(mark)).drop("root")
     first = first.withColumnRenamed("component_id", "doc_id")
     kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
-    return kept.select(docs.columns).unionByName(marked.where("doc_id is null").select(docs.columns))
+    return kept.select(all_columns(docs)).unionByName(marked.where("doc_id is null").select(all_columns(docs)))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

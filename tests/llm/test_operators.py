@@ -408,21 +408,39 @@ def test_components_on_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 51: 50}
 
 
+def brute_links(vecs, cosine=0.95):
+    """(links, smallest row number reachable) of every vector."""
+    n, links, label = len(vecs), np.zeros(len(vecs), int), np.arange(len(vecs))
+    near = np.zeros((n, n), bool)
+    for d in {len(v) for v in vecs}:
+        at = np.array([i for i, v in enumerate(vecs) if len(v) == d])
+        x = np.array([vecs[i] for i in at], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near[np.ix_(at, at)] = x @ x.T >= cosine
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    np.fill_diagonal(near, True)
+    while (low := np.where(near, label[None], n).min(1)).tolist() != label.tolist():
+        label = low
+    return links, label
+
+
+def same_as_brute(got, vecs):
+    links, label = brute_links(vecs)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], label[i], label[i] == i) for i in range(len(vecs))}
+    return links
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
     near = base[rng.integers(0, 40, 80)] + rng.normal(scale=0.08, size=(80, 16))
     vecs = [v.astype(np.float32).tolist() for v in np.r_[base, near, near[:5]]]
-    rows = [(i, v, 0) for i, v in enumerate(vecs)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0] * 3, 0)]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=16).collect()}
-    x = np.array(vecs)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    link = x @ x.T >= 0.95
-    np.fill_diagonal(link, False)
-    label = brute_components(range(len(x)), lambda a, b: link[a, b])
-    for i in range(len(x)):
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), label[i], label[i] == i)
-    for i in range(900, 905):
+    rows = [(i, v, 0) for i, v in enumerate(vecs)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0] * 3, 0), (905, [], 0), (906, [float("inf")] + [1.0] * 15, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("node", "x", "low", "copies", "kept", "e", "ok")})
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, tile=16, leaf_rows=8).collect()}
+    same_as_brute([got[i] for i in range(len(vecs))], vecs)
+    for i in range(900, 907):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -432,11 +450,41 @@ def test_embeddings_of_several_lengths(spark):
     vecs = [rng.normal(size=d).tolist() for d in (16,) * 6 + (8,) * 3 + (2,)]
     vecs += [vecs[6], vecs[6], vecs[0], vecs[9], vecs[9] + [0.0] * 6]
     docs = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
-    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
-    link = np.array([[i != j and len(a) == len(b) and cos(a, b) >= 0.95 for j, b in enumerate(vecs)] for i, a in enumerate(vecs)])
-    label = brute_components(range(len(vecs)), lambda a, b: link[a, b])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(docs).collect()}
-    assert got == {i: (link[i].sum(), label[i], label[i] == i) for i in range(len(vecs))} and got[10][0] == 2
+    assert same_as_brute(embeddings.near_duplicates(docs).collect(), vecs)[10] == 2
+
+
+def test_embeddings_at_the_threshold(spark):
+    """Pairs of exactly the threshold in every direction, and pairs a hair below."""
+    s = np.sqrt(1 - 0.95**2)
+    vecs = []
+    for k in range(0, 16, 2):
+        a, b, c = np.zeros(16), np.zeros(16), np.zeros(16)
+        a[k], b[k], b[k + 1], c[k], c[k + 1] = 1, 0.95, s, 0.95 - 1e-9, -s
+        vecs += [a.tolist(), b.tolist(), c.tolist()]
+    links, _ = brute_links(vecs)
+    assert same_as_brute(embeddings.near_duplicates(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")).collect(), vecs).sum() == links.sum() >= 16
+
+
+def test_embeddings_in_many_leaves_and_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 24))
+    x = np.r_[rng.normal(size=(1500, 24)), centres[rng.integers(0, 12, 1500)] + rng.normal(scale=0.25, size=(1500, 24)), centres[0] + rng.normal(scale=0.1, size=(300, 24))]
+    vecs = x.astype(np.float32).tolist()
+    monkeypatch.setattr(embeddings.math, "isqrt", lambda n: 1)  # leaves as for far more rows
+    monkeypatch.setattr(embeddings, "SMALL", 32)
+    seen = []
+    plan = embeddings.plan_tiles
+    monkeypatch.setattr(embeddings, "plan_tiles", lambda d, space, tile: seen.append(space) or plan(d, space, tile))
+    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>"), tile=200, leaf_rows=100).collect()
+    assert same_as_brute(got, [np.float64(v) for v in x.astype(np.float32)]).max() > 200
+    tree = seen[0].trees[0]
+    assert len(tree.lo) == 64 and np.isfinite(tree.least[tree.least <= tree.most]).all()  # exact boxes
+
+
+def test_repeated_and_missing_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0]), (3, [1e200, 1e198]), (4, [-0.0, -1.0])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("1", 1, "1"), ("1", 2, "1"), ("2", 1, "1"), ("3", 2, "1"), ("4", 0, "4"), ("None", 0, "None"), ("None", 2, "1")]
 
 
 # ---- decontamination, licences, personal data -------------------------------------------
@@ -518,6 +566,62 @@ def test_leaks_at_the_allowed_distance(n):
     assert np.mean([any(m[0] == i for m in got) for i, got in enumerate(index.search(texts))]) >= 0.95
 
 
+def edited(w, n, rng, pool):
+    """n random edits of a word list: words replaced, put in or left out."""
+    w = list(w)
+    for _ in range(n):
+        kind, j = rng.randrange(3), rng.randrange(len(w))
+        if kind == 0:
+            w[j] = rng.choice(pool)
+        elif kind == 1:
+            w.insert(j, rng.choice(pool))
+        else:
+            del w[j]
+    return w
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_items_in_documents_against_brute_force(spark, share):
+    """Every item against every document by exact edit distance of its best
+    passage: nothing else is found, and of what is there at least 0.9."""
+    d = "/root/testdata/sf0.01"
+    rng = random.Random(int(share * 100))
+    items = [(r.item_id, r.text) for r in common.table(spark, d, "benchmark").orderBy("item_id").limit(60).collect()]
+    texts = [r.text for r in common.table(spark, d, "documents").where("length(text) between 300 and 1500").orderBy("doc_id").limit(80).collect()]
+    pool = [w for t in texts[:20] for w in t.split()] + ["odd", "strange", "word"]
+    rows = list(enumerate(texts))
+    for n, (_, t) in enumerate(items):
+        w = t.split()
+        at = rng.randrange(1, 60)
+        host = texts[n % len(texts)].split()
+        rows.append((1000 + n, " ".join(host[:at] + edited(w, int(share * len(w)), rng, pool) + host[at:])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.find_items(docs, bench).collect()}
+    number: dict = {}
+    names = lambda t: [number.setdefault(w, len(number) + 1) for w in decontamination.words_of(t)]
+    want = {}
+    for i, t in items:
+        p = names(t)
+        for k, text_ in rows:
+            e, _, _ = decontamination.best_passage(p, names(text_))
+            if e <= int(0.2 * len(p) + 1e-9):
+                want[k, i] = e
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(want) >= len(items) and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_decontamination_edge_tables(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    far = "x " * 120_000 + item + " y" * 50
+    rows = [(1, item), (1, item), (None, item), (2, None), (3, ""), (4, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("item_id", "contaminated", "_contaminated", "n", "distance")})
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item), (None, item), (9, "")], "item_id long, text string").withColumn("n", F.lit("x"))
+    got = sorted((str(r.doc_id), r.item_id, r.start) for r in decontamination.find_items(docs, bench).collect())
+    assert got == sorted(2 * [("1", 7, 0), ("1", 7, 0), ("1", 8, 0)] + [("None", 7, 0)] * 2 + [("None", 8, 0)] + [("4", 7, 120_000)] * 2 + [("4", 8, 120_000)])
+    flags = decontamination.flag_contaminated(docs, bench, "found")
+    assert flags.columns == [*docs.columns, "found"] and sorted(str(r.doc_id) for r in flags.where("found").collect()) == ["1", "1", "4", "None"]
+
+
 def test_tuning_reports_recall_out_of_reach():
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)]
     with pytest.warns(UserWarning, match="recall"):
@@ -544,6 +648,15 @@ def test_licenses(spark):
         assert stride <= window - top + 1
 
 
+def test_licenses_edge_tables(spark):
+    mit = licenses.TEMPLATES[3][1]
+    rows = [(1, mit), (1, mit), (None, mit), (2, "word " * 100_000 + mit), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("license", "w", "window", "words", "band", "template", "start")})
+    got = [(str(r.doc_id), r.license) for r in licenses.scan(docs).collect()]
+    assert set(got) == {("1", "MIT"), ("2", "MIT"), ("None", "MIT")} or set(got) == {("1", "MIT"), ("2", "MIT")}
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 PII = [
     "mail a.b+c@x-y.example.com, or d@e.f@g.h no", "a@b..c@d.e", "@@x@y.z.", "1.2.3.4.5.6.7.8 999.1.1.1 0255.1.2.3 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 5 41111111111111111111",
     "call +1 (555) 123-4567 or +44 20 7946 0958 +1-2 ++12345678", "é 🙂 x@y.io 🙂 10.0.0.1", "", None, "a" * 5000 + "@b.c", "1" * 5000, "x@y" + ".z" * 9000, "GB82 WEST 1234 5698 7654 32 GB83WEST12345698765432",
@@ -577,6 +690,14 @@ def test_pii(spark):
     assert clean[6] == "é 🙂 [EMAIL] 🙂 [IP]" and clean[8] is None and clean[7] == ""
 
 
+def test_pii_edge_tables(spark):
+    rows = [(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co"), (2, "z" * 200_000 + " a@b.co")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("pii", "_pii", "found", "kind", "start", "end")})
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and sorted(r.text[-9:] for r in clean.collect()) == ["[EMAIL]", "[EMAIL]", "[EMAIL]", "z [EMAIL]"]
+    assert clean.where("pii = 'x' and _pii = 'x'").count() == 4 and pii.redact(docs.limit(0)).count() == 0 and pii.with_spans(docs.limit(0)).count() == 0
+
+
 # ---- sharding, quality -------------------------------------------------------------------
 
 
@@ -645,6 +766,37 @@ def test_quality(spark, sf, docs, nothing):
     assert quality.train(table, labels.limit(0)).score(np.zeros((2, quality.TERMS), np.float32)).tolist() == [0.5, 0.5]
 
 
+def test_votes_against_brute_force(spark):
+    """Scores from the model's own vectors, neighbour by neighbour."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, d, "documents").select("doc_id", "text"), common.table(spark, d, "labels")
+    model = quality.train(docs, labels, sample=200)
+    assert len(model.vectors) == 200
+    # the labelled rows are those outside the held-out fold, by hash
+    fold = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id")).limit(200)
+    assert sorted(model.labels.tolist()) == sorted(float(r.quality) for r in fold.collect())
+    rows = docs.orderBy("doc_id").limit(150).collect()
+    got = {r.doc_id: r.s for r in quality.scores(docs, model, "s").where(F.col("doc_id").isin([r.doc_id for r in rows])).collect()}
+    held = [np.asarray(v, float) for v in model.vectors]
+    for r in rows:
+        z = ((quality.terms(r.text or "") - model.mean) * model.weight) @ model.axes
+        z = np.asarray(z, float) / max(np.linalg.norm(z), 1e-12)
+        near = sorted(((float(z @ v), float(y)) for v, y in zip(held, model.labels)), reverse=True)[: model.neighbours]
+        w = [max(c, 0.0) ** model.power for c, _ in near]
+        want = (sum(a * y for a, (_, y) in zip(w, near)) + 1e-6 * model.prior) / (sum(w) + 1e-6)
+        assert abs(got[r.doc_id] - want) < 1e-3
+
+
+def test_quality_edge_tables(spark):
+    rows = [(1, "some words here"), (1, "some words here"), (None, "some words here"), (2, None), (3, ""), (4, "long " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("quality_score", "label", "quality", "terms")})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (4, 0)], "doc_id long, quality int").withColumn("text", F.lit("x"))
+    model = quality.train(docs, labels)
+    out = quality.scores(docs, model, "s").collect()
+    assert len(out) == 6 and len({r.s for r in out if r.text == "some words here"}) == 1 and len({r.s for r in out if not r.text}) == 1
+    assert all(0 <= r.s <= 1 for r in out)
+
+
 def test_held_out_accuracy(spark):
     from skygrid.llm.quality import op7_quality
 
@@ -674,3 +826,39 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_nulls_and_clashing_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents").limit(60)
+    odd = spark.createDataFrame([(None, "no id at all", None, None, None), (5001, None, None, None, None), (5002, "", "en", "s", 0), (5003, "twice the same words in this text", "en", "s", 1), (5003, "twice the same words in this text", "en", "s", 1)], docs.schema)
+    names = ("quality_score", "score", "_score", "contaminated", "simhash", "set", "keys", "pii", "low", "node", "root", "a.b")
+    docs = docs.unionByName(odd).withColumns({c: F.lit("kept") for c in names})
+    for t in ("labels", "benchmark"):
+        common.table(spark, sf, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, out = seen, common.materialise(stage(spark, seen, str(tmp_path)))
+        assert out.columns == docs.columns and all(set(r) == {"kept"} for r in out.select([f"`{c}`" for c in names]).distinct().collect())
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "near_duplicates":
+            assert ids.count(5003) <= 1 and len([i for i in ids if i in (5001, 5002)]) <= 1
+        if name in ("decontamination", "personal_data"):
+            assert {5001, 5002, None} & {r.doc_id for r in before.select("doc_id").collect()} <= set(ids)
+        seen = out
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == seen.select("doc_id").distinct().count()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    with common.scratch(spark):
+        a, b = common.materialise(spark.range(3)), common.materialise(spark.range(4), outer=True)
+        assert a.count() == 3
+    here = lambda d: d._skygrid_table.removeprefix("file:")
+    assert not os.path.exists(here(a)) and b.count() == 4
+    common.discard(b)
+    assert not os.path.exists(here(b))
+    assert common.free_name(spark.range(1).selectExpr("id as Mark", "id as _mark"), "mark") == "__mark"
