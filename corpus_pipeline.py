@@ -12,28 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrid.llm import decontamination, packing, pii, quality, shingles
-from skygrid.llm.common import materialise, table
+from skygrid.llm.common import discard, free_name, materialise, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score below 0.3) go."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, model).where("quality_score >= 0.3").drop("quality_score")
+    """Documents that the quality classifier rejects (score below 0.3) go.
+
+    Null and empty texts are scored as empty ones; repeated rows and rows without
+    doc_id are scored each; columns of any name pass through.
+    """
+    model, score = quality.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "score")
+    return quality.scores(docs, model, score).where(F.col(score) >= 0.3).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8.
+
+    The one of the smallest doc_id; of repeated rows one stays, texts without
+    words, null ones too, are one group, and rows without doc_id all stay.
+    """
     return shingles.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    flagged = decontamination.flag_contaminated(docs, table(spark, sf_dir, "benchmark"), "__contaminated")
-    return flagged.where("not __contaminated").drop("__contaminated")
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; without items all rows stay.
+    """
+    mark = free_name(docs, "contaminated")
+    flagged = decontamination.flag_contaminated(docs, table(spark, sf_dir, "benchmark"), mark)
+    return flagged.where(~F.col(mark)).drop(mark)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to marks; every document stays."""
+    """Personal data gives way to marks; every document stays.
+
+    ``n_chars`` follows the new text, null for a null one.
+    """
     clean = pii.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,7 +56,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences; a null text is an empty one."""
     return packing.pack(docs).pieces.drop("part", "rank")
 
 
@@ -59,5 +74,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            out = materialise(stage(spark, docs, sf_dir), outer=True)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
