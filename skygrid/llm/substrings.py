@@ -43,6 +43,7 @@ from .passages import (
 
 GRAM = 16
 HOT_DOCS = 2000
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits before each bit
 
 
 class BitVector:
@@ -63,8 +64,7 @@ class BitVector:
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Number of ones before position i."""
         w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        return self.before.take(w) + np.bitwise_count(self.words.take(w) & BELOW.take(i & 63))
 
 
 class WaveletMatrix:
@@ -77,12 +77,11 @@ class WaveletMatrix:
 
     def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """Positions of [lo, hi) in the block of ``symbol`` after all levels."""
+        at, symbol = np.concatenate([lo, hi]), np.concatenate([symbol, symbol])
         for level, bv in self.levels:
-            one = ((symbol >> level) & 1).astype(bool)
-            l1, h1 = bv.ones(lo), bv.ones(hi)
-            lo = np.where(one, bv.zeros + l1, lo - l1)
-            hi = np.where(one, bv.zeros + h1, hi - h1)
-        return lo, hi
+            ones = bv.ones(at)
+            at = np.where((symbol >> level) & 1, ones + bv.zeros, at - ones)
+        return at[: len(lo)], at[len(lo) :]
 
 
 class Minima:
@@ -96,27 +95,29 @@ class Minima:
         while True:
             whole = np.zeros(-(-len(values) // self.WIDE) * self.WIDE, np.uint8)
             whole[: len(values)] = values
-            self.levels.append(whole)
+            self.levels.append(whole.reshape(-1, self.WIDE))
             if len(whole) == self.WIDE:
                 break
-            values = whole.reshape(-1, self.WIDE).min(1)
+            values = self.levels[-1].min(1)
         self.step = np.arange(self.WIDE)
 
     def seek(self, pos: np.ndarray, bound: np.ndarray, back: bool, level: int = 0) -> np.ndarray:
         """Last place up to (``back``), or first from, each position with a value
         below the bound; there must be one."""
-        base = pos // self.WIDE * self.WIDE
-        low = self.levels[level][base[:, None] + self.step] < bound[:, None]
-        side = self.step <= (pos - base)[:, None] if back else self.step >= (pos - base)[:, None]
-        out, none = self._pick(base, low & side, back)
-        if none.any():
-            up = self.seek(base[none] // self.WIDE + (-1 if back else 1), bound[none], back, level + 1) * self.WIDE
-            out[none], _ = self._pick(up, self.levels[level][up[:, None] + self.step] < bound[none][:, None], back)
+        block = pos // self.WIDE
+        low, at = self._low(level, block, bound), (pos - block * self.WIDE)[:, None]
+        low &= self.step <= at if back else self.step >= at
+        out, none = block * self.WIDE + self._pick(low, back), np.flatnonzero(~low.any(1))
+        if len(none):
+            up = self.seek(block[none] + (-1 if back else 1), bound[none], back, level + 1)
+            out[none] = up * self.WIDE + self._pick(self._low(level, up, bound[none]), back)
         return out
 
-    def _pick(self, base, low, back):
-        at = self.WIDE - 1 - low[:, ::-1].argmax(1) if back else low.argmax(1)
-        return base + at, ~low.any(1)
+    def _low(self, level, block, bound):
+        return self.levels[level].take(block, axis=0) < bound[:, None]
+
+    def _pick(self, low, back):
+        return self.WIDE - 1 - low[:, ::-1].argmax(1) if back else low.argmax(1)
 
 
 class FMIndex:
@@ -138,7 +139,7 @@ class FMIndex:
         self.n, self.k = len(text), k
         order, new, common = self._sort(text, k, levels)
         self.prefix = Minima(np.append(common, 0))
-        self.common = self.prefix.levels[0]
+        self.common = self.prefix.levels[0].ravel()
         self.begins = BitVector(new)
         self.groups = int(new.sum())  # k-strings, those cut short by the end included
         self.home = np.empty(self.n, np.int32)
@@ -214,7 +215,7 @@ class FMIndex:
         some = depth > 0
         a, b = np.zeros_like(lo), np.full_like(hi, self.n)
         if some.any():
-            bound = depth[some]
+            bound = depth[some].astype(np.uint8)
             a[some] = self.prefix.seek(lo[some], bound, True)
             b[some] = self.prefix.seek(hi[some], bound, False)
         return a, b, depth.astype(np.int64)
@@ -328,14 +329,15 @@ def split_stretches(raw: np.ndarray, lens, windows, k) -> tuple[np.ndarray, np.n
     that share a window's hash, the first is indexed, the others are streamed.
     Those that share none, met by chance of one anchor only, need neither."""
     h = gram_hashes(raw.astype(np.uint64) + np.uint64(1), k)[_ranges(np.cumsum(lens) - lens, windows)]
-    owner = np.repeat(np.arange(len(lens)), windows)
-    order = np.argsort(h, kind="stable")  # equal hashes in the order of stretches
-    s, who = h[order], owner[order]
-    new = np.r_[True, s[1:] != s[:-1]]
-    several = ~(new & np.r_[new[1:], True])
     index, use = np.zeros(len(lens), bool), np.zeros(len(lens), bool)
-    index[who[new & several]] = True
-    use[who[several]] = True
+    s = np.sort(h)
+    twice = s[1:][s[1:] == s[:-1]]
+    if len(twice):
+        at = np.flatnonzero(twice.take(np.minimum(np.searchsorted(twice, h), len(twice) - 1)) == h)
+        who = np.repeat(np.arange(len(lens)), windows)[at]
+        _, first = np.unique(h[at], return_index=True)
+        index[who[first]] = True
+        use[who] = True
     return index, use & ~index
 
 
