@@ -1,14 +1,17 @@
-"""Near copies by exact shingle similarity.
+"""Exact shingle similarity behind the SimHash operator.
 
 Texts are sets of word shingles; two link if their sets' Jaccard similarity
 reaches a threshold, and links chain. Equal sets are first reduced to one.
-Min-hash bands find the candidates: at the threshold a pair shares no band key
-with probability ``MISS`` at most. Texts joined by shared keys, chained, form a
-group that holds every component of its members whole, so each group's texts
-are sent to one task once. There the links are decided exactly: shingles in
-order of their frequency in the group, rare first, and an index over each set's
-prefix, which two sets at the threshold must share; sets already reached leave
-the index, so a group of many copies costs no pairs of them.
+SimHash fingerprints of the sets that differ in few bits are candidates (BK-trees,
+see ``simhash``). Sets of similarity 0.8 differ in some ten of 64 bits, and within
+such a radius a tree leaves nothing out; so min-hash bands add candidates: at the
+threshold a pair shares no band key with probability ``MISS`` at most. Texts
+joined by candidates, chained, form a group that holds every component of its
+members whole, so each group's texts are sent to one task once. There the links
+are decided exactly: shingles in order of their frequency in the group, rare
+first, and an index over each set's prefix, which two sets at the threshold must
+share; sets already reached leave the index, so a group of many copies costs no
+pairs of them.
 
 Scale. A key row is two numbers; a bucket reports a star, never pairs. A group's
 texts must fit a task, which bounds the size of one chain of candidates.
@@ -27,6 +30,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import all_columns, components, free_name, map_rows, materialise, ship
 from .passages import gram_hashes, mix
+from .simhash import links, majority
 
 ROWS = 6  # hashes of a band
 MISS = 1e-5
@@ -135,7 +139,7 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """One row of each group of near copies, with all columns of ``docs``: the
     one of the smallest doc_id (of rows that repeat it with one set of shingles,
     any one). Texts without words, null ones too, are copies of each other. Rows
@@ -143,8 +147,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     spark = docs.sparkSession
     ship(spark)
     at, bands = docs.columns.index("text"), bands_for(similarity)
-    name, keys = free_name(docs, "set"), free_name(docs, "keys")
-    schema = StructType([*docs.schema.fields, StructField(name, LongType()), StructField(keys, ArrayType(LongType()))])
+    name, keys, print_ = free_name(docs, "set"), free_name(docs, "keys"), free_name(docs, "fingerprint")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType()), StructField(print_, LongType()), StructField(keys, ArrayType(LongType()))])
 
     def prepare(batches):
         for b in (b[k : k + 1000] for b in batches for k in range(0, b.num_rows, 1000)):
@@ -154,11 +158,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
             drawn = band_keys(full, bands) if full else np.zeros((0, bands), np.uint64)
             ends = np.cumsum([0] + [bands * bool(len(s)) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(drawn.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), lists], names=schema.names)
+            prints = np.array([majority([s]) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), pa.array(prints.view(np.int64)), lists], names=schema.names)
 
     marked = materialise(map_rows(docs, prepare, schema))
-    prints = marked.where("doc_id is not null").select(F.col(name).alias("node"), F.col("doc_id").cast("long").alias("low"), "text", F.col(keys).alias("keys"))
-    distinct = materialise(prints.groupBy("node").agg(F.min("low").alias("low"), F.first("keys").alias("keys")))
+    prints = marked.where("doc_id is not null").select(F.col(name).alias("node"), F.col("doc_id").cast("long").alias("low"), "text", F.col(print_).alias("fp"), F.col(keys).alias("keys"))
+    distinct = materialise(prints.groupBy("node").agg(F.min("low").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def stars(batches):
@@ -174,7 +179,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["u", "v"])
 
     keyed = distinct.select(F.explode("keys").alias("key"), "node").repartition(n, "key")
-    groups = components(keyed.mapInArrow(stars, "u long, v long"))
+    # fingerprints within the radius: the sets of one hang on the first of them, and the firsts on each other
+    named = distinct.where(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("first"))
+    near = links(named.select("fp"), radius)
+    ends = near.join(named.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(named.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    same = distinct.where(F.size("keys") > 0).join(named, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    found = keyed.mapInArrow(stars, "u long, v long").unionByName(same).unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = components(found)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own there
     members = distinct.select("node", "low").join(groups, "node")
     texts = prints.select("node", "low", "text").join(members, ["node", "low"])

@@ -46,14 +46,21 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         grams = [b" ".join(words)]
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(grams), 65536):
-        part = grams[at : at + 65536]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part)) for part in _parts(grams))
+
+
+def _parts(grams, size: int = 65_536):
+    return (grams[at : at + size] for at in range(0, len(grams), size))
+
+
+def majority(hashes) -> int:
+    """The bits set in over half of all hashes, given in parts."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    on = np.packbits(counts * 2 > len(grams), bitorder="little")
-    return int(on.view(np.uint64)[0])
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -268,11 +275,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, visits=N
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``: the
     one of the smallest doc_id (of rows that repeat it with one fingerprint,
     any one). Null and empty texts are one group. Rows without doc_id are not
-    compared and stay; an empty table gives no rows."""
+    compared and stay; an empty table gives no rows.
+
+    With ``similarity``, links are texts whose sets of shingles are that similar
+    (Jaccard), verified exactly: fingerprints within the radius are candidates, and
+    so are texts too far apart for a radius that trees can search (``shingles``)."""
+    if similarity is not None:
+        from . import shingles
+
+        return shingles.keep_one(docs, shingle, similarity, radius)
     ship(docs.sparkSession)
     at, mark = docs.columns.index("text"), free_name(docs, "simhash")
     schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
