@@ -1,7 +1,7 @@
 """A corpus pipeline over the operators of ``skygrid.llm``.
 
 Five stages, each on all that its predecessor kept: quality classifier,
-near copies by shingle similarity, benchmark decontamination, personal data, packing.
+SimHash near copies, benchmark decontamination, personal data, packing.
 Every stage but the last returns the columns of ``documents``; rows keep nulls
 in other columns, and an empty table passes through as an empty table.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import decontamination, packing, pii, quality, shingles
+from skygrid.llm import decontamination, packing, pii, quality, simhash
 from skygrid.llm.common import discard, free_name, materialise, scratch, table
 
 
@@ -26,12 +26,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8.
+    """One document of each group of near copies stays: SimHash over five-word
+    shingles, links verified at a similarity of 0.8.
 
     The one of the smallest doc_id; of repeated rows one stays, texts without
     words, null ones too, are one group, and rows without doc_id all stay.
     """
-    return shingles.keep_one(docs, shingle=5, similarity=0.8)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
