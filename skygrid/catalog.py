@@ -76,11 +76,12 @@ class Stored:
     """How a dataset came from its files: what opens those of given pixels, and
     the functions applied since. A search opens the files again, those it needs."""
 
-    def __init__(self, opened, steps=()):
-        self.opened, self.steps = opened, tuple(steps)
+    def __init__(self, opened, steps=(), statistics: str | None = None):
+        """``statistics``: the table of the stored rows' statistics by pixel."""
+        self.opened, self.steps, self.statistics = opened, tuple(steps), statistics
 
     def then(self, fn) -> Stored:
-        return Stored(self.opened, (*self.steps, fn))
+        return Stored(self.opened, (*self.steps, fn), self.statistics)
 
     def frame(self, pixels) -> DataFrame:
         df = self.opened(pixels)
@@ -90,23 +91,39 @@ class Stored:
 
     def only(self, pixels) -> Stored:
         kept = set(pixels)
-        return Stored(lambda asked: self.opened([p for p in asked if p in kept]), self.steps)
+        return Stored(lambda asked: self.opened([p for p in asked if p in kept]), self.steps, self.statistics)
 
 
 class HealpixDataset:
     """Base of all datasets: ``df``, ``info``, pixels and coverage."""
 
-    def __init__(self, df: DataFrame, info: CatalogInfo, pixels, moc: Moc | None = None, original_schema: StructType | None = None, stats_preserved: bool = True, stored: Stored | None = None):
-        self.df, self.info, self.stored = df, info, stored
+    def __init__(self, df: DataFrame | None, info: CatalogInfo, pixels, moc: Moc | None = None, original_schema: StructType | None = None, stats_preserved: bool = True, stored: Stored | None = None):
+        """``df`` may be left out for a stored dataset: its files are looked at
+        when rows are first asked for."""
+        self._df, self.info, self.stored = df, info, stored
         self.tree = PixelTree(pixels)
         self.moc = moc
         self.original_schema = original_schema or df.schema
         self.stats_preserved = stats_preserved
 
     # -- metadata ------------------------------------------------------------
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            self._df = self.stored.frame(self.tree.pixels)
+        return self._df
+
+    @property
+    def schema(self) -> StructType:
+        return self._shape().schema
+
+    def _shape(self) -> DataFrame:
+        """A frame of the same columns, which opens no data file."""
+        return self._df if self._df is not None else self.stored.frame([])
+
     @property
     def spark(self):
-        return self.df.sparkSession
+        return self._shape().sparkSession
 
     @property
     def name(self):
@@ -114,11 +131,11 @@ class HealpixDataset:
 
     @property
     def columns(self):
-        return [c for c in self.df.columns if c != self.info.healpix_column]
+        return [c for c in self.schema.names if c != self.info.healpix_column]
 
     @property
     def dtypes(self):
-        return dict(self.df.dtypes)
+        return dict(self._shape().dtypes)
 
     @property
     def all_columns(self):
@@ -126,11 +143,11 @@ class HealpixDataset:
 
     @property
     def nested_columns(self):
-        return [f.name for f in self.df.schema.fields if is_nested(f.dataType)]
+        return [f.name for f in self.schema.fields if is_nested(f.dataType)]
 
     @property
     def exploded_columns(self):
-        return self.columns + [f"{f.name}.{s.name}" for f in self.df.schema.fields if is_nested(f.dataType) for s in f.dataType.elementType.fields]
+        return self.columns + [f"{f.name}.{s.name}" for f in self.schema.fields if is_nested(f.dataType) for s in f.dataType.elementType.fields]
 
     @property
     def npartitions(self):
@@ -177,21 +194,31 @@ class HealpixDataset:
         info = info or self.info
         if modified:
             info = info.copy(total_rows=None)
+        same = df is None and stored is None
         out = type(self)(
-            self.df if df is None else df,
+            self._df if same else df,
             info,
             self.tree.pixels if pixels is None else pixels,
             self.moc if moc == "same" else moc,
             original_schema=self.original_schema,
             stats_preserved=self.stats_preserved and not modified,
-            stored=self.stored if df is None else stored,
+            stored=self.stored if same else stored,
             **extra,
         )
         return out
 
+    def _apply(self, fn, **kw):
+        """This dataset with a DataFrame function applied. A stored one notes it,
+        and tries it on no rows, so that mistakes show at once."""
+        if self.stored is None:
+            return self._with(fn(self.df), **kw)
+        stored = self.stored.then(fn)
+        stored.frame([])
+        return self._with(stored=stored, **kw)
+
     def _each(self, fn, **kw):
         """Apply a DataFrame function to this dataset (and to a margin)."""
-        return self._with(fn(self.df), stored=self.stored and self.stored.then(fn), **kw)
+        return self._apply(fn, **kw)
 
     def _at_pixels(self, pixels):
         """This dataset with its rows in some of its pixels: their files where it
@@ -199,7 +226,7 @@ class HealpixDataset:
         if len(pixels) == len(self.tree):
             return self
         if self.stored is not None:
-            return self._with(self.stored.frame(pixels), pixels=pixels, stored=self.stored.only(pixels))
+            return self._with(pixels=pixels, stored=self.stored.only(pixels))
         return self._with(self._inside(self.df, pixels), pixels=pixels)
 
     def _inside(self, df, pixels):
@@ -208,11 +235,12 @@ class HealpixDataset:
         return df.where(Moc.from_pixels(pixels).contains(self.index_column, self.info.healpix_order))
 
     def _check_columns(self, names):
+        schema = self.schema
         for n in names:
             base, _, sub = n.partition(".")
-            if n in self.df.columns:
+            if n in schema.names:
                 continue
-            if sub and base in self.nested_columns and sub in self.df.schema[base].dataType.elementType.names:
+            if sub and base in self.nested_columns and sub in schema[base].dataType.elementType.names:
                 continue
             if n in self.original_schema.names:
                 raise ValueError(f"Column {n} is in the catalog but was not loaded; pass it in columns= when opening")
@@ -222,7 +250,7 @@ class HealpixDataset:
     def __getitem__(self, item):
         if isinstance(item, str):
             self._check_columns([item])
-            return q(item) if item in self.df.columns else F.col(f"`{item.split('.')[0]}`")[item.split(".", 1)[1]]
+            return q(item) if item in self.schema.names else F.col(f"`{item.split('.')[0]}`")[item.split(".", 1)[1]]
         if isinstance(item, Column):
             return self._each(lambda d: d.where(item))
         return self._project(list(item))
@@ -231,9 +259,10 @@ class HealpixDataset:
         self._check_columns(names)
         subs: dict[str, list[str]] = {}
         out: list = []
+        present = set(self.schema.names)
         for n in names:
             base, _, sub = n.partition(".")
-            if n in self.df.columns:
+            if n in present:
                 out.append(n)
             else:
                 if base not in subs:
@@ -252,7 +281,7 @@ class HealpixDataset:
         return self._each(run, modified=False)
 
     def query(self, expr: str):
-        condition, nested = translate(expr, self.df.schema)
+        condition, nested = translate(expr, self.schema)
         if nested is None:
             return self._each(lambda d: d.where(condition))
 
@@ -353,22 +382,40 @@ class HealpixDataset:
         include = include_columns
         if include is None and use_default_columns and self.info.default_columns:
             include = list(self.info.default_columns)
-        return stats_ops.usable(self.df, only_numeric, include, exclude)
+        return stats_ops.usable(self._shape(), only_numeric, include, exclude)
 
     def _warn_modified(self, warn):
         if warn and not self.stats_preserved:
             warnings.warn("The catalog has been modified; statistics are computed from its present rows", UserWarning, stacklevel=3)
 
+    def _written_statistics(self, columns, pixels) -> DataFrame | None:
+        """The statistics written with the catalog, of its pixels or some of them;
+        None where rows have been dropped or changed since, or a column has none."""
+        if not self.stats_preserved or self.stored is None or self.stored.statistics is None:
+            return None
+        table = self.spark.read.parquet(self.stored.statistics)
+        names = [f"{c}: {s}" for c in columns for s in stats_ops.STATS]
+        if not set(names) <= set(table.columns):
+            return None
+        keep = MarginCatalog._inside(self, table.withColumnsRenamed({"norder": "__norder", "npix": "__npix"}), pixels)
+        return keep.select(F.col("__norder").alias("norder"), F.col("__npix").alias("npix"), *[q(n) for n in names])
+
     def aggregate_column_statistics(self, use_default_columns=True, exclude_hats_columns=True, exclude_columns=None, include_columns=None, include_pixels=None, warn_on_modified_catalog=True) -> DataFrame:
         self._warn_modified(warn_on_modified_catalog)
+        cols = self._stat_columns(use_default_columns, exclude_hats_columns, exclude_columns, include_columns)
+        written = self._written_statistics(cols, self.tree.pixels if include_pixels is None else include_pixels)
+        if written is not None:
+            return stats_ops.combined(written, cols)
         df = self.df if include_pixels is None else self._only_pixels(include_pixels).df
-        return stats_ops.column_statistics(df, self._stat_columns(use_default_columns, exclude_hats_columns, exclude_columns, include_columns))
+        return stats_ops.column_statistics(df, cols)
 
     def per_partition_statistics(self, use_default_columns=True, exclude_hats_columns=True, exclude_columns=None, include_columns=None, only_numeric_columns=False, include_stats=None, include_pixels=None, warn_on_modified_catalog=True) -> DataFrame:
         self._warn_modified(warn_on_modified_catalog)
-        cat = self if include_pixels is None else self._only_pixels(include_pixels)
-        cols = cat._stat_columns(use_default_columns, exclude_hats_columns, exclude_columns, include_columns, only_numeric_columns)
-        out = stats_ops.partition_statistics(cat.df, *cat._partition(), cols)
+        cols = self._stat_columns(use_default_columns, exclude_hats_columns, exclude_columns, include_columns, only_numeric_columns)
+        out = self._written_statistics(cols, self.tree.pixels if include_pixels is None else include_pixels)
+        if out is None:
+            cat = self if include_pixels is None else self._only_pixels(include_pixels)
+            out = stats_ops.partition_statistics(cat.df, *cat._partition(), cols)
         if include_stats is not None:
             out = out.select("norder", "npix", *[q(f"{c}: {s}") for c in cols for s in include_stats])
         return out
@@ -507,7 +554,7 @@ class HealpixDataset:
         rows = [str(p) for p in self.tree.pixels]
         if len(rows) > 3:
             rows = [rows[0], "...", *rows[-2:]]
-        types = ", ".join(f"{n}: {t}" for n, t in self.df.dtypes if n != self.index_column)
+        types = ", ".join(f"{n}: {t}" for n, t in self._shape().dtypes if n != self.index_column)
         return f"{type(self).__name__} {self.name}: npartitions={self.npartitions}\n" + "\n".join(rows) + f"\n{types}\n{len(self.columns)} of {len(self.all_columns)} columns loaded"
 
     def _repr_html_(self):
@@ -544,8 +591,9 @@ class MarginCatalog(HealpixDataset):
         """The rows that lie in the margin of these pixels; pixels of the empty
         sky, which only a margin has, go as well."""
         if self.stored is not None:
-            mine = [p for p in pixels if p in set(self.tree.pixels)]
-            return self._with(self.stored.frame(mine), pixels=mine, stored=self.stored.only(mine))
+            held = set(self.tree.pixels)
+            mine = [p for p in pixels if p in held]
+            return self._with(pixels=mine, stored=self.stored.only(mine))
         return self._with(self._inside(self.df, pixels), pixels=[p for p in self.tree.pixels if p in set(pixels)])
 
     def _inside(self, df, pixels):
@@ -585,12 +633,12 @@ class Catalog(HealpixDataset):
     def _each(self, fn, **kw):
         margin = self.margin
         if margin is not None:
-            rows = fn(margin.df)
-            lost = [c for c in MARGIN_KEYS if c not in rows.columns]
             info = kw.get("info")
             new = margin.info if info is None else margin.info.copy(ra_column=info.ra_column, dec_column=info.dec_column)
-            margin = None if lost else margin._with(rows, info=new, stored=margin.stored and margin.stored.then(fn))
-        return self._with(fn(self.df), margin=margin, stored=self.stored and self.stored.then(fn), **kw)
+            margin = margin._apply(fn, info=new)
+            if not set(MARGIN_KEYS) <= set(margin.schema.names):
+                margin = None
+        return self._apply(fn, margin=margin, **kw)
 
     def _at_pixels(self, pixels):
         """The margin keeps what these pixels receive from the others."""

@@ -4,8 +4,8 @@ Positions go to the unit sphere, cut into cubes of an edge of several match
 radii. The right side is written to every cube that its ball of the radius
 touches (mostly one, at most eight); a left row lies in one cube, so a pair
 meets at most once and no pole or wrap needs care. The equi-join on the cube is
-left to the planner (shuffle, skew splitting and broadcast by measured size),
-and the nearest ``n`` are a ranking within the left row.
+left to the planner (shuffle or broadcast by measured size), and the nearest ``n``
+are a ranking within the left row, in the same partitions: rows move once.
 """
 
 from __future__ import annotations
@@ -75,7 +75,9 @@ def neighbours(
     if n is not None:
         order = [F.col("__d2"), F.col("__rx"), F.col("__ry"), F.col("__rz")]
         order += [quote(f.name) for f in right.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-        rank = F.row_number().over(Window.partitionBy(_LEFT_ID).orderBy(*order))
+        # a left row lies in one cube: by cube as well, the ranking keeps the join's partitioning
+        within = [_KEY, *([quote(equal[0])] if equal else []), _LEFT_ID]
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         pairs = pairs.withColumn("__rank", rank).where(F.col("__rank") <= n)
     dist = sphere.chord2arcsec(F.sqrt(F.col("__d2")))
     return pairs.select(*[quote(x) for x in left.columns], *[quote(x) for x in right.columns], dist.alias(DISTANCE), _LEFT_ID)

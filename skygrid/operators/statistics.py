@@ -1,4 +1,5 @@
-"""Column and partition statistics as one aggregation over the data."""
+"""Column and partition statistics: one aggregation over the rows, or over the
+statistics that were written with them."""
 
 from __future__ import annotations
 
@@ -31,7 +32,17 @@ def aggregates(columns):
 
 def column_statistics(df: DataFrame, columns) -> DataFrame:
     """One row for each column: min and max as strings, null and row counts."""
-    wide = df.agg(*aggregates(columns))
+    return _tall(df.agg(*aggregates(columns)), columns)
+
+
+def combined(written: DataFrame, columns) -> DataFrame:
+    """The same from statistics by partition."""
+    how = {"min_value": F.min, "max_value": F.max, "null_count": F.sum, "row_count": F.sum}
+    names = [(f"{c}: {s}", how[s]) for c in columns for s in STATS]
+    return _tall(written.agg(*[fn(F.col(f"`{n}`")).alias(n) for n, fn in names]), columns)
+
+
+def _tall(wide: DataFrame, columns) -> DataFrame:
     rows = [
         F.struct(F.lit(c).alias("column_names"), *[(F.col(f"`{c}: {s}`").cast("string") if s.endswith("value") else F.col(f"`{c}: {s}`")).alias(s) for s in STATS])
         for c in columns

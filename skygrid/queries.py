@@ -614,8 +614,12 @@ def catalog_stream(spark, sf):
 
 
 def queries() -> dict:
+    from . import queries_stored  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    from . import queries_stored  # noqa: F401
+
     return dict(SQL)

@@ -53,7 +53,8 @@ def read_hats(path: str, search_filter=None, columns=None, margin_cache=None, er
     if isinstance(cat, Catalog):
         cat.indexes = indexes
         if margin_path:
-            m = _dataset(spark, margin_path, None, columns if columns != "all" else None, filters, False, path_generator, pixels_of=cat.tree.pixels if search_filter is not None else None)
+            same = list(cat.info.default_columns or ()) or "all" if columns is None else columns  # a margin may lack defaults of its own
+            m = _dataset(spark, margin_path, None, same, filters, False, path_generator, pixels_of=cat.tree.pixels if search_filter is not None else None)
             _same_columns(cat, m)
             if search_filter is not None and search_filter.fine:
                 condition = search_filter.condition(m.info)
@@ -63,8 +64,8 @@ def read_hats(path: str, search_filter=None, columns=None, margin_cache=None, er
 
 
 def _same_columns(cat, margin):
-    want = {f.name: f.dataType for f in cat.df.schema.fields}
-    got = {f.name: f.dataType for f in margin.df.schema.fields if not f.name.startswith("__")}
+    want = {f.name: f.dataType for f in cat.schema.fields}
+    got = {f.name: f.dataType for f in margin.schema.fields if not f.name.startswith("__")}
     if want != got:
         raise ValueError("The margin catalog and the main catalog must have the same schema")
     if (cat.info.ra_column, cat.info.dec_column) != (margin.info.ra_column, margin.info.dec_column):
@@ -145,9 +146,12 @@ def _dataset(spark, path, search, columns, filters, error_empty, path_generator,
             df = project(df, [*([index] if index else []), *chosen, *(["__norder", "__npix"] if keys else [])])
         return df
 
+    statistics = f"{path}/dataset/_statistics"
+    if filters is not None or not layout.exists(spark, statistics):
+        statistics = None
     moc = Moc.from_pixels(wanted)
     cls = {"margin": MarginCatalog, "association": AssociationCatalog, "map": MapCatalog}.get(kind, Catalog)
-    cat = cls(opened(wanted), info, wanted, moc, original_schema=schema, stored=Stored(opened))
+    cat = cls(None, info, wanted, moc, original_schema=schema, stored=Stored(opened, statistics=statistics))
     if search is not None or filters is not None:
         cat.info = cat.info.copy(total_rows=None)
     return cat.search(search) if search is not None else cat

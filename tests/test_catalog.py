@@ -188,9 +188,13 @@ def test_round_trip(cat, tmp_path, frame):
         cat.query("mag > 1000").write_catalog(str(tmp_path / "d"))
 
 
+ROOT = []
+
+
 @pytest.fixture(scope="module")
 def stored(cat, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("stored") / "c")
+    ROOT.append(path)
     cat.write_catalog(path, should_write_skymap=False)
     return skygrid.open_catalog(path)
 
@@ -229,6 +233,37 @@ def test_margin_of_a_partition_is_what_it_receives(cat):
     assert not any(lo <= r["_healpix_29"] < hi for r in rows)
 
 
+def test_written_statistics_save_a_scan(stored, cat):
+    cols = {"include_columns": ["mag", "id"]}
+    key = lambda f: sorted(map(str, f.collect()))
+    got, want = stored.per_partition_statistics(**cols), cat.per_partition_statistics(**cols)
+    assert key(got.select(*want.columns)) == key(want)
+    assert all("/_statistics/" in f for f in got.inputFiles())
+    some = cat.get_healpix_pixels()[2:4]
+    assert key(stored.per_partition_statistics(include_pixels=some, **cols)) == key(cat.per_partition_statistics(include_pixels=some, **cols).select(*got.columns))
+    assert key(stored.aggregate_column_statistics(**cols)) == key(cat.aggregate_column_statistics(**cols))
+    with pytest.warns(UserWarning):  # rows have gone: counted anew
+        cut = stored.query("mag > 20").aggregate_column_statistics(**cols)
+    assert key(cut) == key(cat.query("mag > 20").aggregate_column_statistics(warn_on_modified_catalog=False, **cols))
+
+
+def test_opening_looks_at_no_data_file(stored, cat, spark, tmp_path):
+    import shutil
+
+    from skygrid.sources import layout
+
+    made = layout.read_text(spark, f"{ROOT[0]}/sky/{layout.PROPERTIES[0]}")
+    shutil.copytree(f"{ROOT[0]}/sky/dataset", tmp_path / "dataset", ignore=lambda d, names: [n for n in names if n.startswith("Norder=")])
+    (tmp_path / layout.PROPERTIES[0]).write_text(made)
+    (tmp_path / layout.PARTITION_INFO).write_text("Norder,Npix\n" + "\n".join(f"7,{p}" for p in range(0, 12 * 4**7, 40)))
+    many = skygrid.open_catalog(str(tmp_path))  # none of its files is there
+    assert many.npartitions == -(-12 * 4**7 // 40) and many.columns == stored.columns and "mag" in repr(many)
+    near = many.query("mag > 20")[["id", "ra", "dec"]].cone_search(10, 10, 3600)
+    assert 0 < near.npartitions < 40 and near.columns == ["id", "ra", "dec"]
+    with pytest.raises(Exception):
+        many.query("nothing > 1")
+
+
 def test_head_visits_the_first_files(stored, cat):
     assert stored.head(3).id.tolist() == cat.head(3).id.tolist() and stored.tail(3).id.tolist() == cat.tail(3).id.tolist()
     assert len(stored.query("mag > 22").head(1000)) == cat.query("mag > 22").count()
