@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, licenses, suffixes
+from . import embeddings, licenses, substrings, suffixes
 from .decontamination import op4_decontamination
 from .embeddings import op8_embeddings
 from .packing import op1_packing
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_suffixes": suffixes.ORACLE, "op6_licenses": licenses.oracle(), "op8_embeddings": embeddings.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op5_suffixes": suffixes.ORACLE, "op6_licenses": licenses.oracle(), "op8_embeddings": embeddings.ORACLE}

@@ -481,3 +481,23 @@ def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
     d = remove_repeats(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT g.doc_id, g.i, g.i - lag(g.i) OVER (PARTITION BY g.doc_id ORDER BY g.i) AS step FROM g JOIN m USING (s) WHERE m.low < g.doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+r AS (SELECT doc_id, k, min(i) AS s0, max(i) + 50 AS e0 FROM run GROUP BY doc_id, k),
+p AS (SELECT doc_id, s0, e0, coalesce(lag(e0) OVER (PARTITION BY doc_id ORDER BY s0), 0) AS before FROM r),
+k AS (
+  SELECT p.doc_id, sum(p.e0 - p.s0) AS gone, count(*) AS spans, max(p.e0) AS last,
+    string_agg(substr(d.h, 2 * p.before + 1, 2 * (p.s0 - p.before)), '' ORDER BY p.s0) AS t
+  FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_removed, coalesce(k.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.t, '') || substr(d.h, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
