@@ -787,8 +787,19 @@ class Catalog(HealpixDataset):
 
         return write_association(self, path, **kw)
 
-    def plot_points(self, *a, **k):
-        return _plot(self, "points")
+    def plot_points(self, most: int = 200_000, ax=None, **kwargs):
+        """The rows' positions on an all-sky axis, ``most`` of them if there are
+        more (those of smallest hash); needs matplotlib."""
+        try:
+            import matplotlib.pyplot as plt
+        except ImportError as e:
+            raise ImportError("matplotlib is required for plotting") from e
+        place = self.df.select(q(self.info.ra_column).cast("double").alias("ra"), q(self.info.dec_column).cast("double").alias("dec"))
+        frame = place.orderBy(F.xxhash64("ra", "dec")).limit(most).toPandas()
+        if ax is None:
+            ax = plt.figure().add_subplot(projection="mollweide")
+        ax.scatter(np.radians((frame.ra + 180) % 360 - 180), np.radians(frame.dec), **{"s": 1, **kwargs})
+        return ax.figure, ax
 
 
 def info_schema(df: DataFrame) -> StructType:

@@ -38,8 +38,21 @@ class AbstractSearch:
         m = self.coverage()
         return list(pixels) if m is None else [p for p in pixels if m.overlaps(*p)]
 
-    def plot(self, *args, **kwargs):
-        raise NotImplementedError("this search has no plot")
+    def outline(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ra, dec) along the region's edge, closed."""
+        raise NotImplementedError("this search has no outline")
+
+    def plot(self, ax=None, **kwargs):
+        """The outline on an all-sky axis; needs matplotlib."""
+        ra, dec = self.outline()
+        try:
+            import matplotlib.pyplot as plt
+        except ImportError as e:
+            raise ImportError("matplotlib is required for plotting") from e
+        if ax is None:
+            ax = plt.figure().add_subplot(projection="mollweide")
+        ax.plot(np.radians((ra + 180) % 360 - 180), np.radians(dec), **{"marker": ".", "linestyle": "none", "markersize": 1, **kwargs})
+        return ax.figure, ax
 
 
 def _validate_dec(*values):
@@ -48,6 +61,10 @@ def _validate_dec(*values):
             raise ValueError("declination must be between -90 and 90")
 
 
+def _radec(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.mod(np.degrees(np.arctan2(xyz[:, 1], xyz[:, 0])), 360), np.degrees(np.arctan2(xyz[:, 2], np.hypot(xyz[:, 0], xyz[:, 1])))
+
+
 class ConeSearch(AbstractSearch):
     def __init__(self, ra: float, dec: float, radius_arcsec: float, fine: bool = True):
         super().__init__(fine)
@@ -60,6 +77,12 @@ class ConeSearch(AbstractSearch):
         centre, r = xyz_np(self.ra, self.dec), math.radians(min(180.0, self.radius_arcsec / 3600))
         return Moc.from_region(lambda c, rad: np.arccos(np.clip(c @ centre, -1, 1)) <= r + rad, 14)
 
+    def outline(self):
+        centre, r = xyz_np(self.ra, self.dec), math.radians(min(180.0, self.radius_arcsec / 3600))
+        east = np.array([-math.sin(math.radians(self.ra)), math.cos(math.radians(self.ra)), 0.0])
+        t = np.linspace(0, 2 * np.pi, 361)[:, None]
+        return _radec(math.cos(r) * centre + math.sin(r) * (np.cos(t) * east + np.sin(t) * np.cross(centre, east)))
+
     def condition(self, info):
         d = sphere.separation_arcsec(F.col(f"`{info.ra_column}`"), F.col(f"`{info.dec_column}`"), F.lit(self.ra), F.lit(self.dec))
         return d <= self.radius_arcsec
@@ -92,6 +115,14 @@ class BoxSearch(AbstractSearch):
 
         return Moc.from_region(touches)
 
+    def outline(self):
+        (a, b), (lo, hi), t = self.ra, self.dec, np.linspace(0, 1, 91)
+        width = 360.0 if self.whole else (b - a) % 360
+        side, up = a + width * t, lo + (hi - lo) * t
+        one = np.ones_like(t)
+        ra = np.r_[side, one * (a + width), side[::-1], one * a]
+        return np.mod(ra, 360), np.r_[one * lo, up, one * hi, up[::-1]]
+
     def condition(self, info):
         ra, dec = sphere.wrap_ra(F.col(f"`{info.ra_column}`")), F.col(f"`{info.dec_column}`")
         out = dec.between(*map(float, self.dec))
@@ -132,6 +163,11 @@ class PolygonSearch(AbstractSearch):
     def coverage(self):
         return Moc.from_region(lambda c, rad: (c @ self.normals.T >= -math.sin(min(rad, math.pi / 2))).all(1))
 
+    def outline(self):
+        v = xyz_np([r for r, _ in self.vertices], [d for _, d in self.vertices])
+        t = np.linspace(0, 1, 91)[:, None]
+        return _radec(np.concatenate([(1 - t) * a + t * b for a, b in zip(v, np.roll(v, -1, axis=0))]))
+
     def condition(self, info):
         x, y, z = sphere.xyz(F.col(f"`{info.ra_column}`"), F.col(f"`{info.dec_column}`"))
         out = F.lit(True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,11 @@ def from_dataframe(df, *, ra_column=None, dec_column=None, lowest_order=0, highe
     if partition_rows is None:
         total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         partition_bytes = partition_bytes or DEFAULT_PARTITION_BYTES
-    tally = indexed.groupBy(F.when(~bad, pix_at(F.col(INDEX_COLUMN), highest_order)).alias("pixel")).agg(weight.alias("n")).collect()
+    below = min(moc_max_order, 10) - highest_order
+    # coverage up to three orders below the histogram comes with it: 64 bits to a pixel
+    masked = should_generate_moc and catalog_type != "map" and 0 < below <= 3
+    mask = F.expr(f"bit_or(shiftleft(1L, cast(shiftright(`{INDEX_COLUMN}`, {2 * (29 - highest_order - below)}) & {4**below - 1} as int)))") if masked else F.lit(0)
+    tally = indexed.groupBy(F.when(~bad, pix_at(F.col(INDEX_COLUMN), highest_order)).alias("pixel")).agg(weight.alias("n"), mask.alias("mask")).collect()
     if any(x["pixel"] is None for x in tally):
         raise ValueError(f"NaN values found in {ra}/{dec} columns")
     rows = sum(x["n"] for x in tally)
@@ -75,8 +80,7 @@ def from_dataframe(df, *, ra_column=None, dec_column=None, lowest_order=0, highe
         return MapCatalog(indexed, info, pixels)
     out = Catalog(indexed, info, pixels)
     if should_generate_moc:
-        order = min(moc_max_order, 10)
-        out.moc = out.coverage_moc(order)
+        out.moc = covered_cells(tally, highest_order, below) if masked else out.coverage_moc(highest_order + below)
     ring = margin_order_for(margin_threshold, margin_order, max((p.order for p in pixels), default=0))
     if margin_threshold == 0 and margin_order < 0:
         out.margin = make_margin(out, None, 0.0)
@@ -85,6 +89,15 @@ def from_dataframe(df, *, ra_column=None, dec_column=None, lowest_order=0, highe
     return out
 
 
+def covered_cells(tally, order: int, below: int) -> Moc:
+    """Coverage from rows (pixel, mask of its cells ``below`` orders down)."""
+    rows = sorted((r["pixel"], r["mask"]) for r in tally)
+    pixels, masks = np.array([p for p, _ in rows], np.int64), np.array([m for _, m in rows], np.int64)
+    bits = np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    at, cell = np.nonzero(bits[:, : 4**below])
+    return Moc.from_cells(order + below, pixels[at] * 4**below + cell)
+
+
 def make_margin(catalog: Catalog, order: int | None, threshold: float) -> MarginCatalog:
     if order is None:
         rows = catalog.df.where(F.lit(False)).withColumns({"__norder": F.lit(0), "__npix": F.lit(0).cast("long")})
@@ -97,8 +110,6 @@ def make_margin(catalog: Catalog, order: int | None, threshold: float) -> Margin
 def from_astropy(table, *, flatten_tensors: bool = False, **kwargs):
     """A catalog of a table object: anything with ``colnames`` and columns as
     arrays, or a dict of arrays. n-D columns become arrays (flat on request)."""
-    import numpy as np
-
     names = list(getattr(table, "colnames", None) or table.keys())
     data = {}
     for n in names:

@@ -410,3 +410,22 @@ def test_alignment():
     a, b = PixelTree([(0, 0), (1, 44)]), PixelTree([(1, 1), (0, 11)])
     assert a.align(b) == [(HealpixPixel(0, 0), HealpixPixel(1, 1), HealpixPixel(1, 1)), (HealpixPixel(1, 44), HealpixPixel(0, 11), HealpixPixel(1, 44))]
     assert repr(skygrid.show_versions())
+
+
+def test_coverage_comes_with_the_histogram(spark, frame):
+    for highest, moc in ((7, 10), (7, 9), (4, 5), (3, 10), (5, 5)):
+        c = skygrid.from_dataframe(frame, highest_order=highest, moc_max_order=moc, margin_threshold=None)
+        assert c.moc == Moc.from_pixels(zip([moc] * len(frame), hp.ang2pix_np(moc, frame.ra, frame.dec)))
+
+
+def test_outlines(cat):
+    cone, box = skygrid.ConeSearch(50, 30, 3600 * 10), skygrid.BoxSearch((350, 20), (-5, 40))
+    ra, dec = cone.outline()
+    d = np.degrees(np.arccos(hp.xyz_np(ra, dec) @ hp.xyz_np(50, 30)))
+    assert np.allclose(d, 10)
+    ra, dec = box.outline()
+    assert ((dec >= -5) & (dec <= 40) & ((ra >= 350) | (ra <= 20 + 1e-9))).all()
+    poly = skygrid.PolygonSearch([(0, 0), (30, 0), (30, 30)])
+    assert (hp.xyz_np(*poly.outline()) @ poly.normals.T >= -1e-9).all()
+    with pytest.raises(NotImplementedError):
+        skygrid.OrderSearch(0, 1).plot()
