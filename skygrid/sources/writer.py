@@ -65,7 +65,7 @@ def write_dataset(cat, path: str, *, catalog_name=None, default_columns=None, in
     todo = [p for p in counts if p not in done]
     if todo:
         tmp = f"{path}/_writing-{uuid.uuid4().hex}"
-        options = {"compression": "zstd", **(write_table_kwargs or {})}
+        options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "15", **(write_table_kwargs or {})}
         rows = df
         if done:
             keep = spark.createDataFrame([(p.order, p.pixel) for p in todo], "Norder int, Npix long")
@@ -73,7 +73,7 @@ def write_dataset(cat, path: str, *, catalog_name=None, default_columns=None, in
         rows = unnest_structs(rows).withColumn("Dir", F.floor(F.col("Npix") / 10000) * 10000)
         index = [F.col(f"`{cat.index_column}`")] if cat.index_column in df.columns else []
         rows = rows.repartition(max(1, min(len(todo), 20_000)), "Norder", "Npix").sortWithinPartitions("Norder", "Npix", *index)
-        rows.write.options(**options).option("parquet.compression.codec.zstd.level", "15").partitionBy("Norder", "Dir", "Npix").parquet(tmp)
+        rows.write.options(**options).partitionBy("Norder", "Dir", "Npix").parquet(tmp)
         for p in todo:
             folder = f"{tmp}/Norder={p.order}/Dir={p.pixel // 10000 * 10000}/Npix={p.pixel}"
             target = f"{path}/dataset/{layout.pixel_file(*p, npix_suffix)}"
