@@ -32,7 +32,7 @@ from .common import docs_of, materialise, ship
 
 CHUNK_BYTES = 4_000_000
 BLOB_BYTES = 100
-TILE = 1 << 21
+TILE = 1 << 16  # its arrays stay in the cache
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15
 
@@ -102,9 +102,12 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M1
+    h ^= h >> np.uint64(27)
+    h *= _M2
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
@@ -137,22 +140,27 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
     return (cur & low).astype(np.int64)
 
 
-def anchor_runs(symbols: np.ndarray, ends: np.ndarray, k: int, q: int):
+def tiles(symbols: np.ndarray, k: int):
+    """(position, uint64 symbols from there on) of tiles that share k - 1 symbols."""
+    for at in range(0, max(0, len(symbols) - k + 1), TILE):
+        yield at, symbols[at : at + TILE + k - 1].astype(np.uint64) + np.uint64(1)
+
+
+def anchor_runs(symbols: np.ndarray, stop: np.ndarray, k: int, q: int):
     """Runs of neighbouring windows with one minimiser.
 
-    ``symbols``: uint64 symbols of all documents of a chunk, one after another;
-    ``ends``: end of the own document for each symbol. Returns (first window,
-    last window + 1, anchor hash) of every run; windows never cross documents.
+    ``symbols``: unsigned symbols of all documents of a chunk, one after another;
+    ``stop``: end of each document. Returns (first window, last window + 1,
+    anchor hash) of every run; windows never cross documents.
     """
     firsts, lasts, hashes = [], [], []
-    n = len(symbols)
-    for at in range(0, max(0, n - k + 1), TILE):
-        x = symbols[at : at + TILE + k - 1]
+    for at, x in tiles(symbols, k):
         h = gram_hashes(x, q)
         pos = window_minima(h, k - q + 1)
-        w = np.arange(len(pos))
-        ok = ends[at : at + len(pos)] - (w + at) >= k
-        w = w[ok]
+        # ends of the windows' documents
+        own = stop[np.searchsorted(stop, at, side="right") : np.searchsorted(stop, at + len(pos)) + 1]
+        ends = np.repeat(own, np.diff(np.clip(np.r_[at, own], at, at + len(pos))))
+        w = np.flatnonzero(ends >= np.arange(at + k, at + k + len(pos)))
         if not len(w):
             continue
         p = pos[w]
@@ -174,10 +182,15 @@ def report_anchors(hashes: np.ndarray, owners: np.ndarray, buckets: int):
     """Yield (bucket, blob): the chunk's distinct anchors, each with the number
     of its documents there (up to 255)."""
     key = bucket_keys(hashes, buckets)
-    order = np.lexsort((owners, key))
-    key, owners = key[order], owners[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (owners[1:] != owners[:-1])][: len(key)]
-    key = key[fresh]
+    _, owners = np.unique(owners, return_inverse=True)
+    bits = int(owners.max(initial=0)).bit_length()
+    if 32 + buckets.bit_length() + bits <= 64:  # both in one number
+        pair = np.sort(key << np.uint64(bits) | owners.astype(np.uint64))
+        key = pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]] >> np.uint64(bits)
+    else:
+        order = np.lexsort((owners, key))
+        key, owners = key[order], owners[order]
+        key = key[np.r_[True, (key[1:] != key[:-1]) | (owners[1:] != owners[:-1])][: len(key)]]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     count = np.minimum(np.diff(np.r_[start, len(key)]), 255).astype(np.uint8)
     key = key[start]
@@ -209,6 +222,13 @@ def numbers(batches):
         yield last, held
 
 
+def rows_of(batches):
+    """The rows of batches; one row's chunk is in memory at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield [c[i].as_py() for c in b.columns]
+
+
 def shared_anchors(reports: DataFrame, hot_docs: int, buckets: int) -> DataFrame:
     """(chunk, shared): for each chunk its anchors that occur in two documents
     or more, as keys with a mark for those in more than ``hot_docs``."""
@@ -263,7 +283,7 @@ def covered(length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     d = np.zeros(length + 1, np.int32)
     np.add.at(d, first, 1)
     np.add.at(d, last, -1)
-    return np.cumsum(d[:-1]) > 0
+    return np.cumsum(d[:-1], out=d[:-1]) > 0
 
 
 def hash_bytes(b: bytes) -> int:
@@ -278,11 +298,9 @@ def place_segments(runs, shared, ids, stop, k: int, buckets: int, shards: int, t
     ``runs``: (first window, last + 1, anchor) of ``anchor_runs``; ``text_of(s,
     e)`` gives the symbols s to e as bytes. A segment spans the windows of one
     shared anchor; hot anchors are cut to single windows, each placed by its own
-    content. Returns for each segment (shard, number among the chunk's distinct
-    segments there, document's position, first window), and by shard the
-    distinct segments with the smallest document of each and whether others
-    have it too. Computed alike when segments are sent and when the answers come
-    back.
+    content. Returns by shard the chunk's distinct segments with the smallest
+    document of each and whether others have it too, and the places of all
+    segments, packed, which the answers need (``removed_mask``).
     """
     first, last, h = runs
     hit, hot = Shared(shared, buckets).find(h)
@@ -308,7 +326,53 @@ def place_segments(runs, shared, ids, stop, k: int, buckets: int, shards: int, t
         elif d != docs[at]:
             docs[at] = min(d, docs[at])
             many[at] = 1
-    return (shard, number, owner, first), by
+    return by, pack_places(shard, number, first)
+
+
+def pack_places(shard: np.ndarray, number: np.ndarray, first: np.ndarray) -> bytes:
+    """Shard, number there and first window of every segment, by shard and number."""
+    order = np.lexsort((first, number, shard))
+    shard, number, first = shard[order], number[order], first[order]
+    step = np.diff(number, prepend=0) == 1  # numbers go up by one, from 0 in each shard
+    return squeeze(shard.astype(np.int32), step.astype(np.uint8), np.diff(first, prepend=0).astype(np.int32 if not len(first) or first.max() < 1 << 31 else np.int64))
+
+
+def unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    shard, step, gap = expand(blob)
+    shard, up = shard.astype(np.int64), np.cumsum(step, dtype=np.int64)
+    head = np.r_[True, shard[1:] != shard[:-1]][: len(shard)]
+    base = up[head]
+    return shard, up - np.repeat(base, np.diff(np.r_[np.flatnonzero(head), len(shard)])), np.cumsum(gap, dtype=np.int64)
+
+
+SENT = "shard int, chunk long, blob binary, own boolean"
+ANSWERED = "chunk long, blob binary, own boolean"
+
+
+def sent_rows(chunk: int, rows: list, places: bytes, shards: int) -> pa.RecordBatch:
+    """What a chunk sends: (shard, blob) rows, and its places to a shard that its
+    number names, so no second pass over its text finds them again."""
+    rows = rows + [(chunk % shards, places)] if rows else []
+    own = [i == len(rows) - 1 for i in range(len(rows))]
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(own, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "blob", "own"])
+
+
+def answer_rows(chunks: list, blobs: list, own: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([own] * len(chunks), pa.bool_())], names=["chunk", "blob", "own"])
+
+
+def own_places(rows: list) -> pa.RecordBatch:
+    """The places among a shard's rows, on their way back."""
+    back = [(chunk, blob) for chunk, blob, own in rows if own]
+    return answer_rows([c for c, _ in back], [b for _, b in back], True)
+
+
+def by_chunk(answered: DataFrame) -> DataFrame:
+    """(chunk, answers, places)."""
+    return answered.groupBy("chunk").agg(
+        F.collect_list(F.when(~F.col("own"), F.col("blob"))).alias("answers"), F.first(F.when(F.col("own"), F.col("blob")), ignorenulls=True).alias("places")
+    )
 
 
 def answer_runs(windows: np.ndarray, doc: np.ndarray):
@@ -320,10 +384,11 @@ def answer_runs(windows: np.ndarray, doc: np.ndarray):
     return np.bincount(seg[new], minlength=len(windows)), np.diff(np.r_[new, len(seg)]), doc[new]
 
 
-def removed_mask(length: int, ids, place, answers, k: int) -> np.ndarray:
+def removed_mask(length: int, ids, stop, places: bytes, answers, k: int) -> np.ndarray:
     """Mask of the symbols in windows that a smaller document holds. Answers:
     blobs of (shard), runs of each segment, windows and document of each run."""
-    shard, number, owner, first = place
+    shard, number, first = unpack_places(places)
+    owner = np.searchsorted(stop, first, side="right")
     offset = np.zeros(int(shard.max()) + 1, np.int64)
     base, counts, sizes, docs = 0, [], [], []
     for blob in answers:

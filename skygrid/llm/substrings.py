@@ -27,18 +27,26 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, table
 from .passages import (
+    ANSWERED,
+    SENT,
     anchor_runs,
+    answer_rows,
     answer_runs,
+    by_chunk,
     by_number,
     expand,
     gram_hashes,
     numbers,
+    own_places,
     pack_chunks,
     place_segments,
     removed_mask,
     report_anchors,
+    rows_of,
+    sent_rows,
     shared_anchors,
     squeeze,
+    tiles,
 )
 
 GRAM = 16
@@ -134,7 +142,7 @@ class FMIndex:
         used = np.union1d([0], text)
         self.dense = np.full(257, -1, np.int64)
         self.dense[used] = np.arange(len(used))
-        text = self.dense[text]  # separators stay 0
+        text = self.dense.astype(np.int16)[text]  # separators stay 0
         levels = max(1, int(len(used) - 1).bit_length())
         self.n, self.k = len(text), k
         order, new, common = self._sort(text, k, levels)
@@ -151,7 +159,7 @@ class FMIndex:
         block = np.zeros(1 << levels, np.int64)
         block[seq] = np.cumsum(counts[seq]) - counts[seq]
         self.shift = np.cumsum(counts) - counts - block
-        self.tree = WaveletMatrix(bwt.astype(np.int16), levels)
+        self.tree = WaveletMatrix(bwt, levels)
 
     @staticmethod
     def _sort(text, k, levels):
@@ -164,16 +172,17 @@ class FMIndex:
         key = np.zeros(n, np.uint64)
         for j in range(have):
             key = (key << np.uint64(levels)) | padded[j : j + n]
-        order = np.argsort(key)
-        s = key[order]
-        new = np.r_[True, s[1:] != s[:-1]]
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        del key
         known = np.zeros(n, np.uint8)  # common prefix of neighbours, at least
-        rank = np.zeros(n + k, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = np.zeros(n + k, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
         while have < k:
             step = min(have, k - have)
             alone = new & np.r_[new[1:], True]
-            places = np.flatnonzero(~alone)  # positions in the order of groups of several
+            places = np.flatnonzero(~alone).astype(np.int32)  # positions in the order of groups of several
             members = order[places]
             pair = (rank[members].astype(np.uint64) << np.uint64(32)) | rank[members + step].astype(np.uint64)
             o = np.argsort(pair)
@@ -184,7 +193,7 @@ class FMIndex:
             known[places[fresh]] = have
             new = new.copy()
             new[places] = split
-            rank[members] = np.maximum.accumulate(np.where(split, places, 0))
+            rank[members] = np.maximum.accumulate(np.where(split, places, np.int32(0)))
             have += step
         common = np.full(n, k, np.uint8)
         eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -226,7 +235,7 @@ class FMIndex:
         k-string of the index starts there. A text whose match can no longer
         reach ``k`` before its start is left."""
         k = self.k
-        symbols = self.dense[text]
+        symbols = self.dense.astype(np.int16)[text]
         who = np.flatnonzero(ends - starts >= k)
         starts, at = starts[who], ends[who].copy()
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
@@ -276,48 +285,41 @@ def _symbols(payload):
 
 def find_anchors(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            for chunk, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, start, stop, raw = _symbols(payload)
-                first, _, h = anchor_runs(raw.astype(np.uint64) + np.uint64(1), np.repeat(stop, stop - start), k, GRAM)
-                owner = np.searchsorted(stop, first, side="right")
-                rows = list(report_anchors(h, ids[owner], buckets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["bucket", "chunk", "blob"],
-                )
+        for chunk, payload in rows_of(batches):
+            ids, _, stop, raw = _symbols(payload)
+            first, _, h = anchor_runs(raw, stop, k, GRAM)
+            rows = list(report_anchors(h, ids[np.searchsorted(stop, first, side="right")], buckets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["bucket", "chunk", "blob"],
+            )
 
     return chunks.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
-def places_of(payload, shared, k: int, buckets: int, shards: int):
-    ids, start, stop, raw = _symbols(payload)
-    runs = anchor_runs(raw.astype(np.uint64) + np.uint64(1), np.repeat(stop, stop - start), k, GRAM)
+def segments_of(payload, shared, k: int, buckets: int, shards: int):
+    ids, _, stop, raw = _symbols(payload)
     body = raw.tobytes()
-    place, by = place_segments(runs, shared, ids, stop, k, buckets, shards, lambda s, e: body[s:e])
-    return (ids, start, stop, raw), place, by
+    return place_segments(anchor_runs(raw, stop, k, GRAM), shared, ids, stop, k, buckets, shards, lambda s, e: body[s:e])
 
 
 def send_segments(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
-    """(shard, chunk, blob): the chunk's distinct segments for a shard with the
-    smallest document of each."""
+    """(shard, chunk, blob, own): the chunk's distinct segments for a shard with
+    the smallest document of each; ``own`` rows hold the places of its segments,
+    which a shard hands back as they are."""
 
     def run(batches):
-        for b in batches:
-            for chunk, payload, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not shared:
-                    continue
-                _, _, by = places_of(payload, shared, k, buckets, shards)
-                rows = [
-                    (g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.array(many, np.uint8), np.frombuffer(b"".join(texts), np.uint8)))
-                    for g, (texts, docs, many) in by.items()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["shard", "chunk", "blob"],
-                )
-
-    return joined.mapInArrow(run, "shard int, chunk long, blob binary")
+        for chunk, payload, shared in rows_of(batches):
+            if not shared:
+                continue
+            by, places = segments_of(payload, shared, k, buckets, shards)
+            rows = [
+                (g, squeeze(np.array([len(t) for t in texts], np.int32), np.array(docs, np.int64), np.array(many, np.uint8), np.frombuffer(b"".join(texts), np.uint8)))
+                for g, (texts, docs, many) in by.items()
+            ]
+            yield sent_rows(chunk, rows, places, shards)
+
+    return joined.mapInArrow(run, SENT)
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -328,15 +330,15 @@ def split_stretches(raw: np.ndarray, lens, windows, k) -> tuple[np.ndarray, np.n
     """(to index, to stream): masks of the stretches of a shard. Of the stretches
     that share a window's hash, the first is indexed, the others are streamed.
     Those that share none, met by chance of one anchor only, need neither."""
-    h = gram_hashes(raw.astype(np.uint64) + np.uint64(1), k)[_ranges(np.cumsum(lens) - lens, windows)]
+    h = np.concatenate([gram_hashes(x, k) for _, x in tiles(raw, k)])[_ranges(np.cumsum(lens) - lens, windows)]
     index, use = np.zeros(len(lens), bool), np.zeros(len(lens), bool)
-    s = np.sort(h)
-    twice = s[1:][s[1:] == s[:-1]]
-    if len(twice):
-        at = np.flatnonzero(twice.take(np.minimum(np.searchsorted(twice, h), len(twice) - 1)) == h)
-        who = np.repeat(np.arange(len(lens)), windows)[at]
-        _, first = np.unique(h[at], return_index=True)
-        index[who[first]] = True
+    order = np.argsort(h)
+    s = h[order]
+    new = np.r_[True, s[1:] != s[:-1]]
+    several = ~(new & np.r_[new[1:], True])
+    if several.any():
+        who = np.repeat(np.arange(len(lens), dtype=np.int32), windows)[order[several]]
+        index[np.minimum.reduceat(who, np.flatnonzero(new[several]))] = True
         use[who] = True
     return index, use & ~index
 
@@ -354,15 +356,17 @@ def least_owners(raw: np.ndarray, lens: np.ndarray, least: np.ndarray, several:
     base, first = np.cumsum(lens) - lens, np.cumsum(windows) - windows
     use = np.flatnonzero(index)
     ends = np.cumsum(lens[use] + 1) - 1
-    text = np.zeros(int(ends[-1]) + 1, np.int64)
-    text[_ranges(ends - lens[use], lens[use])] = raw[_ranges(base[use], lens[use])].astype(np.int64) + 1
+    text = np.zeros(int(ends[-1]) + 1, np.int16)
+    text[_ranges(ends - lens[use], lens[use])] = raw[np.repeat(index, lens)]
+    text += 1
+    text[ends] = 0
     fm = FMIndex(text, k)
     owner = np.full(fm.groups, np.iinfo(np.int64).max)
     mine = fm.home[_ranges(ends - lens[use], windows[use])]
     np.minimum.at(owner, mine, np.repeat(least[use], windows[use]))
     guests = np.flatnonzero(stream | several)
     found = np.full(len(doc), -1)
-    for who, at, group in fm.matching(raw.astype(np.int64) + 1, base[guests], base[guests] + lens[guests]):
+    for who, at, group in fm.matching(raw.astype(np.int16) + np.int16(1), base[guests], base[guests] + lens[guests]):
         g = guests[who]
         np.minimum.at(owner, group, least[g])
         found[first[g] + at - base[g]] = group
@@ -373,11 +377,15 @@ def least_owners(raw: np.ndarray, lens: np.ndarray, least: np.ndarray, several:
 
 
 def index_shards(segments: DataFrame, k: int, shards: int) -> DataFrame:
-    """(chunk, shard, blob): for every segment a chunk sent, runs of windows
-    with one smallest document (segment number, windows, document)."""
+    """(chunk, blob, own): for every segment a chunk sent, runs of windows with
+    one smallest document (segment number, windows, document)."""
 
     def run(batches):
-        for shard, sent in numbers(batches):
+        for shard, rows in numbers(batches):
+            sent = [(chunk, blob) for chunk, blob, own in rows if not own]
+            yield own_places(rows)
+            if not sent:
+                continue
             known: dict[bytes, int] = {}
             least: list[int] = []
             several: list[int] = []
@@ -409,43 +417,38 @@ def index_shards(segments: DataFrame, k: int, shards: int) -> DataFrame:
                 idx = np.repeat(lo[mine], cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
                 chunks.append(chunk)
                 blobs.append(squeeze(np.array([shard], np.int64), cnt.astype(np.int16), size[idx].astype(np.int16), val[idx]))
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+            yield answer_rows(chunks, blobs)
 
-    return by_number(segments, "shard", shards).mapInArrow(run, "chunk long, blob binary")
+    return by_number(segments, "shard", shards).mapInArrow(run, ANSWERED)
 
 
 SPANS = "array<struct<start:long,end:long>>"
 REMOVED = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans {SPANS}"
 
 
-def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
+def apply_removal(joined: DataFrame, k: int) -> DataFrame:
     """The surviving bytes and the removed spans of every document."""
     kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
 
     def run(batches):
-        for b in batches:
-            for payload, shared, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if answers:
-                    (ids, start, stop, raw), place, _ = places_of(payload, shared, k, buckets, shards)
-                    gone = removed_mask(len(raw), ids, place, answers, k)
+        for _, payload, answers, places in rows_of(batches):
+            ids, start, stop, raw = _symbols(payload)
+            gone = removed_mask(len(raw), ids, stop, places, answers, k) if answers else np.zeros(len(raw), bool)
+            rows = [[] for _ in names]
+            body, n = raw.tobytes(), 0
+            for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
+                g = gone[s:e]
+                if g.any():
+                    edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
+                    spans = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
+                    kept = raw[s:e][~g].tobytes()
                 else:
-                    ids, start, stop, raw = _symbols(payload)
-                    gone = np.zeros(len(raw), bool)
-                rows = [[] for _ in names]
-                body, n = raw.tobytes(), 0
-                for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
-                    g = gone[s:e]
-                    if g.any():
-                        edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
-                        spans = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
-                        kept = raw[s:e][~g].tobytes()
-                    else:
-                        spans, kept = [], body[s:e]
-                    for col, v in zip(rows, (d, e - s, e - s - len(kept), len(spans), kept, spans)):
-                        col.append(v)
-                    n += len(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+                    spans, kept = [], body[s:e]
+                for col, v in zip(rows, (d, e - s, e - s - len(kept), len(spans), kept, spans)):
+                    col.append(v)
+                n += len(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
 
     return joined.mapInArrow(run, REMOVED)
 
@@ -469,13 +472,13 @@ def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk
     shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = index_shards(send_segments(base, k, n, n), k, n).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
-    joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
+    answers = by_chunk(index_shards(send_segments(base, k, n, n), k, n))
+    joined = chunks.join(answers, "chunk", "left").select("chunk", "payload", "answers", "places")
     raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
     whole = docs_of(docs).where("doc_id is null").select(
         "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"), F.array().cast(SPANS).alias("spans")
     )
-    return apply_removal(joined, k, n, n).unionByName(whole)
+    return apply_removal(joined, k).unionByName(whole)
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

@@ -28,15 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, table
 from .passages import (
+    ANSWERED,
+    SENT,
     anchor_runs,
+    answer_rows,
     answer_runs,
+    by_chunk,
     by_number,
     expand,
     numbers,
+    own_places,
     pack_chunks,
     place_segments,
     removed_mask,
     report_anchors,
+    rows_of,
+    sent_rows,
     shared_anchors,
     squeeze,
 )
@@ -208,64 +215,63 @@ def _words(payload):
     return ids, np.r_[0, stop[:-1]].astype(np.int64), stop, words
 
 
-def _runs(stop, start, words, k):
-    return anchor_runs(word_hashes(words), np.repeat(stop, stop - start), k, min(GRAM, k))
+def _runs(stop, words, k):
+    return anchor_runs(word_hashes(words), stop, k, min(GRAM, k))
 
 
 def find_anchors(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            for chunk, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, start, stop, words = _words(payload)
-                first, _, h = _runs(stop, start, words, k)
-                rows = list(report_anchors(h, ids[np.searchsorted(stop, first, side="right")], buckets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["bucket", "chunk", "blob"],
-                )
+        for chunk, payload in rows_of(batches):
+            ids, _, stop, words = _words(payload)
+            first, _, h = _runs(stop, words, k)
+            rows = list(report_anchors(h, ids[np.searchsorted(stop, first, side="right")], buckets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["bucket", "chunk", "blob"],
+            )
 
     return chunks.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
-def places_of(payload, shared, k: int, buckets: int, shards: int):
-    ids, start, stop, words = _words(payload)
-    runs = _runs(stop, start, words, k)
-    place, by = place_segments(runs, shared, ids, stop, k, buckets, shards, lambda s, e: b" ".join(words[s:e]))
-    return (ids, start, stop, words), place, by
+def segments_of(payload, shared, k: int, buckets: int, shards: int):
+    ids, _, stop, words = _words(payload)
+    return place_segments(_runs(stop, words, k), shared, ids, stop, k, buckets, shards, lambda s, e: b" ".join(words[s:e]))
 
 
 def send_runs(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
-    """(shard, chunk, blob): the chunk's sorted suffix run for a shard."""
+    """(shard, chunk, blob, own): the chunk's sorted suffix run for a shard;
+    ``own`` rows hold the places of its segments, which a shard hands back as
+    they are."""
 
     def run(batches):
-        for b in batches:
-            for chunk, payload, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not shared:
-                    continue
-                _, _, by = places_of(payload, shared, k, buckets, shards)
-                rows = []
-                for g, (texts, docs, _) in by.items():
-                    body, starts, lens, pre, order, windows = suffix_run(texts, k)
-                    small = np.uint16 if len(body) < 65536 else np.int32
-                    blob = squeeze(
-                        starts.astype(small), lens.astype(small), pre.astype(small), order.astype(small),
-                        windows.astype(np.int32), np.array(docs, np.int64), np.frombuffer(body, np.uint8),
-                    )
-                    rows.append((g, blob))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["shard", "chunk", "blob"],
-                )
-
-    return joined.mapInArrow(run, "shard int, chunk long, blob binary")
+        for chunk, payload, shared in rows_of(batches):
+            if not shared:
+                continue
+            by, places = segments_of(payload, shared, k, buckets, shards)
+            rows = []
+            for g, (texts, docs, _) in by.items():
+                body, starts, lens, pre, order, windows = suffix_run(texts, k)
+                small = np.uint16 if len(body) < 65536 else np.int32
+                blob = squeeze(
+                    starts.astype(small), lens.astype(small), pre.astype(small), order.astype(small),
+                    windows.astype(np.int32), np.array(docs, np.int64), np.frombuffer(body, np.uint8),
+                )
+                rows.append((g, blob))
+            yield sent_rows(chunk, rows, places, shards)
+
+    return joined.mapInArrow(run, SENT)
 
 
 def merge_shards(parts: DataFrame, shards: int) -> DataFrame:
-    """(chunk, blob): for every segment a chunk sent, runs of windows with one
+    """(chunk, blob, own): for every segment a chunk sent, runs of windows with one
     smallest document."""
 
     def run(batches):
-        for g, sent in numbers(batches):
+        for g, rows in numbers(batches):
+            sent = [(chunk, blob) for chunk, blob, own in rows if not own]
+            yield own_places(rows)
+            if not sent:
+                continue
             runs, back = [], []
             for _, blob in sent:
                 starts, lens, pre, order, windows, docs, body = expand(blob)
@@ -279,39 +285,34 @@ def merge_shards(parts: DataFrame, shards: int) -> DataFrame:
                 doc[order] = r.answer
                 cnt, size, val = answer_runs(windows, doc)
                 blobs.append(squeeze(np.array([g], np.int64), cnt.astype(np.int16), size.astype(np.int16), val))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sent], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+            yield answer_rows([c for c, _ in sent], blobs)
 
-    return by_number(parts, "shard", shards).mapInArrow(run, "chunk long, blob binary")
+    return by_number(parts, "shard", shards).mapInArrow(run, ANSWERED)
 
 
 SPANS = "array<struct<start:long,end:long>>"
 KEPT = f"doc_id long, n_words long, n_removed long, kept string, spans {SPANS}"
 
 
-def apply_removal(joined: DataFrame, k: int, buckets: int, shards: int) -> DataFrame:
+def apply_removal(joined: DataFrame, k: int) -> DataFrame:
     kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     names = ["doc_id", "n_words", "n_removed", "kept", "spans"]
 
     def run(batches):
-        for b in batches:
-            for payload, shared, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if answers:
-                    (ids, start, stop, words), place, _ = places_of(payload, shared, k, buckets, shards)
-                    gone = removed_mask(len(words), ids, place, answers, k)
-                else:
-                    ids, start, stop, words = _words(payload)
-                    gone = np.zeros(len(words), bool)
-                rows = [[] for _ in names]
-                for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
-                    g = gone[s:e]
-                    kept, spans = words[s:e], []
-                    if g.any():
-                        edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
-                        spans = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
-                        kept = [x for x, y in zip(kept, g.tolist()) if not y]
-                    for col, v in zip(rows, (d, e - s, e - s - len(kept), b" ".join(kept).decode(), spans)):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+        for _, payload, answers, places in rows_of(batches):
+            ids, start, stop, words = _words(payload)
+            gone = removed_mask(len(words), ids, stop, places, answers, k) if answers else np.zeros(len(words), bool)
+            rows = [[] for _ in names]
+            for d, s, e in zip(ids.tolist(), start.tolist(), stop.tolist()):
+                g = gone[s:e]
+                kept, spans = words[s:e], []
+                if g.any():
+                    edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
+                    spans = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
+                    kept = [x for x, y in zip(kept, g.tolist()) if not y]
+                for col, v in zip(rows, (d, e - s, e - s - len(kept), b" ".join(kept).decode(), spans)):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
 
     return joined.mapInArrow(run, KEPT)
 
@@ -333,13 +334,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk
     shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = merge_shards(send_runs(base, k, n, n), n).groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
-    joined = base.join(answers, "chunk", "left").select("chunk", "payload", "shared", "answers")
+    answers = by_chunk(merge_shards(send_runs(base, k, n, n), n))
+    joined = chunks.join(answers, "chunk", "left").select("chunk", "payload", "answers", "places")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = docs_of(docs).where("doc_id is null").select(
         "doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept"), F.array().cast(SPANS).alias("spans")
     )
-    return apply_removal(joined, k, n, n).unionByName(whole)
+    return apply_removal(joined, k).unionByName(whole)
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:

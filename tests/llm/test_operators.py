@@ -3,9 +3,11 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,66 @@ def test_chunks_grow_with_the_root_of_the_corpus(spark):
     assert passages.chunk_size(big.crossJoin(spark.range(10**6))) == passages.CHUNK_BYTES
 
 
+class Here:
+    """Stands for a frame: hands out the function instead of a plan."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_tasks_of_substrings_need_little_memory():
+    """Above their input, by byte of text: chunks of one batch are looked at one by one, in tiles."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    payload = passages.squeeze(np.arange(1 << 10), np.full(1 << 10, 1 << 10), raw)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([payload] * 4, pa.binary())], names=["chunk", "payload"])
+    find = substrings.find_anchors(Here(), 50, 8)
+    lens = np.full(1 << 13, 64)
+    shard = raw[: 1 << 19].copy()
+    shard[1 << 18 : 1 << 19] = shard[: 1 << 18]
+    peaks = []
+    for work in (lambda: [b.num_rows for b in find([batch])], lambda: substrings.least_owners(shard, lens, np.arange(1 << 13), np.zeros(1 << 13, bool), 50)):
+        work()
+        tracemalloc.start()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[0] < 20 * len(raw), peaks
+    assert peaks[1] < 60 * len(shard), peaks
+
+
+def test_places_return_as_sent():
+    rng = np.random.default_rng(5)
+    shard, first = rng.integers(0, 7, 300), rng.permutation(10**6)[:300]
+    number = np.zeros(300, np.int64)
+    for g in range(7):
+        here = np.flatnonzero(shard == g)
+        number[here] = np.r_[np.arange(len(here) - 3), rng.integers(0, 3, 3)]
+    back = passages.unpack_places(passages.pack_places(shard, number, first))
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(shard.tolist(), number.tolist(), first.tolist()))
+    assert all(not len(x) for x in passages.unpack_places(passages.pack_places(*[np.zeros(0, np.int64)] * 3)))
+
+
+@pytest.mark.parametrize("mod,k", [(substrings, 50), (suffixes, 13)])
+def test_removal_does_not_look_for_anchors_again(mod, k, monkeypatch):
+    t = " ".join(WORDS).encode()
+    payload = passages.squeeze(np.arange(3), np.full(3, len(t)), np.frombuffer(t * 3, np.uint8))
+    sent = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([payload], pa.binary())], names=["chunk", "payload"])
+    reports = [r for b in mod.find_anchors(Here(), k, 1)([sent]) for r in b.to_pylist()]
+    shared = [passages.squeeze(passages.expand(r["blob"])[0].astype(np.uint64), np.zeros(len(passages.expand(r["blob"])[0]), np.uint8)) for r in reports]
+    monkeypatch.setattr(passages, "by_number", lambda rows, *_: rows)
+    monkeypatch.setattr(mod, "by_number", lambda rows, *_: rows)
+    send, answer = (mod.send_segments, lambda: mod.index_shards(Here(), k, 1)) if mod is substrings else (mod.send_runs, lambda: mod.merge_shards(Here(), 1))
+    parts = list(send(Here(), k, 1, 1)([pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([payload], pa.binary()), pa.array([shared])], names=["chunk", "payload", "shared"])]))
+    back = [r for b in answer()(parts) for r in b.to_pylist()]
+    answers, (places,) = [r["blob"] for r in back if not r["own"]], [r["blob"] for r in back if r["own"]]
+    monkeypatch.setattr(mod, "anchor_runs", None)
+    joined = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([payload], pa.binary()), pa.array([answers]), pa.array([places], pa.binary())], names=["chunk", "payload", "answers", "places"])
+    (out,) = mod.apply_removal(Here(), k)([joined])
+    size = len(t) if mod is substrings else len(WORDS)
+    assert out.column("n_removed").to_pylist() == [0, size, size]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_loser_tree_merges_in_order(seed):
     rng = random.Random(seed)
