@@ -94,6 +94,27 @@ def suffix_run(segments: list[bytes], k: int):
     return body, np.array(starts, np.int32)[o], np.array(lens, np.int32)[o], np.array(shared, np.int32), o, np.array(windows, np.int64)
 
 
+def repeating(parts: list[tuple]) -> list[np.ndarray]:
+    """For each sorted run (text, starts, lengths, ...), where it has suffixes
+    whose hash another suffix of the shard has: the others, met by chance of one
+    anchor, need no merge. This prunes only, the merge decides."""
+    h = np.array([hash(body[s : s + n]) for body, starts, lens, *_ in parts for s, n in zip(starts.tolist(), lens.tolist())], np.int64)
+    order = np.argsort(h)
+    s = h[order]
+    new = np.r_[True, s[1:] != s[:-1]][: len(s)]
+    twice = np.zeros(len(h), bool)
+    twice[order] = ~(new & np.r_[new[1:], True][: len(s)])
+    return [np.flatnonzero(x) for x in np.split(twice, np.cumsum([len(p[1]) for p in parts])[:-1])]
+
+
+def thin(keep: np.ndarray, starts, lens, shared, docs):
+    """The run of some suffixes of a run: each shares with the one before it the
+    least of what the suffixes between them share."""
+    if len(keep):
+        shared = np.minimum.reduceat(shared[: keep[-1] + 1], np.r_[0, keep[:-1] + 1])
+    return starts[keep], lens[keep], shared[: len(keep)], docs[keep]
+
+
 class Run:
     """A sorted run under merge. ``known``: what the head shares with the last
     suffix merged, -1 once the run is used up."""
@@ -272,17 +293,20 @@ def merge_shards(parts: DataFrame, shards: int) -> DataFrame:
             yield own_places(rows)
             if not sent:
                 continue
-            runs, back = [], []
+            parts, back = [], []
             for _, blob in sent:
                 starts, lens, pre, order, windows, docs, body = expand(blob)
                 order = order.astype(np.int64)
-                runs.append(Run(body.tobytes(), starts, lens, pre, np.repeat(docs, windows)[order]))
+                parts.append((body.tobytes(), starts, lens, pre, np.repeat(docs, windows)[order]))
                 back.append((order, windows))
+            again = repeating(parts)
+            runs = [Run(body, *thin(k, starts, lens, pre, docs)) for k, (body, starts, lens, pre, docs) in zip(again, parts)]
             merge_groups(runs)
             blobs = []
-            for r, (order, windows) in zip(runs, back):
+            for r, k, (*_, docs), (order, windows) in zip(runs, again, parts, back):
                 doc = np.empty(len(order), np.int64)
-                doc[order] = r.answer
+                doc[order] = docs  # of suffixes that no other equals
+                doc[order[k]] = r.answer
                 cnt, size, val = answer_runs(windows, doc)
                 blobs.append(squeeze(np.array([g], np.int64), cnt.astype(np.int16), size.astype(np.int16), val))
             yield answer_rows([c for c, _ in sent], blobs)

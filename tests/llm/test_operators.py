@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -326,6 +327,23 @@ def test_loser_tree_merges_in_order(seed):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_only_repeating_suffixes_are_merged(seed):
+    rng = random.Random(seed)
+    parts, texts = [], []
+    for _ in range(rng.randint(1, 6)):
+        segs = [" ".join(rng.choices("abcd", k=rng.randint(3, 9))).encode() for _ in range(rng.randint(1, 6))]
+        body, starts, lens, shared, *_ = suffixes.suffix_run(segs, 3)
+        parts.append((body, starts, lens, shared, np.arange(len(starts))))
+        texts.append([body[s : s + n] for s, n in zip(starts, lens)])
+    count = Counter(t for ts in texts for t in ts)
+    for keep, ts, (body, starts, lens, shared, docs) in zip(suffixes.repeating(parts), texts, parts):
+        assert [ts[i] for i in keep] == [t for t in ts if count[t] > 1]
+        starts, lens, shared, docs = suffixes.thin(keep, starts, lens, shared, docs)
+        assert docs.tolist() == keep.tolist() and [body[s : s + n] for s, n in zip(starts, lens)] == [ts[i] for i in keep]
+        assert shared.tolist()[1:] == [suffixes.common_prefix(ts[a], ts[b]) for a, b in zip(keep, keep[1:])] and len(shared) == len(keep)
+
+
 def test_packed_arrays():
     a, b = np.arange(5, dtype=np.uint16), np.zeros(0, np.int64)
     x, y = passages.expand(passages.squeeze(a, b))
