@@ -12,10 +12,13 @@ reports each anchor once, so copies of a document or a line that everyone shares
 cost one entry a chunk; a 32-bit rest of the hash in enough buckets keeps wrong
 matches rare, and those only cost time.
 
-Scale. There are as many buckets and shards as chunks, and each has a task of its
-own that takes them one by one. A chunk sends one packet to each, so chunks have a
-few megabytes up to some 100 GB of text and then grow with the root of the corpus
-(100 MB at 100 TB): a packet never falls below ``BLOB_BYTES`` of text.
+Scale. There are as many buckets and shards as chunks (more shards once chunks are
+large, ``shard_count``), and each has a task of its own that takes them one by one.
+A chunk sends one packet to each, and a packet costs the same however small it is,
+so chunks have a few megabytes up to some 4 GB of text, then grow with the root of
+the corpus: chunk by chunk a packet stands for ``PACKET_BYTES`` of text up to chunks
+of ``LARGE_CHUNK``, and for ``BLOB_BYTES`` at least (100 MB a chunk at 100 TB); half
+of that where two shards share a chunk's worth of text.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import docs_of, materialise, ship
 
 CHUNK_BYTES = 4_000_000
-BLOB_BYTES = 100
+LARGE_CHUNK = 16_000_000
+SHARD_BYTES = 8_000_000
+PACKET_BYTES, BLOB_BYTES = 4000, 100
 TILE = 1 << 16  # its arrays stay in the cache
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15
@@ -61,7 +66,13 @@ def expand(blob: bytes) -> list[np.ndarray]:
 def chunk_size(docs: DataFrame) -> int:
     """Bytes of text to a chunk."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(CHUNK_BYTES, math.isqrt(BLOB_BYTES * total))
+    return max(CHUNK_BYTES, min(LARGE_CHUNK, math.isqrt(PACKET_BYTES * total)), math.isqrt(BLOB_BYTES * total))
+
+
+def shard_count(chunks: int, chunk_bytes: int) -> int:
+    """As many shards as chunks, or so many that a shard stands for
+    ``SHARD_BYTES`` of text where chunks are larger."""
+    return max(chunks, -(-chunks * min(chunk_bytes, LARGE_CHUNK) // SHARD_BYTES))
 
 
 def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None) -> DataFrame:

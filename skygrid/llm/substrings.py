@@ -34,6 +34,7 @@ from .passages import (
     answer_runs,
     by_chunk,
     by_number,
+    chunk_size,
     expand,
     gram_hashes,
     numbers,
@@ -44,6 +45,7 @@ from .passages import (
     report_anchors,
     rows_of,
     sent_rows,
+    shard_count,
     shared_anchors,
     squeeze,
     tiles,
@@ -467,12 +469,14 @@ def remove_repeats(docs: DataFrame, k: int = 50, hot_docs: int = HOT_DOCS, chunk
     if not GRAM < k < 256:
         raise ValueError(f"k must be above {GRAM} and below 256")
     spark = docs.sparkSession
+    chunk_bytes = chunk_bytes or chunk_size(docs)
     chunks = pack_chunks(docs, chunk_bytes)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    shards = shard_count(n, chunk_bytes)
     shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = by_chunk(index_shards(send_segments(base, k, n, n), k, n))
+    answers = by_chunk(index_shards(send_segments(base, k, n, shards), k, shards))
     joined = chunks.join(answers, "chunk", "left").select("chunk", "payload", "answers", "places")
     raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
     whole = docs_of(docs).where("doc_id is null").select(

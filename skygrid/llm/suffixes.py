@@ -35,6 +35,7 @@ from .passages import (
     answer_runs,
     by_chunk,
     by_number,
+    chunk_size,
     expand,
     numbers,
     own_places,
@@ -44,6 +45,7 @@ from .passages import (
     report_anchors,
     rows_of,
     sent_rows,
+    shard_count,
     shared_anchors,
     squeeze,
 )
@@ -353,12 +355,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, hot_docs: int = HOT_DOCS, chunk
     extra columns are ignored.
     """
     spark = docs.sparkSession
+    chunk_bytes = chunk_bytes or chunk_size(docs)
     chunks = pack_chunks(docs, chunk_bytes)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    shards = shard_count(n, chunk_bytes)
     shared = shared_anchors(find_anchors(chunks, k, n), hot_docs, n)
     # one shuffle of the chunks serves both passes over them
     base = chunks.join(shared, "chunk", "left").select("chunk", "payload", "shared")
-    answers = by_chunk(merge_shards(send_runs(base, k, n, n), n))
+    answers = by_chunk(merge_shards(send_runs(base, k, n, shards), shards))
     joined = chunks.join(answers, "chunk", "left").select("chunk", "payload", "answers", "places")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = docs_of(docs).where("doc_id is null").select(

@@ -311,6 +311,28 @@ def test_removal_does_not_look_for_anchors_again(mod, k, monkeypatch):
     assert out.column("n_removed").to_pylist() == [0, size, size]
 
 
+def test_packets_between_chunks_do_not_shrink_with_the_corpus():
+    """Chunks times shards is what a corpus sends; each packet has a fixed cost."""
+
+    class Texts:
+        def __init__(self, total):
+            self.total = total
+
+        def agg(self, _):
+            return self
+
+        def first(self):
+            return [self.total]
+
+    for total in (10**9, 10**10, 5 * 10**10, 10**11, 10**12):
+        size = passages.chunk_size(Texts(total))
+        chunks = -(-total // size)
+        shards = passages.shard_count(chunks, size)
+        assert size <= 16_000_000 and total / shards <= 8_000_000 + 1
+        assert total > 5 * 10**10 or total / (chunks * shards) > 1900
+    assert passages.chunk_size(Texts(10**14)) == 100_000_000
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_loser_tree_merges_in_order(seed):
     rng = random.Random(seed)
