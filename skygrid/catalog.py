@@ -21,7 +21,7 @@ from .operators import concat as concat_ops
 from .operators import joins as join_ops
 from .operators import statistics as stats_ops
 from .operators import udf as udf_ops
-from .operators.crossmatch import DISTANCE, AbstractCrossmatchAlgorithm, KdTreeCrossmatch, neighbours
+from .operators.crossmatch import DISTANCE, LARGE, MANY, AbstractCrossmatchAlgorithm, KdTreeCrossmatch, neighbours, within_radius
 from .operators.search import (
     AbstractSearch,
     BoxSearch,
@@ -711,10 +711,12 @@ class Catalog(HealpixDataset):
         equal = None
         if scope == "partition":
             left, right, equal = join_ops.same_partition(left, right, self, other)
+        rows = other.info.total_rows
         out = neighbours(
             left, right, (names.left[self.info.ra_column], names.left[self.info.dec_column]),
             (names.right[other.info.ra_column], names.right[other.info.dec_column]),
             algorithm.radius_arcsec, algorithm.min_radius_arcsec, algorithm.n_neighbors, how, equal,
+            dense=within_radius(rows, other.tree.pixels, algorithm.radius_arcsec) > MANY, large=rows is None or rows > LARGE,
         )
         drop = [names.right[other.index_column]] if other.index_column in other.df.columns else []
         return out.drop(*drop, "__lp", "__rp")
