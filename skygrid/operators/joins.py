@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.pixels import partition_of
 from . import udf as udf_ops
+from .crossmatch import LARGE
 
 
 class Names(NamedTuple):
@@ -82,6 +83,8 @@ def join_through(lcat, rcat, assn, names: Names) -> DataFrame:
     extras = [c for c in assn.df.columns if c not in skip]
     a, b = renamed(lcat, names.left), renamed(rcat, names.right)
     links = assn.df.select(q(key).alias("__a"), q(join_key).alias("__b"), *[q(c).alias(f"__x_{c}") for c in extras])
+    if any(c.info.total_rows is None or c.info.total_rows > LARGE for c in (lcat, rcat)):
+        links, b = links.hint("merge"), b.hint("merge")  # never through the driver
     out = a.join(links, q(names.left[primary]) == F.col("__a")).join(b, F.col("__b") == q(names.right[joined]))
     cols = [q(c) for c in a.columns] + [q(c) for c in b.columns if c != f"__right_{rcat.index_column}"]
     return out.select(*cols, *[q(f"__x_{c}").alias(c) for c in extras])
