@@ -105,7 +105,7 @@ def neighbours(
         within = [_KEY, *([quote(equal[0])] if equal else []), _LEFT_ID]
         rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         pairs = pairs.withColumn("__rank", rank).where(F.col("__rank") <= n)
-    dist = sphere.chord2arcsec(F.sqrt(F.col("__d2")))
+    dist = F.when(F.col("__d2").isNotNull(), sphere.chord2arcsec(F.sqrt(F.col("__d2"))))
     return pairs.select(*[quote(x) for x in left.columns], *[quote(x) for x in right.columns], dist.alias(DISTANCE), _LEFT_ID)
 
 
@@ -137,7 +137,7 @@ def _searched(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, n:
     fields = [StructField("__l", both.schema["__l"].dataType), StructField("__r", both.schema["__r"].dataType), StructField("__d2", DoubleType()), StructField(_LEFT_ID, LongType())]
     run = matcher(keys, _SIDE, place, "__l", "__r", _LEFT_ID, [f.name for f in fields], n, chord, low, how == "left")
     found = both.mapInArrow(run, StructType(fields))
-    dist = sphere.chord2arcsec(F.sqrt(F.col("__d2")))
+    dist = F.when(F.col("__d2").isNotNull(), sphere.chord2arcsec(F.sqrt(F.col("__d2"))))
     return found.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], *[F.col(f"__r.`{c}`").alias(c) for c in right.columns], dist.alias(DISTANCE), _LEFT_ID)
 
 
