@@ -443,12 +443,14 @@ class HealpixDataset:
         return text
 
     # -- eager ---------------------------------------------------------------
-    def _order_keys(self):
+    def _order_keys(self, order: int | None = None):
+        """Sort keys: the index, or its pixel at ``order``, then the columns."""
         rest = [q(f.name) for f in self.df.schema.fields if f.name != self.index_column and f.dataType.typeName() not in ("map", "array", "struct")]
-        return ([q(self.index_column)] if self.index_column in self.df.columns else []) + rest
+        place = q(self.index_column) if order is None else pix_at(q(self.index_column), order, self.info.healpix_order)
+        return ([place] if self.index_column in self.df.columns else []) + rest
 
-    def compute(self) -> pd.DataFrame:
-        return self.df.orderBy(*self._order_keys()).toPandas()
+    def compute(self, order: int | None = None) -> pd.DataFrame:
+        return self.df.orderBy(*self._order_keys(order)).toPandas()
 
     def _from_end(self, n: int, last: bool) -> pd.DataFrame:
         """The first (or last) rows by index. Files are visited from that end, a
@@ -764,9 +766,9 @@ class Catalog(HealpixDataset):
         df = join_ops.join_nested(self, other, left_on, right_on, nested_column_name or other.name, how)
         return self._joined(other, df, names, output_catalog_name or f"{self.name}_x_{other.name}", how)
 
-    def merge_asof(self, other, direction="backward", suffixes=None, output_catalog_name=None, suffix_method=None, log_changes=True, scope="partition"):
+    def merge_asof(self, other, direction="backward", suffixes=None, output_catalog_name=None, suffix_method=None, log_changes=True, scope="partition", order=None):
         names = join_ops.suffixed(self, other, suffixes, suffix_method, log_changes)
-        df = join_ops.merge_asof(self, other, direction, names, scope)
+        df = join_ops.merge_asof(self, other, direction, names, scope, order)
         return self._joined(other, df, names, output_catalog_name or f"{self.name}_x_{other.name}")
 
     def merge_map(self, map_catalog, func, *args, meta=None, **kwargs):

@@ -101,8 +101,11 @@ def join_nested(lcat, rcat, left_on: str, right_on: str, nested: str, how: str)
 SPLITS = 3  # orders below a partition's own: 64 cells to a partition
 
 
-def merge_asof(lcat, rcat, direction: str, names: Names, scope: str) -> DataFrame:
-    """Nearest earlier, later or nearest right row by index.
+def merge_asof(lcat, rcat, direction: str, names: Names, scope: str, order: int | None = None) -> DataFrame:
+    """Nearest earlier, later or nearest right row by index, or by pixel at ``order``.
+
+    Of right rows at one place ``backward`` takes the last by their columns,
+    ``forward`` and ``nearest`` the first.
 
     One window over the union of both sides, within cells of the right catalog's
     partitions: each left row takes the last right row before it (read downwards,
@@ -117,17 +120,24 @@ def merge_asof(lcat, rcat, direction: str, names: Names, scope: str) -> DataFram
         raise ValueError("merge_asof is defined within the right catalog's partitions")
     h, rh = lcat.index_column, f"__right_{rcat.index_column}"
     a, b = renamed(lcat, names.left), renamed(rcat, names.right)
+    top = rcat.info.healpix_order
+    fine = top if order is None else order
+    if not 0 <= fine <= top:
+        raise ValueError(f"order must be between 0 and {top}")
+    at = lambda index: F.shiftright(index, 2 * (top - fine))
 
     def side(df, index, keep):
-        norder, npix = partition_of(df, index, rcat.tree.pixels, rcat.info.healpix_order)
-        top = rcat.info.healpix_order
-        cell = F.expr(f"shiftright(`{index}`, 2 * ({top} - least(__o + {SPLITS}, {top})))")
+        norder, npix = partition_of(df, index, rcat.tree.pixels, top)
+        cell = F.expr(f"shiftright(`{index}`, 2 * ({top} - greatest(__o, least(__o + {SPLITS}, {fine}))))")
         df = df.withColumns({"__o": norder, "__n": npix}).where("__o is not null")
-        return df.select("__o", "__n", cell.alias("__c"), q(index).alias("__h"), F.struct(*[q(c) for c in keep]).alias("__l" if index == h else "__r"))
-
-    both = side(a, h, a.columns).unionByName(side(b, rh, b.columns), allowMissingColumns=True)
-    rest = [F.col(f"__r.`{c}`") for c in b.columns if b.schema[c].dataType.typeName() not in ("map",)]
-    key, place = ["__o", "__n", "__c"], F.when(F.col("__r").isNotNull(), F.struct("__h", *rest))
+        return df.select("__o", "__n", cell.alias("__c"), at(q(index)).alias("__h"), F.struct(*[q(c) for c in keep]).alias("__l" if index == h else "__r"))
+
+    rest = [F.col(f"__r.`{c}`") for c in [*[c for c in b.columns if c != rh], rh] if b.schema[c].dataType.typeName() not in ("map",)]
+    key, rights = ["__o", "__n", "__c"], side(b, rh, b.columns)
+    if direction == "nearest":  # one row for a place: both ways then meet the same
+        rights = rights.groupBy(*key, "__h").agg(F.min_by("__r", F.struct(*rest)).alias("__r"))
+    both = side(a, h, a.columns).unionByName(rights, allowMissingColumns=True)
+    place = F.when(F.col("__r").isNotNull(), F.struct("__h", *rest))
     cells = both.groupBy(*key).agg(F.max_by("__r", place).alias("__last"), F.min_by("__r", place).alias("__first"))
     is_left = F.col("__l").isNotNull().cast("int")
     found, picks = both, {}
@@ -143,7 +153,7 @@ def merge_asof(lcat, rcat, direction: str, names: Names, scope: str) -> DataFram
     for name, pick in picks.items():
         found = found.withColumn(name, pick)
     if direction == "nearest":
-        nearer = F.col("__b").isNull() | (F.col("__f").isNotNull() & (F.col(f"__f.`{rh}`") - F.col("__h") < F.col("__h") - F.col(f"__b.`{rh}`")))
+        nearer = F.col("__b").isNull() | (F.col("__f").isNotNull() & (at(F.col(f"__f.`{rh}`")) - F.col("__h") < F.col("__h") - at(F.col(f"__b.`{rh}`"))))
         found = found.withColumn("__m", F.when(nearer, F.col("__f")).otherwise(F.col("__b")))
     else:
         found = found.withColumn("__m", F.col(next(iter(picks))))

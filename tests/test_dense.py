@@ -182,3 +182,29 @@ def test_nearest_in_clusters():
             near = np.flatnonzero((d < chord**2) & ((d > low**2) | (low == 0)) & (rgroup == lgroup[i]))
             best = near[np.lexsort((near, d[near]))][:n]
             assert ri[li == i].tolist() == best.tolist() or np.allclose(d2[li == i], d[best], rtol=1e-12)
+
+
+def crowded(n, seed):
+    """Many rows to a cell of order 8; the last column runs against the index."""
+    r = np.random.default_rng(seed)
+    f = pd.DataFrame({"ra": r.uniform(10, 12, n), "dec": r.uniform(0, 2, n)})
+    return f.assign(id=r.permutation(n))[["id", "ra", "dec"]]
+
+
+def asof(spark, way):
+    """Ties within a cell go by columns, not by places inside it."""
+    a, b = (cat(crowded(n, n), name, lowest_order=1, highest_order=1) for n, name in ((300, "a"), (200, "b")))
+    rights = [(x["_healpix_29"] >> 42, x["_healpix_29"] >> 56, x.id) for x in b.df.collect()]
+    want = {}
+    for x in a.df.collect():
+        h, part = x["_healpix_29"] >> 42, x["_healpix_29"] >> 56
+        here = [(p, i) for p, o, i in rights if o == part and (way == "nearest" or (p <= h if way == "backward" else p >= h))]
+        keys = {"backward": lambda t: (-t[0], -t[1]), "forward": lambda t: t, "nearest": lambda t: (abs(t[0] - h), t[0] > h, t[1])}
+        want[x.id] = min(here, key=keys[way])[1] if here else None
+    got = a.merge_asof(b, way, suffix_method="all_columns", order=8).df
+    assert {x.id_a: x.id_b for x in got.collect()} == want and any(v is not None for v in want.values())
+
+
+@pytest.mark.parametrize("way", ["backward"])
+def test_asof_at_an_order(spark, way):
+    asof(spark, way)
