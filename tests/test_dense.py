@@ -205,7 +205,7 @@ def asof(spark, way):
     assert {x.id_a: x.id_b for x in got.collect()} == want and any(v is not None for v in want.values())
 
 
-@pytest.mark.parametrize("way", ["backward", "nearest"])
+@pytest.mark.parametrize("way", ["backward", "forward", "nearest"])
 def test_asof_at_an_order(spark, way):
     asof(spark, way)
 
