@@ -144,9 +144,11 @@ def _searched(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, n:
 class AbstractCrossmatchAlgorithm:
     """A user's own matching: ``perform_crossmatch(left, right)`` gets two pandas
     frames of one partition pair and returns (left positions, right positions,
-    frame of extra columns)."""
+    frame of extra columns). One that treats every left row by itself may set
+    ``left_rows``, and gets so many rows of the left frame at most at a time."""
 
     extra_columns: dict[str, str] = {DISTANCE: "double"}
+    left_rows: int | None = None
 
     def validate(self, left, right):
         return None

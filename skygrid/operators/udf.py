@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..plans.pixels import HealpixPixel
@@ -194,20 +194,70 @@ def pairwise(left: DataFrame, right: DataFrame, func, args, kwargs, schema, lind
 
 
 def match_pairs(left: DataFrame, right: DataFrame, algo, lcols, rcols, extra, schema: StructType, how: str) -> DataFrame:
-    ship(left.sparkSession)
+    """The algorithm on every pair of partitions. Its frames are one pair's rows (of
+    the left side ``left_rows`` at most, if it says so); what it matched leaves in
+    batches and is never a frame of its own."""
+    import pyarrow as pa
 
-    def run(a, b):
-        a, b = a[lcols].reset_index(drop=True), b[rcols].reset_index(drop=True)
-        if a.empty or b.empty:
+    spark = left.sparkSession
+    ship(spark)
+    zone, kinds, most = spark.conf.get("spark.sql.session.timeZone"), to_arrow_schema(schema), getattr(algo, "left_rows", None)
+    cell = lambda names: F.struct(*[F.col(f"`{c}`") for c in names])
+    both = left.select("__pair", F.lit(1).alias("__side"), cell(lcols).alias("__l"))
+    both = both.unionByName(right.select("__pair", F.lit(0).alias("__side"), cell(rcols).alias("__r")), allowMissingColumns=True)
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__pair").sortWithinPartitions("__pair", "__side")
+
+    def table(parts, names, at):
+        if not sum(map(len, parts)):
+            return pa.table([pa.array([], k.type) for k in list(kinds)[at : at + len(names)]], names=names)
+        return pa.table(pa.concat_arrays(parts).flatten(), names=names)
+
+    def frame(t):
+        out = t.to_pandas()
+        for f in t.schema:
+            if pa.types.is_timestamp(f.type) and f.type.tz:
+                out[f.name] = out[f.name].dt.tz_convert(zone).dt.tz_localize(None)
+        return out
+
+    def matched(a, b):
+        if not a.num_rows or not b.num_rows:
             li, ri, ex = np.zeros(0, int), np.zeros(0, int), pd.DataFrame({c: [] for c in extra})
         else:
-            li, ri, ex = algo.perform_crossmatch(a, b)
+            li, ri, ex = algo.perform_crossmatch(frame(a), frame(b))
             if not len(li) == len(ri) == len(ex):
                 raise ValueError("the algorithm's results differ in length")
-        out = pd.concat([a.iloc[li].reset_index(drop=True), b.iloc[ri].reset_index(drop=True), ex.reset_index(drop=True)], axis=1)
+        more = list(kinds)[len(lcols) + len(rcols) :]
+        for s in range(0, len(li), 20_000):
+            one, other = (pa.array(np.asarray(x)[s : s + 20_000]) for x in (li, ri))
+            found = [pa.array(ex[f.name].iloc[s : s + 20_000], f.type, from_pandas=True) for f in more]
+            yield [*a.take(one).columns, *b.take(other).columns, *found]
         if how == "left":
-            rest = a.drop(index=np.unique(li))
-            out = pd.concat([out, rest], ignore_index=True) if len(rest) else out
-        return out.reindex(columns=schema.names)
-
-    return left.groupBy("__pair").cogroup(right.groupBy("__pair")).applyInPandas(run, schema)
+            rest = a.take(pa.array(np.setdiff1d(np.arange(a.num_rows), li)))
+            if rest.num_rows:
+                yield [*rest.columns, *[pa.nulls(rest.num_rows, t) for t in [*b.schema.types, *[f.type for f in more]]]]
+
+    def pair(rights, lefts):
+        a, b = table(lefts, lcols, 0), table(rights, rcols, len(lcols))
+        step = most or max(a.num_rows, 1)
+        for s in range(0, a.num_rows, step):
+            for columns in matched(a.slice(s, step).combine_chunks(), b):
+                yield from pa.table(columns, names=schema.names).to_batches()
+
+    def run(batches):
+        now, rights, lefts = None, [], []
+        for batch in batches:
+            keys = np.asarray(batch.column("__pair").to_pylist(), dtype=object)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                if keys[s] != now:
+                    yield from pair(rights, lefts)
+                    now, rights, lefts = keys[s], [], []
+                part = batch.slice(s, e - s)
+                n = int((part.column("__side").to_numpy() == 0).sum())
+                rights.append(part.column("__r").slice(0, n))
+                lefts.append(part.column("__l").slice(n))
+        yield from pair(rights, lefts)
+
+    return both.mapInArrow(run, schema)

@@ -216,3 +216,24 @@ def test_index_order(spark):
     rows = sorted((x["_healpix_29"] >> 42, x.id) for x in c.df.collect())
     assert len({p for p, _ in rows}) < 200
     assert c.compute(order=8).id.tolist() == [i for _, i in rows]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_own_algorithm_in_slices(spark, how):
+    class Twos(skygrid.AbstractCrossmatchAlgorithm):
+        """Every left row with the right rows of its parity."""
+
+        extra_columns = {"gap": "long"}
+        left_rows = 70
+
+        def perform_crossmatch(self, left, right):
+            assert len(left) <= 70
+            li, ri = np.nonzero((left["id_a"].to_numpy()[:, None] % 4) == right["id_b"].to_numpy()[None] % 2)
+            return li, ri, pd.DataFrame({"gap": right["id_b"].to_numpy()[ri] - left["id_a"].to_numpy()[li]})
+
+    a, b = cat(A, "a", highest_order=0), cat(B[:200], "b", highest_order=0)
+    out = a.crossmatch(b, algorithm=Twos(), how=how, suffix_method="all_columns").df
+    want = {(i, j, j - i) for i in A.id for j in B.id[:200] if i % 4 == j % 2}
+    want |= {(i, None, None) for i in A.id if i % 4 > 1} if how == "left" else set()
+    rows = [(x.id_a, x.id_b, x.gap) for x in out.select("id_a", "id_b", "gap").collect()]
+    assert len(rows) == len(want) and set(rows) == want
